@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import sql
 from tidemark.llm.kit import materialize, n_words
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def byte_bpe_path() -> str:
+    """The public byte-level vocabulary; pass another path to the operators for another one."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pq_dedup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -28,9 +44,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), byte_bpe_path(), capacity=2048, end_id=0)
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_rules import judge
+
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_sharding)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op9_url_filters": sql.url_filters(URL_RULES)}
