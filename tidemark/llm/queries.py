@@ -50,6 +50,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), byte_bpe_path(), capacity=2048, end_id=0)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.kn_quality import judge
+
+    rows = judge(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", "log_perplexity", "low", "high")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.url_rules import judge
 
@@ -58,7 +65,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op9_url_filters)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
