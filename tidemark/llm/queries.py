@@ -64,9 +64,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import join
+
+    return join(_documents(spark, sf_dir), width=5, threshold=0.75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op9_url_filters)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op9_url_filters, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op9_url_filters": sql.url_filters(URL_RULES)}
+    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op10_ngram_jaccard": sql.NGRAM_JACCARD, "op9_url_filters": sql.url_filters(URL_RULES)}

@@ -35,3 +35,19 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 """
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d
+), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.g) AS n_shingles, comp.c AS component_id FROM s JOIN comp ON comp.a = s.doc_id
+"""
