@@ -57,6 +57,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", "log_perplexity", "low", "high")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import digests
+
+    return digests(_documents(spark, sf_dir), length=100)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.url_rules import judge
 
@@ -71,8 +77,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op9_url_filters, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op10_ngram_jaccard": sql.NGRAM_JACCARD, "op9_url_filters": sql.url_filters(URL_RULES)}
+    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op10_ngram_jaccard": sql.NGRAM_JACCARD, "op8_suffix_array_dedup": sql.REPEATED_BYTES, "op9_url_filters": sql.url_filters(URL_RULES)}

@@ -51,3 +51,17 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.g) AS n_shingles, comp.c AS component_id FROM s JOIN comp ON comp.a = s.doc_id
 """
+
+REPEATED_BYTES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i, h FROM d WHERE length(h) >= 200),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM w),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS n FROM k),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r WHERE n > 1),
+t AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM t GROUP BY doc_id, span),
+x AS (SELECT s.doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS before, h FROM s JOIN d ON d.doc_id = s.doc_id),
+y AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM x GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(y.removed, 0)::BIGINT AS n_removed, coalesce(y.spans, 0) AS n_spans, sha256(unhex(coalesce(y.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN y ON y.doc_id = d.doc_id
+"""
