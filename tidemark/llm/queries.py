@@ -30,6 +30,12 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.bloom_lm import score
+
+    return score(_documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -77,7 +83,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
