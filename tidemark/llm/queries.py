@@ -63,6 +63,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", "log_perplexity", "low", "high")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    rows = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_words=8)
+    return rows.select("doc_id", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.suffix_dedup import digests
 
@@ -83,8 +90,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op7_line_dedup, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op10_ngram_jaccard": sql.NGRAM_JACCARD, "op8_suffix_array_dedup": sql.REPEATED_BYTES, "op9_url_filters": sql.url_filters(URL_RULES)}
+    return {"op1_embedding_near_dedup": sql.NEAR_VECTORS, "op10_ngram_jaccard": sql.NGRAM_JACCARD, "op7_line_dedup": sql.REPEATED_LINES, "op8_suffix_array_dedup": sql.REPEATED_BYTES, "op9_url_filters": sql.url_filters(URL_RULES)}

@@ -65,3 +65,18 @@ y AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS spans, string_agg(substr
 SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(y.removed, 0)::BIGINT AS n_removed, coalesce(y.spans, 0) AS n_spans, sha256(unhex(coalesce(y.kept, d.h))) AS kept_sha256
 FROM d LEFT JOIN y ON y.doc_id = d.doc_id
 """
+
+REPEATED_LINES = """
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_at FROM a),
+v AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM u),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_at) AS k, sum(words) OVER (PARTITION BY doc_id ORDER BY line_at) AS upto FROM v WHERE words > 0),
+e AS (SELECT x.doc_id, x.k, min(y.k) AS last FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 7 AND y.upto - x.upto + x.words >= 8 GROUP BY ALL),
+r AS (SELECT e.doc_id, e.k, e.last, md5(string_agg(w.line, chr(10) ORDER BY w.k)) AS run FROM e JOIN w ON w.doc_id = e.doc_id AND w.k BETWEEN e.k AND e.last GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS i FROM r),
+gone AS (SELECT DISTINCT w.doc_id, w.k, w.line_at FROM n JOIN w ON w.doc_id = n.doc_id AND w.k BETWEEN n.k AND n.last WHERE n.i > 1),
+s AS (SELECT doc_id, count(*) AS removed, sum(new) AS runs FROM (SELECT doc_id, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) = 1 THEN 0 ELSE 1 END AS new FROM gone) GROUP BY doc_id),
+t AS (SELECT u.doc_id, string_agg(u.line, chr(10) ORDER BY u.line_at) AS kept FROM u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.line_at = u.line_at WHERE g.doc_id IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(s.removed, 0) AS n_removed, coalesce(s.runs, 0)::BIGINT AS n_runs, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
