@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import SPACE, Spans, fold, materialize, release, text_blocks, word_spans
+from tidemark.llm.kit import SPACE, Spans, fold, materialize, text_blocks, word_spans
 
 BITS, ORDER = 6, 3
 SIZE = 1 << BITS
 LANGUAGES_AT_ONCE = 128
+MOST_LANGUAGES_TO_BROADCAST = 10_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
@@ -241,23 +242,40 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def language_bands(scored: DataFrame) -> DataFrame:
+    """language, middle, deviation: medians of log perplexity, and of the distance from it, among texts that pass the base rules."""
+    fair = scored.filter(~base_failed() & F.col("log_perplexity").isNotNull())
+    middle = materialize(fair.groupBy("language").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")))
+    few = middle.count() <= MOST_LANGUAGES_TO_BROADCAST
+    off = fair.join(F.broadcast(middle) if few else middle, "language").withColumn("off", F.abs(F.col("log_perplexity") - F.col("middle")))
+    return off.groupBy("language").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10_000).alias("deviation"))
+
+
+def _verdicts(scored: DataFrame, bands: DataFrame, spread: float, floor: float, short: float) -> DataFrame:
+    few = bands.count() <= MOST_LANGUAGES_TO_BROADCAST
+    out = scored.withColumn("base_failed", base_failed()).join(F.broadcast(bands) if few else bands, "language", "left")
+    width = F.lit(spread) * F.greatest(F.col("deviation"), F.lit(floor)) + F.lit(short) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    out = out.withColumn("low", F.col("middle") - width).withColumn("high", F.col("middle") + width)
+    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.withColumn("kept", kept).drop("middle", "deviation", "n_bytes")
+
+
 def judge(docs: DataFrame, spread: float = 2.0, floor: float = 0.01, short: float = 1.0, columns: list[str] | None = None) -> DataFrame:
     """`columns` (doc_id unless given) with the base features, base_failed, log_perplexity, low, high and kept.
 
     A text of n bytes may lie `spread` median deviations (at least `floor`) and short / sqrt(n) from its language's median.
     """
-    columns = columns or ["doc_id"]
     model = materialize(train(docs))
-    scored = materialize(score(docs, model, columns)).withColumn("base_failed", base_failed())
-    fair = scored.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-    middle = materialize(fair.groupBy("language").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")))
-    few = middle.count() <= 10_000
-    hint = F.broadcast if few else (lambda x: x)
-    off = fair.join(hint(middle), "language").withColumn("off", F.abs(F.col("log_perplexity") - F.col("middle")))
-    bands = off.groupBy("language").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10_000).alias("deviation"))
-    release(model)
-    out = scored.join(hint(bands), "language", "left")
-    width = F.lit(spread) * F.greatest(F.col("deviation"), F.lit(floor)) + F.lit(short) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    out = out.withColumn("low", F.col("middle") - width).withColumn("high", F.col("middle") + width)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.withColumn("kept", kept).drop("middle", "deviation", "n_bytes")
+    scored = materialize(score(docs, model, columns or ["doc_id"]))
+    return _verdicts(scored, materialize(language_bands(scored)), spread, floor, short)
+
+
+def keep(docs: DataFrame, spread: float = 2.0, floor: float = 0.01, short: float = 1.0) -> DataFrame:
+    """The rows of docs that are kept. Bands come from a narrow table; then one more pass judges each row as it streams by."""
+    model = materialize(train(docs))
+    bands = materialize(language_bands(materialize(score(docs, model, ["doc_id"]))))
+    # Other names while judging, so that no column of docs clashes with the features.
+    own = {c: f"_kq_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(c).alias(n) for c, n in own.items()), *(F.col(c) for c in ("lang", "text")))
+    kept = _verdicts(score(named, model, list(own.values())), bands, spread, floor, short).filter("kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in own.items()))

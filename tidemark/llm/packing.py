@@ -26,6 +26,13 @@ from tidemark.llm.kit import materialize, text_blocks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
+def byte_bpe_path() -> str:
+    """The public byte-level vocabulary; any other tokenizer file may be given instead."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents. part and place: the task, and the piece's rank in it among those of its length."""
     schema = PIECES + (", ids array<int>" if with_ids else "")

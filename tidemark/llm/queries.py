@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import sql
 from tidemark.llm.kit import materialize, n_words
 
@@ -17,13 +18,6 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def byte_bpe_path() -> str:
-    """The public byte-level vocabulary; pass another path to the operators for another one."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pq_dedup import near_duplicates
 
@@ -51,7 +45,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import pack
+    from tidemark.llm.packing import byte_bpe_path, pack
 
     return pack(_documents(spark, sf_dir), byte_bpe_path(), capacity=2048, end_id=0)
 
@@ -89,8 +83,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_documents(spark, sf_dir), width=5, threshold=0.75)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op7_line_dedup, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_mixing, op4_sharding, op5_packing, op6_quality_rules, op7_line_dedup, op8_suffix_array_dedup, op9_url_filters, op10_ngram_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
