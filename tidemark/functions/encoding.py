@@ -58,3 +58,8 @@ def saturating_sub(a: Column, b: Column) -> Column:
 
 def saturating_add(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_add(a, b), F.lit(9223372036854775807))
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds from 1970 to a timestamp without time zone, whatever the session's zone."""
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
