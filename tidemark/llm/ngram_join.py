@@ -8,8 +8,10 @@ lists of 1/64 of the hash space. Sets just below the boundary also go into the l
 
 Lists of up to `heavy` nodes give their pairs. A shingle with a longer list is heavy, and documents with one among their first
 shingles go through once more, heavy ones last. What is still in long lists is compared with the list's first node, and after
-that only across components that are still apart. Candidates are verified exactly on whole sets, which travel once to the task
-of their candidate component (or slice of a large one); the links it returns are a spanning forest.
+that only across components that are still apart. Candidates first meet as parity bitmaps of about two bits a shingle: two sets
+differ in at least as many shingles as their bitmaps do in bits, so pairs that differ in too many go without loss. The others are
+verified exactly on whole sets, which travel once to the task of their candidate component (or slice of a large one); the links it
+returns are a spanning forest.
 
 Null ids link with nothing; null texts are empty; documents without words have no shingles and link with nothing. Rows that repeat
 a doc_id are one node. Empty tables give empty results. Extra columns aren't carried.
@@ -109,8 +111,38 @@ def signatures(sets: Sets, boundary: int, threshold: float, heavy: np.ndarray |
     return np.concatenate([r1, r2]), np.concatenate([k1, k2]), np.concatenate([np.zeros(len(r1), bool), small[r2]])
 
 
+def bitmaps(sets: Sets) -> list[bytes]:
+    """For each row the parity of its shingles at each of at least two bits a shingle; shorter ones are folds of longer ones."""
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sets.size, 1))).astype(np.int64))
+    end = np.cumsum(bits)
+    at = (end - bits)[sets.row] + ((sets.hash >> np.uint64(8)) & (bits[sets.row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=end[-1] if len(end) else 0) & 1 == 1).tobytes()
+    return [packed[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), end.tolist(), strict=True)]
+
+
+def plausible(about: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose bitmaps allow enough overlap."""
+    one = about.filter("doc_id is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    both = pairs.join(one.toDF("a", "na", "xa"), "a").join(one.toDF("b", "nb", "xb"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")), strict=True):
+                if len(x) < len(y):
+                    x, y = y, x
+                i, j, bits = int.from_bytes(x), int.from_bytes(y), len(x) * 4
+                while bits >= len(y) * 8:
+                    i = (i >> bits) ^ (i & ((1 << bits) - 1))
+                    bits //= 2
+                fine.append((i ^ j).bit_count() <= (m + n) * (1 - threshold) / (1 + threshold) + 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return materialize(both.mapInArrow(run, "a long, b long"))
+
+
 def describe(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, node, and the first shingles that fall in the sampled part of the hash space."""
+    """doc_id, n_shingles, node, bitmap, and the first shingles that fall in the sampled part of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +151,9 @@ def describe(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                 row, key = firsts(sets, sets.size > 2, 1, threshold, None)
                 some = key % np.uint64(SAMPLED) == 0
                 at = np.append(0, np.cumsum(np.bincount(row[some], minlength=rows.num_rows)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sets.size), pa.array(sets.node), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key[some].view(np.int64)))], ["doc_id", "n_shingles", "node", "sampled"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sets.size), pa.array(sets.node), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key[some].view(np.int64))), pa.array(bitmaps(sets), pa.binary())], ["doc_id", "n_shingles", "node", "sampled", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sampled array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sampled array<long>, bitmap binary")
 
 
 def choose_boundary(about: DataFrame, threshold: float) -> int:
@@ -279,6 +311,7 @@ def join(docs: DataFrame, width: int = 5, threshold: float = 0.75, heavy: int =
 def _verify(docs: DataFrame, about: DataFrame, pairs: DataFrame, width: int, threshold: float, slice_: int = 4096) -> DataFrame:
     """Links u, v among candidate pairs a, b: exact on whole sets, a spanning forest of each task's links."""
     spark = docs.sparkSession
+    pairs = plausible(about, pairs, threshold)
     whole = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     sizes = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / slice_).cast("int").alias("slices"))
     keyed = pairs.join(whole, pairs["a"] == whole["node"]).join(sizes, "component").select("a", "b", "component", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int").alias("slice"))
