@@ -78,16 +78,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, drop_empty: bool = False) -
     """
     docs = docs.drop("n_removed", "n_runs")
     gone = repeated_lines(docs, min_words)
-    per = gone.groupBy("d", "x").agg(F.array_sort(F.collect_list("k")).alias("_ld_k"), F.array_sort(F.collect_list("at")).alias("_ld_at"))
-    out = docs.withColumn("_ld_x", F.xxhash64("text")).join(per, (F.col("doc_id") == F.col("d")) & (F.col("_ld_x") == F.col("x")), "left")
+    per = gone.groupBy(F.col("d").alias("_ld_d"), F.col("x").alias("_ld_y")).agg(F.array_sort(F.collect_list("k")).alias("_ld_k"), F.array_sort(F.collect_list("at")).alias("_ld_at"))
+    out = docs.withColumn("_ld_x", F.xxhash64("text")).join(per, (F.col("doc_id") == F.col("_ld_d")) & (F.col("_ld_x") == F.col("_ld_y")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains(F.col("_ld_at"), i)), "\n")
     out = out.withColumn("text", F.when(F.col("_ld_at").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_ld_at").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     runs = F.aggregate("_ld_k", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n")), lambda s, k: F.struct(k.alias("last"), (s["n"] + (k != s["last"] + 1).cast("int")).alias("n")))["n"]
-    out = out.withColumn("n_removed", F.coalesce(F.size("_ld_k"), F.lit(0)).cast("bigint")).withColumn("n_runs", F.coalesce(runs, F.lit(0)).cast("bigint"))
-    out = out.withColumn("n_removed", F.when(F.col("_ld_k").isNull(), 0).otherwise(F.col("n_removed")).cast("bigint"))
+    out = out.withColumn("n_removed", F.when(F.col("_ld_k").isNull(), 0).otherwise(F.size("_ld_k")).cast("bigint")).withColumn("n_runs", F.coalesce(runs, F.lit(0)).cast("bigint"))
     if drop_empty:
         out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return out.select(*docs.columns, "n_removed", "n_runs")

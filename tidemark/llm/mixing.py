@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, de
     ahead = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("source_key").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.col("rest") - F.col("before") - ahead
     parts = alike.withColumn("edge_part", F.least("size", F.greatest(F.lit(0), F.floor(left / F.col("copies")))).cast("bigint")).filter("edge_part > 0")
-    parts = materialize(parts.select(F.col("source_key").alias("_mx_key"), F.col("doc_id").alias("_mx_doc"), F.col("size").alias("_mx_n"), "edge_part"))
+    parts = materialize(parts.select(F.col("source_key").alias("_mx_key"), F.col("doc_id").alias("_mx_doc"), F.col("size").alias("_mx_n"), F.col("edge_part").alias("_mx_part")))
 
     drawn = src.join(edge.select("source_key", "edge"), "source_key", "left").withColumn("quota", F.when(F.col("source_size") > 0, F.col("passes") * F.col("n_blocks")).otherwise(0) + F.coalesce(F.col("edge") + 1, F.lit(0)))
     split = split_quotas(drawn.select("source_key", "quota"), depth, seed)
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, de
     # Only documents of boundary blocks can have a part: there are a few blocks' worth of them, one block for each source.
     at_edge = parts.count() <= 1_000_000
     out = out.join(F.broadcast(parts) if at_edge else parts, [out["_mx_key"] == parts["_mx_key"], out["doc_id"].eqNullSafe(parts["_mx_doc"]), out["_mx_size"] == parts["_mx_n"], out["_mx_block"] == out["_mx_edge"]], "left").drop(parts["_mx_key"])
-    part = F.when(F.col("_mx_size") == 0, 0).when(F.col("_mx_block") < F.col("_mx_edge"), F.col("_mx_size")).when(F.col("_mx_block") == F.col("_mx_edge"), F.coalesce("edge_part", F.lit(0))).otherwise(0).cast("bigint")
+    part = F.when(F.col("_mx_size") == 0, 0).when(F.col("_mx_block") < F.col("_mx_edge"), F.col("_mx_size")).when(F.col("_mx_block") == F.col("_mx_edge"), F.coalesce("_mx_part", F.lit(0))).otherwise(0).cast("bigint")
     passes = F.when(F.col("_mx_size") > 0, F.col("_mx_passes")).otherwise(0).cast("int")
     out = out.withColumn("passes", passes).withColumn("part", part).withColumn("taken", F.col("passes") * F.col("_mx_size") + F.col("part"))
     copies = F.col("passes") + (F.col("part") > 0).cast("int")

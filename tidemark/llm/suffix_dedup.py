@@ -282,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
-        def row(seg, doc, pos, least, most, shared, rest, start, end):
+        def row(seg, doc, pos, least, most, shared, rest):
             return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), *(pa.array([x.astype(t).tobytes()]) for x, t in ((doc, "<i8"), (pos, "<i8"), (least, "<u2"), (most, "<u2"))), pa.array([shared]), pa.array([rest])], ["segment", "doc", "pos", "least", "most", "shared", "rest"])
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -293,18 +293,17 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
             rows, doc, pos, least, most = (x[order] for x in (rows, doc, pos, least, most))
             shared = common_prefixes(rows)
             same = shared == width
-            same[1:] &= True
             first = np.maximum.accumulate(np.where(~same, np.arange(len(rows)), 0))
             again = same & ((doc != doc[first]) | (pos != pos[first]))
             if again.any():  # an equal context comes earlier: all windows of these are repeats
-                yield row(-1, doc[again], pos[again], least[again], most[again], b"", b"", None, None)
+                yield row(-1, doc[again], pos[again], least[again], most[again], b"", b"")
             rows, doc, pos, least, most = (x[~same] for x in (rows, doc, pos, least, most))
             seg = np.searchsorted(splitters, np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64), "right")
             cut = np.searchsorted(seg, np.arange(len(splitters) + 2))
             for s in range(len(splitters) + 1):
                 i, j = cut[s], cut[s + 1]
                 if j > i:
-                    yield row(s, doc[i:j], pos[i:j], least[i:j], most[i:j], *front_code(rows[i:j]), None, None)
+                    yield row(s, doc[i:j], pos[i:j], least[i:j], most[i:j], *front_code(rows[i:j]))
 
         for batch in batches:
             for part, data, offsets in text_blocks(batch):
@@ -370,9 +369,9 @@ def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
-    """docs with `spans`: the sorted maximal spans (start, end) of bytes to remove; null if there are none."""
+    """docs with `_sd_spans`: the sorted maximal spans (start, end) of bytes to remove; null if there are none."""
     found = materialize(repeated_spans(docs, **options))
-    lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_sd_spans"))
     return docs.join(lists.withColumnRenamed("doc_id", "_sd_doc"), docs["doc_id"] == F.col("_sd_doc"), "left").drop("_sd_doc")
 
 
@@ -393,7 +392,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("_sd_spans"), strict=True):
                 raw = (text.as_py() or "").encode()
                 kept, removed, n = _kept(raw, spans.as_py())
                 out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
@@ -406,13 +405,13 @@ def digests(docs: DataFrame, **options) -> DataFrame:
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with their texts cut; where a cut parts a character, what is left of it goes too."""
     marked = with_spans(docs, **options)
-    schema = marked.drop("spans").schema
+    schema = marked.drop("_sd_spans").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), s.as_py())[0].decode(errors="ignore") for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), s.as_py())[0].decode(errors="ignore") for t, s in zip(batch.column("text"), batch.column("_sd_spans"), strict=True)]
             batch = batch.set_column(at, "text", pa.array(texts, pa.string()))
-            yield batch.drop_columns(["spans"])
+            yield batch.drop_columns(["_sd_spans"])
 
     return marked.mapInArrow(run, schema)
