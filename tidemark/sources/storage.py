@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
-META = "version string, created long, n_tables int, n_rows long, schema_version int"
+META = "version string, created long, n_tables int, n_rows long, schema_version int, columns string"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,9 +38,9 @@ class Snapshots:
 
     def create(self, store: DataFrame, version: str, created: int) -> str:
         store.write.mode("overwrite").partitionBy("tree").parquet(f"{self.base}/data/version={version}")
-        rows = self.spark.read.parquet(f"{self.base}/data/version={version}")
+        rows = self.spark.read.schema(store.schema).parquet(f"{self.base}/data/version={version}")
         meta = rows.agg(F.count_distinct("tree").cast("int").alias("n_tables"), F.count(F.lit(1)).alias("n_rows"))
-        meta = meta.select(F.lit(version).alias("version"), F.lit(created).cast("long").alias("created"), "n_tables", "n_rows", F.lit(SCHEMA_VERSION).alias("schema_version"))
+        meta = meta.select(F.lit(version).alias("version"), F.lit(created).cast("long").alias("created"), "n_tables", "n_rows", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(store.schema.json()).alias("columns"))
         meta.coalesce(1).write.mode("append").parquet(f"{self.base}/meta")
         return version
 
@@ -54,7 +56,8 @@ class Snapshots:
             raise KeyError(f"no version {version or 'yet'}")
         if row["schema_version"] != SCHEMA_VERSION:
             raise ValueError(f"schema version {row['schema_version']}")
-        return self.spark.read.parquet(f"{self.base}/data/version={row['version']}")
+        columns = StructType.fromJson(json.loads(row["columns"]))
+        return self.spark.read.schema(columns).parquet(f"{self.base}/data/version={row['version']}")
 
     def delete(self, version: str) -> None:
         keep = self.versions().filter(F.col("version") != version).collect()
