@@ -144,8 +144,7 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 def fit(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys (order and code), log10 probabilities and log10 back-off weights of a language's model."""
-    mask = SIZE - 1
-    table, value = {}, {}
+    mask, table = SIZE - 1, {}
     # Lower orders count the distinct contexts that an n-gram follows.
     three = (codes, counts)
     two = np.unique(codes & (SIZE**2 - 1), return_counts=True)
@@ -165,12 +164,13 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if order == 1:
             full = free[0] * lower
             full[g] = p
+            g, p = np.arange(SIZE), full  # classes that the language doesn't have keep their share
         else:
             full = (free[:, None] * np.tile(lower.reshape(-1, SIZE), (SIZE, 1))).ravel() if order == 3 else (free[:, None] * lower[None, :]).ravel()
             full[g] = p
         keys.append((order << 32) | g)
         logs.append(np.log10(p))
-        table[order], value[order] = free, full
+        table[order] = free
         lower = full
     for order in (1, 2, 3):  # the weight that leads from an n-gram, as a context, to the next shorter one
         backs.append(np.log10(table[order + 1][keys[order - 1] & 0xFFFFFFFF]) if order < 3 else np.zeros(len(keys[2])))
@@ -180,7 +180,7 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def expand(keys: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
     """log10 probability of every trigram code: seen ones as stored, others by backing off."""
     order, g = keys >> 32, keys & 0xFFFFFFFF
-    p1, b1 = np.full(SIZE, logs[order == 1].min()), np.zeros(SIZE)
+    p1, b1 = np.zeros(SIZE), np.zeros(SIZE)
     p1[g[order == 1]], b1[g[order == 1]] = logs[order == 1], backs[order == 1]
     p2 = (b1[:, None] + p1[None, :]).ravel()
     b2 = np.zeros(SIZE**2)
