@@ -142,7 +142,7 @@ def test_mixing(docs, rows, empty):
     key = lambda r: str((r["doc_id"], r["text"], r["taken"], r["shards"]))
     assert sorted(map(key, got)) == sorted(map(key, again))
     mixed = mixed_rows(docs, block_words=200)
-    assert mixed.columns == [*(c for c in docs.columns if c not in ("shard",)), "shard", "position_key"] or mixed.columns[: len(docs.columns)] == docs.columns
+    assert mixed.columns == [*docs.columns, "mix_shard", "mix_key"]
     assert sum(len(words_of(r["text"])) for r in mixed.select("text").collect()) == sum(taken.values())
     assert mix(empty).count() == 0
 
@@ -282,11 +282,11 @@ def test_perplexity_separates(spark, sf_dir):
     from tidemark.llm.kn_quality import judge
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars > 400")
-    junk = docs.filter("doc_id % 10 = 0").withColumn("text", F.regexp_replace("text", "[a-z] ", "### ")).withColumn("doc_id", -F.col("doc_id") - 1)
+    junk = docs.filter("doc_id % 10 = 0").withColumn("text", F.translate("text", "etaoinsr", "zqxjvkwy")).withColumn("doc_id", -F.col("doc_id") - 1)
     got = judge(docs.unionByName(junk)).filter("not base_failed").collect()
     clean = [r["kept"] for r in got if r["doc_id"] >= 0]
     bad = [r["kept"] for r in got if r["doc_id"] < 0]
-    assert np.mean(clean) > 0.75 and np.mean(bad) < 0.1
+    assert np.mean(clean) > 0.75 and np.mean(bad) < 0.2
 
 
 def test_kneser_ney_sums_to_one():

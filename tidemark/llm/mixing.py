@@ -149,16 +149,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, de
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' columns once for each copy, with text cut after `part` words in a partial copy, plus shard and
-    position_key, by which rows of a shard are in random order. n_chars, where docs have it, follows the text.
+    """The mix itself: docs' columns once for each copy, with text cut after `part` words in a partial copy, plus mix_shard and
+    mix_key, by which rows of a shard are in random order. n_chars, where docs have it, follows the text.
     """
-    mixed = mix(docs, **options)
-    copy = mixed.select("*", F.posexplode("shards").alias("copy", "shard"))
-    partial = (F.col("copy") >= F.col("passes")) & (F.col("part") < F.col("size"))
+    docs = docs.drop("mix_shard", "mix_key")
+    # Other names while mixing, so that no column of docs clashes with the mix's own.
+    own = {c: f"_mr_{i}" for i, c in enumerate(docs.columns)}
+    mixed = mix(docs.select(*(F.col(c).alias(n) for c, n in own.items()), *(F.col(c) for c in ("doc_id", "text", "source"))), **options)
+    copy = mixed.select("*", F.posexplode("shards").alias("_mr_copy", "mix_shard"))
+    partial = (F.col("_mr_copy") >= F.col("passes")) & (F.col("part") < F.col("size"))
     # A text splits after each word, separators leading the next; leading separators stay with the first word.
     words = F.split(F.col("text"), "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
-    head = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
-    copy = copy.withColumn("text", F.when(partial, head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        copy = copy.withColumn("n_chars", F.when(partial, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return copy.withColumn("position_key", F.xxhash64(F.lit(1), "doc_id", "copy", "shard")).select(*docs.columns, "shard", "position_key")
+    text = F.when(partial, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("text"))
+    copy = copy.withColumn("text", text).withColumn("mix_key", F.xxhash64(F.lit(1), "doc_id", "_mr_copy", "mix_shard"))
+    value = {c: F.col(n) for c, n in own.items()} | {"text": F.col("text")}
+    if "n_chars" in own:
+        value["n_chars"] = F.when(partial, F.length("text")).otherwise(F.col(own["n_chars"])).cast(dict(docs.dtypes)["n_chars"])
+    return copy.select(*(v.alias(c) for c, v in value.items()), "mix_shard", "mix_key")
