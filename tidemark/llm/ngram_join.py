@@ -287,17 +287,7 @@ def join(docs: DataFrame, width: int = 5, threshold: float = 0.75, heavy: int =
     pairs = materialize(pairs.distinct())
     links = _verify(docs, about, pairs, width, threshold)
     if long_lists is not None:
-        lists = materialize(long_lists)
-        apart = lists.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        mixed = apart.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-        apart = materialize(apart.join(mixed, "h"))
-        x, y = apart.alias("x"), apart.toDF(*apart.columns).alias("y")
-        fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & ~(F.col("x.small") & F.col("y.small"))
-        fit &= F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size") - 1e-9
-        more = x.join(y, (F.col("x.h") == F.col("y.h")) & fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.unionByName(_verify(docs, about, more, width, threshold))
+        links = _long_lists(docs, about, materialize(long_lists), links, width, threshold)
     whole = components(links)
     base = about.select("doc_id", "n_shingles", "node")
     joined = base.filter("n_shingles > 0 and doc_id is not null").join(whole, "node", "left").withColumn("c", F.coalesce("component", "node"))
@@ -308,6 +298,70 @@ def join(docs: DataFrame, width: int = 5, threshold: float = 0.75, heavy: int =
     return found.unionByName(rest)
 
 
+def _long_lists(docs: DataFrame, about: DataFrame, lists: DataFrame, links: DataFrame, width: int, threshold: float, rounds: int = 4, block: int = 4096) -> DataFrame:
+    """links and those that long lists add. Of lists with the same nodes one is enough.
+
+    In each round every list that still spans components compares one node of its own, chosen by a hash, with those outside that
+    node's component: no more pairs than list entries. What then lies outside a list's largest component meets the list's nodes in
+    blocks, bitmap against bitmap; only pairs that the bitmaps allow leave the task.
+    """
+    whole = lists.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", "small")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(5), "node", "small"), F.lit(1 << 30))).alias("s"))
+    lists = materialize(lists.join(whole.groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"))
+
+    def spanning() -> DataFrame:
+        apart = lists.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        mixed = apart.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+        return materialize(apart.join(mixed, "h", "left_semi"))
+
+    fit = lambda x, y: (F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9)
+    for r in range(rounds):
+        apart = spanning()
+        lead = apart.groupBy("h").agg(F.min_by(F.struct("node", "size", "c", "small"), F.xxhash64("h", "node", F.lit(r))).alias("lead"))
+        pairs = apart.join(lead, "h").filter((F.col("c") != F.col("lead.c")) & fit(F.col("size"), F.col("lead.size")) & ~(F.col("small") & F.col("lead.small")))
+        pairs = materialize(pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(_verify(docs, about, pairs, width, threshold))
+    apart = spanning()
+    if apart.isEmpty():
+        return links
+    share = apart.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("out"))
+    share = share.select("h", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("out") / block).cast("int").alias("chunks"))
+    maps = about.filter("doc_id is not null").groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+    rows = materialize(apart.join(share, "h").join(maps, "node"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(c)).cast("int")
+    cols, key = ["h", "block", "chunk", "node", "size", "small", "c", "bitmap"], ["h", "block", "chunk"]
+    members = rows.withColumn("block", part("blocks", 1)).withColumn("chunk", upto("chunks")).select(cols)
+    others = rows.toDF(*rows.columns).filter("c <> main").withColumn("chunk", part("chunks", 2)).withColumn("block", upto("blocks")).select(cols)
+
+    def match(m: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        if len(m) and len(o):
+            pack = lambda p: {n: (np.flatnonzero(p["bitmap"].map(len) == n), np.stack([np.frombuffer(x, np.uint8) for x in p["bitmap"][p["bitmap"].map(len) == n]])) for n in sorted(set(p["bitmap"].map(len)))}
+            fold_ = lambda x, n: x if x.shape[1] == n else fold_(x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :], n)
+            cols_ = lambda p: (p["node"].to_numpy(), p["size"].to_numpy(), p["c"].to_numpy(), p["small"].to_numpy())
+            (node, size, comp, small), (node2, size2, comp2, small2) = cols_(m), cols_(o)
+            for n, (i, x) in pack(m).items():
+                for k, (j, y) in pack(o).items():
+                    if max(n, k) > 2 * min(n, k):
+                        continue  # sizes differ too much
+                    u, v = fold_(x, min(n, k)), fold_(y, min(n, k))
+                    for at in range(0, len(j), 64):
+                        t = j[at : at + 64]
+                        apart_ = np.bitwise_count(u[None, :, :] ^ v[at : at + 64, None, :]).sum(2, dtype=np.int64)
+                        total = size[i][None, :] + size2[t][:, None]
+                        ok = (apart_ <= total * (1 - threshold) / (1 + threshold) + 1e-9) & (comp[i][None, :] != comp2[t][:, None]) & ~(small[i][None, :] & small2[t][:, None])
+                        ok &= np.minimum(size[i][None, :], size2[t][:, None]) >= threshold * np.maximum(size[i][None, :], size2[t][:, None]) - 1e-9
+                        p, q = np.nonzero(ok)
+                        found.append(np.sort(np.stack([node2[t][p], node[i][q]], 1), axis=1))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    pairs = materialize(members.groupBy(key).cogroup(others.groupBy(key)).applyInPandas(match, "a long, b long").distinct())
+    return links if pairs.isEmpty() else links.unionByName(_verify(docs, about, pairs, width, threshold))
+
+
 def _verify(docs: DataFrame, about: DataFrame, pairs: DataFrame, width: int, threshold: float, slice_: int = 4096) -> DataFrame:
     """Links u, v among candidate pairs a, b: exact on whole sets, a spanning forest of each task's links."""
     spark = docs.sparkSession
