@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ END = np.uint64(0x1F83D9ABFB41BD6B)
 MULT = np.uint64(0x9FB21C651E98DF25)
 WORD, PAIR, LEFT, HEAD = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
 DISCOUNT, ALPHA = 0.75, 0.1
-BITS_PER_ITEM, HASHES = 14, 7
+BITS_PER_ITEM, MARKS = 16, 5
 
 
 def _levels(growth: float = 1.2) -> np.ndarray:
@@ -63,16 +64,29 @@ def _items(keys: np.ndarray, levels: np.ndarray, kind: np.uint64, first: int = 1
     return fold(np.repeat(keys, n) ^ (kind + STEPS)[j])
 
 
-def _table(items: np.ndarray) -> bytes:
-    bits = 1 << max(6, int(np.ceil(np.log2(max(1, len(items)) * BITS_PER_ITEM))))
-    marks = np.zeros(bits, bool)
-    for i in range(HASHES):
-        marks[_position(items, i, np.uint64(bits - 1))] = True
-    return np.packbits(marks).tobytes()
+def _marks(items: np.ndarray) -> np.ndarray:
+    """The bits of an item within its 64-bit word."""
+    out = np.zeros(len(items), np.uint64)
+    for i in range(MARKS):
+        out |= np.uint64(1) << ((items >> np.uint64(6 * i)) & np.uint64(63))
+    return out
+
 
+def _word(items: np.ndarray, words) -> np.ndarray:
+    return ((items >> np.uint64(32)) * words >> np.uint64(32)).astype(np.int64)
 
-def _position(items: np.ndarray, i: int, mask) -> np.ndarray:
-    return ((items >> np.uint64(20)) + np.uint64(i) * (items * MULT >> np.uint64(30) | np.uint64(1))) & mask
+
+def _table(items: np.ndarray) -> bytes:
+    """A blocked filter: one word of memory, so one look, for each item."""
+    n = max(1, -(-len(items) * BITS_PER_ITEM // 64))
+    at, marks = _word(items, np.uint64(n)), _marks(items)
+    order = np.argsort(at, kind="stable")
+    at, marks = at[order], marks[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    table = np.zeros(n, np.uint64)
+    if len(first):
+        table[at[first]] = np.bitwise_or.reduceat(marks, first)
+    return table.astype("<u8").tobytes()
 
 
 class Filter:
@@ -80,24 +94,15 @@ class Filter:
 
     def __init__(self, segments: int, tables: dict[int, bytes]):
         self.loaded = np.zeros(segments, bool)
-        self.base, self.mask, at = np.zeros(segments, np.int64), np.zeros(segments, np.uint64), 0
+        self.base, self.size, at = np.zeros(segments, np.int64), np.ones(segments, np.uint64), 0
         for s, t in tables.items():
-            self.loaded[s], self.base[s], self.mask[s] = True, at, len(t) * 8 - 1
-            at += len(t)
-        self.bytes = np.frombuffer(b"".join(tables.values()), np.uint8)
+            self.loaded[s], self.base[s], self.size[s] = True, at, len(t) // 8
+            at += len(t) // 8
+        self.words = np.frombuffer(b"".join(tables.values()), "<u8")
 
     def has(self, segment: np.ndarray, items: np.ndarray) -> np.ndarray:
-        live = np.arange(len(items))
-        for i in range(HASHES):
-            if not len(live):
-                break
-            s = segment[live]
-            p = _position(items[live], i, self.mask[s])
-            byte = self.bytes[self.base[s] + (p >> np.uint64(3)).astype(np.int64)]
-            live = live[(byte >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1 == 1]
-        out = np.zeros(len(items), bool)
-        out[live] = True
-        return out
+        marks = _marks(items)
+        return self.words[self.base[segment] + _word(items, self.size[segment])] & marks == marks
 
     def levels(self, segment: np.ndarray, keys: np.ndarray, kind: np.uint64, first: int = 1) -> np.ndarray:
         """Levels by repeated membership probes."""
@@ -169,7 +174,7 @@ def train(docs: DataFrame, segments: int, least_pair: int = 2, train_only: bool
                 use = np.repeat(~held_out(part.column("doc_id").to_pylist()) | (not train_only), np.diff(begin))
                 held.append((histories(t, begin)[use], t[use]))
                 count += int(use.sum())
-                if count > 2_000_000:
+                if count > 1_000_000:
                     yield from flush()
                     count = 0
         if count:
@@ -203,43 +208,59 @@ def pair_keys(h: np.ndarray, w32: np.ndarray) -> np.ndarray:
 
 
 def _base(docs: DataFrame, model: DataFrame, segments: int) -> DataFrame:
-    """row_key, log_sum (of log10(c + ALPHA) over tokens), n_known, from exact counts; repeated rows add up."""
+    """row_key, log_sum (of log10(c + ALPHA) over tokens), n_known, from exact counts; repeated rows add up.
+
+    A block of rows sends its words to their segments and gets back a sum for each row from each segment, as arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, data, offsets in text_blocks(batch, most=4 << 20):
+            for part, data, offsets in text_blocks(batch):
                 t, begin = tokens(data, offsets)
                 keys = _row_keys(data, offsets, part.column("doc_id").to_pylist())
                 row = np.repeat(np.arange(len(keys)), np.diff(begin))
                 seg = _segment(t, segments)
                 order = np.lexsort((t, row, seg))
                 t, row, seg = t[order], row[order], seg[order]
-                new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (row[1:] != row[:-1]))) if len(t) else np.zeros(0, np.int64)
+                new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (row[1:] != row[:-1])))
                 n = np.diff(np.append(new, len(t)))
                 t, row, seg = t[new], row[new], seg[new]
                 cut = np.searchsorted(seg, np.arange(segments + 1))
+                block += 1
+                first = True
                 for s in range(segments):
                     i, j = cut[s], cut[s + 1]
                     if j > i:
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()]) for x in (keys, row[i:j].astype("<i4"), t[i:j], n[i:j].astype("<i4")))], ["segment", "keys", "rows", "hashes", "times"])
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x.tobytes()]) for x in (keys if first else keys[:0], row[i:j].astype("<i4"), t[i:j], n[i:j].astype("<i4")))], ["segment", "block", "keys", "rows", "hashes", "times"])
+                        first = False
 
     def look(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         words = np.frombuffer(m["words"].iloc[0], np.uint64) if len(m) else np.zeros(0, np.uint64)
         counts = np.frombuffer(m["counts"].iloc[0], "<i8") if len(m) else np.zeros(0, np.int64)
         out = []
-        for keys, rows, hashes, times in zip(p["keys"], p["rows"], p["hashes"], p["times"], strict=True):
-            keys, rows, t, n = (np.frombuffer(x, k) for x, k in ((keys, np.int64), (rows, "<i4"), (hashes, np.uint64), (times, "<i4")))
+        for block, keys, rows, hashes, times in zip(p["block"], p["keys"], p["rows"], p["hashes"], p["times"], strict=True):
+            rows, t, n = (np.frombuffer(x, k) for x, k in ((rows, "<i4"), (hashes, np.uint64), (times, "<i4")))
             at = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
             c = np.where(words[at] == t, counts[at], 0) if len(words) else np.zeros(len(t))
-            logs = np.bincount(rows, weights=n * np.log10(c + ALPHA), minlength=len(keys))
-            known = np.bincount(rows, weights=n * (c > 0), minlength=len(keys))
-            some = np.unique(rows)
-            out.append(pd.DataFrame({"row_key": keys[some], "log_sum": logs[some], "n_known": known[some].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"row_key": np.zeros(0, np.int64), "log_sum": np.zeros(0), "n_known": np.zeros(0, np.int64)})
-
-    sent = docs.select("doc_id", "text").mapInArrow(run, "segment int, keys binary, rows binary, hashes binary, times binary")
-    parts = sent.groupBy("segment").cogroup(model.select("segment", "words", "counts").groupBy("segment")).applyInPandas(look, "row_key long, log_sum double, n_known long")
-    return parts.groupBy("row_key").agg(F.sum("log_sum").alias("log_sum"), F.sum("n_known").alias("n_known"))
+            logs = np.bincount(rows, weights=n * np.log10(c + ALPHA))
+            known = np.bincount(rows, weights=n * (c > 0)).astype(np.int32)
+            out.append((block, keys, logs.tobytes(), known.tobytes()))
+        return pd.DataFrame(out, columns=["block", "keys", "logs", "known"])
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(p["keys"]), np.int64)
+        logs, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        for x, k in zip(p["logs"], p["known"], strict=True):
+            x, k = np.frombuffer(x, float), np.frombuffer(k, np.int32)
+            logs[: len(x)] += x
+            known[: len(k)] += k
+        return pd.DataFrame({"row_key": keys, "log_sum": logs, "n_known": known})
+
+    sent = docs.select("doc_id", "text").mapInArrow(run, "segment int, block long, keys binary, rows binary, hashes binary, times binary")
+    parts = sent.groupBy("segment").cogroup(model.select("segment", "words", "counts").groupBy("segment")).applyInPandas(look, "block long, keys binary, logs binary, known binary")
+    sums = parts.groupBy("block").applyInPandas(add, "row_key long, log_sum double, n_known long")
+    return sums.groupBy("row_key").agg(F.sum("log_sum").alias("log_sum"), F.sum("n_known").alias("n_known"))
 
 
 def log_probabilities(words: Filter, pairs: Filter, t: np.ndarray, h: np.ndarray, total: int, types: int, segments: int) -> np.ndarray:
@@ -276,7 +297,7 @@ def score(docs: DataFrame, segments: int | None = None, least_pair: int = 2, mos
     spark = docs.sparkSession
     if segments is None:  # a segment's counts fit a task's memory
         size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        segments = max(8, min(4096, size // (24 << 20)))
+        segments = max(8, min(1 << 14, size // (8 << 20)))
     model = materialize(train(docs, segments, least_pair))
     sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum(F.length("word_bits")), F.sum(F.length("pair_bits"))).first()
     total, types = sums[0] or 0, sums[1] or 0
