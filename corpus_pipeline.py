@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; so do documents that have nothing else."""
-    return dedup_lines(docs, min_words=8, drop_empty=True).select(*docs.columns)
+    """Later copies of maximal repeated runs of lines go whole; so do documents that have nothing else."""
+    return dedup_lines(docs, min_words=8, drop_empty=True, whole=True).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

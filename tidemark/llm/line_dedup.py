@@ -4,8 +4,12 @@ A document is its sequence of lines that hold a word. Prefix doubling names the
 once: names of runs twice as long come from sorted pairs of names, so they keep the order of the suffixes, and positions whose run
 is unique drop out of further rounds. For each position the shortest run from there with `min_words` words is looked up as a pair
 of overlapping power-of-two runs; positions with equal pairs are an interval of the suffix array whose common prefix is that run.
-All but the first position (doc_id, then line) of an interval are later copies, and the lines of their runs are deleted. Runs that
-overlap or touch make up the maximal repeated runs, since a longer repeated run is covered by its shortest ones.
+All but the first position (doc_id, then line) of an interval are later copies, and the lines of their runs are deleted.
+
+With whole=True the same is done for the shortest runs that end at each position. A line of a longer repeated run lies in the
+shortest run from one of its lines or ends a shortest run within it, so the two kinds together make up the maximal repeated runs,
+whatever their length. With whole=False, the definition of `op7_line_dedup` and its SQL, the last lines of a maximal run stay where
+the shortest run from them would go on beyond its end.
 
 Lines are told apart by 64-bit hashes. Lines without a word are never deleted. Null texts stay null, rows with a null doc_id stay
 as they are, equal rows get equal results (neither is earlier), and rows that share a doc_id but not the text are ordered by a hash
@@ -34,18 +38,27 @@ def _named(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def _shortest(known: DataFrame, min_words: int, step: int) -> DataFrame:
+    """d, x, k, m: the shortest run of m known lines from k on (step 1) or up to k (step -1) with min_words words."""
+    # From running sums: at most min_words lines, since each line has a word.
+    near = known.select("d", "x", "k", F.explode(F.sequence(F.lit(0), F.lit(min_words - 1))).alias("o"), "words").select("d", "x", (F.col("k") - step * F.col("o")).alias("k"), F.struct("o", "words").alias("w"))
+    near = near.filter("k >= 0").groupBy("d", "x", "k").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    total = F.aggregate("w", F.struct(F.lit(0).alias("m"), F.lit(0).alias("sum"), F.lit(True).alias("ok")), lambda s, w: F.when((s["sum"] >= min_words) | ~s["ok"] | (w["o"] != s["m"]), F.struct(s["m"].alias("m"), s["sum"].alias("sum"), (s["ok"] & (s["sum"] >= min_words)).alias("ok"))).otherwise(F.struct((s["m"] + 1).alias("m"), (s["sum"] + w["words"]).alias("sum"), s["ok"])))
+    return near.withColumn("t", total).filter("t.sum >= " + str(min_words)).select("d", "x", "k", F.col("t.m").alias("m"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = 8, whole: bool = False) -> DataFrame:
     """d, x, k, at of the lines to delete."""
     lines = materialize(_lines(docs))
     single = lines.select("d", "x", "k", "h").distinct()
     names = materialize(_named(single, ["h"]))
     ranks = [materialize(single.join(names, "h").select("d", "x", "k", F.col("name").alias("r")))]
-    # The shortest run with enough words, from running sums: at most min_words lines, since each line has a word.
     known = lines.join(ranks[0].select("d", "x", "k"), ["d", "x", "k"], "left_semi").distinct()
-    ahead = known.select("d", "x", "k", F.explode(F.sequence(F.lit(0), F.lit(min_words - 1))).alias("o"), "words").select("d", "x", (F.col("k") - F.col("o")).alias("k"), F.struct("o", "words").alias("w"))
-    ahead = ahead.filter("k >= 0").groupBy("d", "x", "k").agg(F.array_sort(F.collect_list("w")).alias("w"))
-    total = F.aggregate("w", F.struct(F.lit(0).alias("m"), F.lit(0).alias("sum"), F.lit(True).alias("ok")), lambda s, w: F.when((s["sum"] >= min_words) | ~s["ok"] | (w["o"] != s["m"]), F.struct(s["m"].alias("m"), s["sum"].alias("sum"), (s["ok"] & (s["sum"] >= min_words)).alias("ok"))).otherwise(F.struct((s["m"] + 1).alias("m"), (s["sum"] + w["words"]).alias("sum"), s["ok"])))
-    need = materialize(ahead.withColumn("t", total).filter("t.sum >= " + str(min_words)).select("d", "x", "k", F.col("t.m").alias("m")))
+    need = _shortest(known, min_words, 1)
+    if whole:
+        ending = _shortest(known, min_words, -1)
+        need = need.unionByName(ending.withColumn("k", F.col("k") - F.col("m") + 1)).distinct()
+    need = materialize(need)
     longest = need.agg(F.max("m")).first()[0] or 0
     size = 1
     while size * 2 <= longest:
@@ -71,13 +84,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return gone.join(lines.select("d", "x", "k", "at").distinct(), ["d", "x", "k"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, drop_empty: bool = False, whole: bool = False) -> DataFrame:
     """docs with their texts, n_chars where there is such a column, and n_removed and n_runs (deleted lines and maximal runs of them).
 
+    whole: delete all of each later copy of a maximal repeated run, not only what its shortest runs with min_words words cover.
     drop_empty: leave out documents that lost lines and have no word left.
     """
     docs = docs.drop("n_removed", "n_runs")
-    gone = repeated_lines(docs, min_words)
+    gone = repeated_lines(docs, min_words, whole)
     per = gone.groupBy(F.col("d").alias("_ld_d"), F.col("x").alias("_ld_y")).agg(F.array_sort(F.collect_list("k")).alias("_ld_k"), F.array_sort(F.collect_list("at")).alias("_ld_at"))
     out = docs.withColumn("_ld_x", F.xxhash64("text")).join(per, (F.col("doc_id") == F.col("_ld_d")) & (F.col("_ld_x") == F.col("_ld_y")), "left")
     lines = F.split("text", "\n")
