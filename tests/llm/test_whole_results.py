@@ -1,7 +1,9 @@
 """Cases that an operator once did only in part."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,3 +44,38 @@ def test_line_dedup_stage_deletes_whole_runs(spark):
     assert got == want
     staged = {r["doc_id"]: r["text"] for r in line_dedup(spark, docs, "").collect()}
     assert staged == {i: t for i, t in want.items() if t == dict(rows)[i] or WORDS.search(t)}
+
+
+def test_language_model_holds_every_pair(spark):
+    """Scores from exact counts, pairs seen once among them; the filter's rare false positives may raise a few."""
+    from tidemark.llm.bloom_lm import score
+
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    pairs = Counter(p for i, t in enumerate(texts) if not held(i) for w in [[None, *t.split(), None]] for p in zip(w, w[1:]))
+    ones, ahead, kinds = Counter(), Counter(), Counter()
+    for (h, w), n in pairs.items():
+        ones[w] += n
+        ahead[h] += n
+        kinds[h] += 1
+    total, types = sum(ones.values()), len(ones)
+    assert sum(n == 1 for n in pairs.values()) > 0.9 * len(pairs) and max(n for w, n in ones.items() if w) <= 10
+
+    def log10(h, w):
+        p1 = (ones[w] + 0.1) / (total + 0.1 * (types + 1))
+        if not ahead[h]:
+            return math.log10(p1)
+        rest = max(round(0.75 * kinds[h]), 0.5)
+        return math.log10((max(pairs[h, w] - 0.75, 0) + rest * p1) / max(ahead[h], rest))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    near = 0
+    for r in score(docs).collect():
+        w = texts[r["doc_id"]].split()
+        # Ends and the words after them have counts above 10, which the filter rounds.
+        want = sum(log10(a, b) for a, b in zip([None, *w], [*w, None]))
+        near += abs(r["score"] - want) < 0.3
+    # About one probe of 200 is a false positive, so one text of ten has a pair that is raised.
+    assert near >= 0.8 * len(texts)

@@ -2,9 +2,9 @@
 
 Training counts words and pairs of words exactly, in segments of the hash space. A count is quantised to a level of a roughly
 geometric scale, and the filter holds (n-gram, 1), (n-gram, 2), ... up to its level, so that probing until one is missing gives the
-level back: false positives can only raise a count, and ever less likely the further. Kept are all words, pairs seen `least_pair`
-times or more and, for each word that begins such pairs, its count and the mass that discounting leaves for other words. A text's
-probability is the product over its words and its end of
+level back: false positives can only raise a count, and ever less likely the further. Kept are all words, all pairs (with a higher
+`least_pair`, those seen so often) and, for each word that begins such pairs, its count and the mass that discounting leaves for
+other words. A text's probability is the product over its words and its end of
 
     P(w | h) = (max(c(h w) - D, 0) + left(h) * P1(w)) / c(h)   or P1(w) where h begins no kept pair,
 
@@ -143,7 +143,7 @@ def _row_keys(data, offsets, ids) -> np.ndarray:
     return fold(Spans(data).hash(offsets[:-1], offsets[1:]) + np.fromiter((hash(i) & 0xFFFFFFFFFFFFFFFF for i in ids), np.uint64, len(ids)) * MULT).view(np.int64) if len(ids) else np.zeros(0, np.int64)
 
 
-def train(docs: DataFrame, segments: int, least_pair: int = 2, train_only: bool = True) -> DataFrame:
+def train(docs: DataFrame, segments: int, least_pair: int = 1, train_only: bool = True) -> DataFrame:
     """One row per segment: words and counts (sorted by word), the tables of words and of pairs, n_tokens, n_types."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def train(docs: DataFrame, segments: int, least_pair: int = 2, train_only: bool
         some = np.add.reduceat(kept.astype(np.int64), head) > 0
         words = _table(_items(word, level(total), WORD))
         left = np.rint(total - taken)[some].astype(np.int64) + 1
-        pairs = [_items(pair_keys(h[kept], w[kept]), level(n[kept]), PAIR, 2), _items(word[some], level(left), LEFT), _items(word[some], level(total[some]), HEAD)]
+        pairs = [_items(pair_keys(h[kept], w[kept]), level(n[kept]), PAIR), _items(word[some], level(left), LEFT), _items(word[some], level(total[some]), HEAD)]
         return pd.DataFrame({"segment": [p["segment"].iloc[0]], "words": [word.tobytes()], "counts": [total.astype("<i8").tobytes()], "word_bits": [words], "pair_bits": [_table(np.concatenate(pairs))], "n_tokens": [int(total.sum())], "n_types": [len(word)]})
 
     shuffled = docs.select("doc_id", "text").mapInArrow(run, "segment int, heads binary, fans binary, nexts binary, counts binary, large binary")
@@ -284,7 +284,7 @@ def log_probabilities(words: Filter, pairs: Filter, t: np.ndarray, h: np.ndarray
     p = p1.copy()
     some = np.flatnonzero(begins[of_head])
     key, first, inverse = np.unique(pair_keys(h[some], (t[some] >> np.uint64(32)).astype(np.uint32)), return_index=True, return_inverse=True)
-    c = VALUES_OF[pairs.levels(_segment(h[some][first], segments), key, PAIR, 2)][inverse]
+    c = VALUES_OF[pairs.levels(_segment(h[some][first], segments), key, PAIR)][inverse]
     n = ahead[of_head[some]]
     c = np.minimum(c, n)
     p[some] = (np.where(c > 0, c - DISCOUNT, 0) + rest[of_head[some]] * p1[some]) / np.maximum(n, rest[of_head[some]])
@@ -292,7 +292,7 @@ def log_probabilities(words: Filter, pairs: Filter, t: np.ndarray, h: np.ndarray
     return out
 
 
-def score(docs: DataFrame, segments: int | None = None, least_pair: int = 2, most_bytes: int = 512 << 20) -> DataFrame:
+def score(docs: DataFrame, segments: int | None = None, least_pair: int = 1, most_bytes: int = 512 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     if segments is None:  # a segment's counts fit a task's memory
