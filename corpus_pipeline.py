@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.kit import materialize
 from tidemark.llm.kn_quality import keep
@@ -32,10 +33,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group of near-duplicates; rows without an id stay."""
-    groups = materialize(join(docs))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates stays: the smallest id, then the smallest hash of the text, then of the other columns.
+
+    Rows are judged one by one where ids repeat; equal rows are one. Rows without an id stay.
+    """
+    if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        groups = materialize(join(docs))
+        gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    others = F.to_json(F.struct(F.lit(0).alias("_nd_0"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    rows = docs.filter("doc_id is not null").withColumn("_nd_x", F.xxhash64("text")).withColumn("_nd_y", F.xxhash64(others))
+    keys = ["doc_id", "_nd_x", "_nd_y"]
+    named = materialize(rows.select(*keys).distinct().orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("_nd_row")))
+    rows = materialize(rows.join(named, keys).dropDuplicates(["_nd_row"]))
+    groups = materialize(join(rows.select(F.col("_nd_row").alias("doc_id"), "text")))
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_nd_row"))
+    return rows.join(kept, "_nd_row", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

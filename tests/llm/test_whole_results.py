@@ -79,3 +79,37 @@ def test_language_model_holds_every_pair(spark):
         near += abs(r["score"] - want) < 0.3
     # About one probe of 200 is a false positive, so one text of ten has a pair that is raised.
     assert near >= 0.8 * len(texts)
+
+
+def test_near_dedup_stage_judges_rows(spark):
+    """By comparing all pairs of rows; ids repeat with equal texts and with different ones."""
+    from corpus_pipeline import near_dedup
+
+    rng = random.Random(13)
+    long = [" ".join(f"n{rng.randrange(500)}" for _ in range(40)) for _ in range(12)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    rows = [(1, long[0]), (5, near(long[0])), (5, long[1]), (7, long[2]), (7, long[2]), (None, long[0]), (None, long[0])]
+    rows += [(rng.randrange(8, 20), rng.choice([str, near])(rng.choice(long[3:]))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    left, groups = [r for r in rows if r[0] is not None], []
+    while left:
+        group, todo = [], [left.pop()]
+        while todo:
+            a = todo.pop()
+            group.append(a)
+            x = shingles(a[1])
+            todo += (more := [b for b in left if 4 * len(x & shingles(b[1])) >= 3 * len(x | shingles(b[1]))])
+            for b in more:
+                left.remove(b)
+        groups.append(group)
+    got = [(r["doc_id"], r["text"]) for r in near_dedup(spark, docs, "").collect()]
+    assert got.count((None, long[0])) == 2 and (5, long[1]) in got and got.count((7, long[2])) == 1
+    assert len(got) == len(groups) + 2
+    for g in groups:
+        stay = [r for r in got if r in g]
+        assert len(stay) == 1 and stay[0][0] == min(i for i, _ in g)
