@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -113,3 +115,11 @@ def test_near_dedup_stage_judges_rows(spark):
     for g in groups:
         stay = [r for r in got if r in g]
         assert len(stay) == 1 and stay[0][0] == min(i for i, _ in g)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 2 / 3])
+def test_ngram_join_refuses_thresholds_it_would_search_in_part(threshold):
+    from tidemark.llm.ngram_join import join
+
+    with pytest.raises(ValueError, match="threshold"):
+        join(None, threshold=threshold)

@@ -245,7 +245,9 @@ def _pairs_of_lists(key, node, size, only, threshold: float, most: int) -> tuple
 
 
 def join(docs: DataFrame, width: int = 5, threshold: float = 0.75, heavy: int = 32, boundary: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text). The threshold is above 2/3."""
+    if not 2 / 3 < threshold <= 1:  # below, sets of two shingles have unequal partners, and signatures of pairs miss some
+        raise ValueError(f"threshold {threshold} is not above 2/3 and at most 1")
     spark = docs.sparkSession
     sc = spark.sparkContext
     about = materialize(describe(docs, width, threshold))
