@@ -21,13 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import Spans, materialize, text_blocks
+from tidemark.llm.kit import Spans, materialize, release, text_blocks
 
 LOW = np.uint64(0xFFFFFFFF)
 RUN = 100_000
+SPLIT = 32  # bytes of a context that ranges are cut by; equal windows share a gram, which isn't shorter
+MOST_SAMPLES = 512  # of one task
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -216,6 +219,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     about = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(8, min(1 << 14, about // (8 << 20)))
+    split = min(SPLIT, gram)
+    prefix = f"S{split}"
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, samples = [], 0, []
@@ -238,45 +243,51 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
                 held.append(h)
                 count += len(h)
                 picked = a[h % np.uint64(1024) == 0]
-                samples += [data[i : i + 8].tobytes() for i in picked.tolist()]
+                samples += [data[i : i + split].tobytes() for i in picked.tolist()]
                 if count > 2_000_000:
                     yield from flush()
                     count = 0
         if held:
             yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b"".join(x for x in sorted(samples)[:: max(1, len(samples) // 512)] if len(x) == 8)], pa.binary()), pa.array([b""])], ["segment", "keys", "twice"])
-
-    # The filter has a part for each segment of the hash space, and twelve bits or more for each repeated hash.
-    counted = materialize(texts.mapInArrow(hashes, "segment int, keys binary, twice binary"))
-    sampled = np.concatenate([np.zeros(0, ">u8"), *(np.frombuffer(r[0], ">u8") for r in counted.filter("segment < 0").select("keys").limit(4096).collect())])
-    splitters = np.sort(sampled)[np.arange(1, segments) * len(sampled) // segments].astype(np.uint64) if len(sampled) else np.zeros(0, np.uint64)
-
-    def repeats(p: pd.DataFrame) -> np.ndarray:
+        chosen = b"".join(sorted(samples)[:: max(1, len(samples) // MOST_SAMPLES)][:MOST_SAMPLES])
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId() % 64], pa.int32()), pa.array([chosen], pa.binary()), pa.array([b""])], ["segment", "keys", "twice"])
+
+    # The filter has a part for each segment of the hash space, and twelve bits or more for each repeated hash. The counts travel
+    # once; only hashes that repeat are written, and the filter is filled where they lie.
+    def repeats(p: pd.DataFrame) -> pd.DataFrame:
+        segment = int(p["segment"].iloc[0])
+        if segment < 0:  # samples of one group of tasks
+            some = np.sort(np.frombuffer(b"".join(p["keys"]), prefix))
+            return pd.DataFrame({"segment": [segment], "n": [0], "keys": [some[:: max(1, len(some) // 4096)].tobytes()]})
         keys = np.concatenate([np.frombuffer(x, "<u4") for x in p["keys"]])
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(k) // 4) for k, t in zip(p["keys"], p["twice"], strict=True)]).astype(bool)
         order = np.argsort(keys, kind="stable")
         keys, twice = keys[order], twice[order]
-        same = keys[1:] == keys[:-1]
-        return np.unique(np.concatenate([keys[twice], keys[1:][same]]))
+        again = np.unique(np.concatenate([keys[twice], keys[1:][keys[1:] == keys[:-1]]]))
+        return pd.DataFrame({"segment": [segment], "n": [len(again)], "keys": [again.tobytes()]})
 
-    hashed = counted.filter("segment >= 0").groupBy("segment")
-    sizes = materialize(hashed.applyInPandas(lambda p: pd.DataFrame({"segment": [p["segment"].iloc[0]], "n": [len(repeats(p))]}), "segment int, n long"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    repeated = materialize(texts.mapInArrow(hashes, "segment int, keys binary, twice binary").groupBy("segment").applyInPandas(repeats, "segment int, n long, keys binary"))
+    sampled = np.sort(np.concatenate([np.zeros(0, prefix), *(np.frombuffer(r[0], prefix) for r in repeated.filter("segment < 0").select("keys").collect())]))
+    splitters = np.unique(sampled[np.arange(1, segments) * len(sampled) // segments]) if len(sampled) else np.zeros(0, prefix)
+    largest = repeated.agg(F.max("n")).first()[0] or 0
     bits = 1 << max(10, int(np.ceil(np.log2(12 * max(largest, 1)))))
     use = segments * bits // 8 <= most_filter_bytes
 
-    def fill(p: pd.DataFrame) -> pd.DataFrame:
-        keys, table = repeats(p).astype(np.uint64), np.zeros(bits, bool)
-        for x in _probes(keys, bits):
-            table[x] = True
-        return pd.DataFrame({"segment": [p["segment"].iloc[0]], "bits": [np.packbits(table).tobytes()]})
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for segment, keys in zip(p["segment"], p["keys"], strict=True):
+                table = np.zeros(bits, bool)
+                for x in _probes(np.frombuffer(keys, "<u4").astype(np.uint64), bits):
+                    table[x] = True
+                yield pd.DataFrame({"segment": [segment], "bits": [np.packbits(table).tobytes()]})
 
     filter_ = None
     if use:
         whole = np.zeros((segments, bits // 8), np.uint8)
-        for r in hashed.applyInPandas(fill, "segment int, bits binary").toLocalIterator():
+        for r in repeated.filter("segment >= 0").select("segment", "keys").mapInPandas(fill, "segment int, bits binary").toLocalIterator():
             whole[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
         filter_ = sc.broadcast(whole)
+    release(repeated)
     width = 2 * length - gram + 4
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +307,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
             first = np.maximum.accumulate(np.where(~same, np.arange(len(rows)), 0))
             again = same & ((doc != doc[first]) | (pos != pos[first]))
             if again.any():  # an equal context comes earlier: all windows of these are repeats
-                yield row(-1, doc[again], pos[again], least[again], most[again], b"", b"")
+                yield row(-1 - TaskContext.get().partitionId() % segments, doc[again], pos[again], least[again], most[again], b"", b"")
             rows, doc, pos, least, most = (x[~same] for x in (rows, doc, pos, least, most))
-            seg = np.searchsorted(splitters, np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64), "right")
+            seg = np.searchsorted(splitters, np.ascontiguousarray(rows[:, :split]).view(prefix).ravel(), "right")
             cut = np.searchsorted(seg, np.arange(len(splitters) + 2))
             for s in range(len(splitters) + 1):
                 i, j = cut[s], cut[s + 1]
@@ -325,8 +336,6 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
         if count:
             yield from flush()
 
-    sorted_runs = materialize(texts.mapInArrow(runs, "segment int, doc binary, pos binary, least binary, most binary, shared binary, rest binary"))
-
     def read(p: pd.DataFrame, name: str, kind: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in p[name]]).astype(np.int64)
 
@@ -339,12 +348,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
         found = [(doc[i], *_merge_spans(start[i:j], end[i:j])) for i, j in zip(cut, [*cut[1:], len(doc)], strict=True)] if len(doc) else []
         return pd.DataFrame({"doc_id": np.concatenate([np.zeros(0, np.int64), *(np.full(len(s), d) for d, s, _ in found)]), "start": np.concatenate([np.zeros(0, np.int64), *(s for _, s, _ in found)]), "end": np.concatenate([np.zeros(0, np.int64), *(e for _, _, e in found)])})
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                yield spans(read(p, "doc", "<i8"), read(p, "pos", "<i8"), read(p, "least", "<u2"), read(p, "most", "<u2"))
-
     def merge(p: pd.DataFrame) -> pd.DataFrame:
+        if p["segment"].iloc[0] < 0:  # settled before: all windows are repeats
+            return spans(read(p, "doc", "<i8"), read(p, "pos", "<i8"), read(p, "least", "<u2"), read(p, "most", "<u2"))
         p = p.sort_values(["doc", "pos"], key=lambda c: c.map(bytes))  # any fixed order of runs
         decoded = [front_decode(s, r, width) for s, r in zip(p["shared"], p["rest"], strict=True)]
         base = np.cumsum([0, *(len(d[0]) for d in decoded)])
@@ -358,9 +364,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
         hit = low >= 0
         return spans(doc[hit], pos[hit], low[hit], high[hit])
 
-    schema = "doc_id long, start long, end long"
-    at_once = sorted_runs.filter("segment < 0").mapInPandas(local, schema)
-    return at_once.unionByName(sorted_runs.filter("segment >= 0").groupBy("segment").applyInPandas(merge, schema))
+    schema = "segment int, doc binary, pos binary, least binary, most binary, shared binary, rest binary"
+    return texts.mapInArrow(runs, schema).groupBy("segment").applyInPandas(merge, "doc_id long, start long, end long")
 
 
 def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
