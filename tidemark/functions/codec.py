@@ -93,32 +93,46 @@ def _expand(b: bytes, codec: int, raw: int, dictionary: bytes | None) -> bytes:
 
 
 def encode_block(txs: list[tuple[bytes, bytes]], codec: str = "zstd", dictionary: bytes | None = None) -> bytes:
-    """(signature, body) pairs: header, then signatures as one column and marked, length-led bodies as the other, compressed."""
-    raw = b"".join(s.ljust(SIGNATURE, b"\0")[:SIGNATURE] for s, _ in txs) + b"".join(bytes([MARK]) + put_varint(len(b)) + b for _, b in txs)
+    """(signature, body) pairs: header, plain signatures as one column, and marked, length-led bodies as the other, compressed.
+
+    The header's sizes are those of the bodies. An empty signature is zeros; one of any other length is an error.
+    """
+    for i, (s, _) in enumerate(txs):
+        if len(s) not in (0, SIGNATURE):
+            raise ValueError(f"signature {i} has {len(s)} bytes")
+    raw = b"".join(bytes([MARK]) + put_varint(len(b)) + b for _, b in txs)
     packed = _compress(raw, codec, dictionary)
-    return HEADER.pack(MAGIC, CODECS[codec], len(txs), len(raw), len(packed)) + packed
+    return HEADER.pack(MAGIC, CODECS[codec], len(txs), len(raw), len(packed)) + b"".join(s.ljust(SIGNATURE, b"\0") for s, _ in txs) + packed
+
+
+def raw_size(block: bytes) -> int:
+    """Bytes of a block's bodies before compression, from its header."""
+    return HEADER.unpack_from(block)[3]
 
 
 def decode_block(block: bytes, dictionary: bytes | None = None) -> list[tuple[bytes, bytes]]:
     if len(block) < HEADER.size:
         raise ValueError("truncated block")
-    magic, codec, n, raw_size, packed_size = HEADER.unpack_from(block)
+    magic, codec, n, size_raw, size_packed = HEADER.unpack_from(block)
     if magic != MAGIC:
         raise ValueError("bad magic")
-    if len(block) != HEADER.size + packed_size:
+    signatures, bodies = HEADER.size, HEADER.size + n * SIGNATURE
+    if len(block) != bodies + size_packed:
         raise ValueError("truncated block")
-    raw = _expand(block[HEADER.size :], codec, raw_size, dictionary)
-    if len(raw) != raw_size or raw_size < n * SIGNATURE:
+    raw = _expand(block[bodies:], codec, size_raw, dictionary)
+    if len(raw) != size_raw:
         raise ValueError("bad size")
-    at, out = n * SIGNATURE, []
+    at, out = 0, []
     for i in range(n):
         if at >= len(raw) or raw[at] != MARK:
             raise ValueError("bad mark")
         size, at = get_varint(raw, at + 1)
         if at + size > len(raw):
             raise ValueError("truncated body")
-        out.append((raw[i * SIGNATURE : (i + 1) * SIGNATURE], raw[at : at + size]))
+        out.append((block[signatures + i * SIGNATURE : signatures + (i + 1) * SIGNATURE], raw[at : at + size]))
         at += size
+    if at != len(raw):
+        raise ValueError("bytes after the last body")
     return out
 
 
@@ -128,7 +142,7 @@ def encode_blocks(txs: DataFrame, block_size: int = 1000, codec: str = "zstd") -
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["seq"].to_pylist(), table["sig"].to_pylist(), table["body"].to_pylist(), strict=True))
         data = encode_block([(s, b) for _, s, b in rows], codec)
-        raw = sum(SIGNATURE + 1 + len(put_varint(len(b))) + len(b) for _, _, b in rows)
+        raw = raw_size(data)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(rows)], pa.int64()), "raw_size": pa.array([raw], pa.int64()), "data": pa.array([data], pa.binary())})
 
     return txs.select("block", "seq", "sig", "body").groupBy("block").applyInArrow(run, "block long, n long, raw_size long, data binary")

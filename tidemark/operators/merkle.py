@@ -13,6 +13,7 @@ from tidemark.functions.encoding import be, be64, from_be
 
 ZERO = "00" * 32
 DELETED = "__DELETED_NODE__"
+KEY_BITS, KEY_LEVELS = 11, 6  # of state_root: six levels hold 64 bits
 
 
 def digest(*parts: Column) -> Column:
@@ -38,7 +39,10 @@ def unpack(row: Column, widths: list[int]) -> list[Column]:
 
 
 def leaves(store: DataFrame, width: int = 8) -> DataFrame:
-    """tree, key (hexadecimal, width bytes), hash of a store's rows."""
+    """tree, key (hexadecimal, width bytes), hash of a store's rows. An id that doesn't fit the width is an error."""
+    if width < 8:
+        fits = (F.col("id") >= 0) & (F.col("id") < F.lit(1 << 8 * width))
+        store = store.withColumn("id", F.when(fits, F.col("id")).otherwise(F.raise_error(F.format_string(f"id %d needs more than {width} bytes", "id")).cast("bigint")))
     key = F.right(F.lpad(F.hex("id"), F.lit(16), F.lit("0")), F.lit(2 * width))
     value = F.coalesce(F.col("value").cast("binary"), F.lit("").cast("binary"))
     return store.select("tree", key.alias("key"), digest(be64(F.col("id")), value).alias("hash"))
@@ -97,8 +101,10 @@ def _fold_once(level: Column) -> Column:
     return F.transform(pairs, lambda i: F.sha2(F.unhex(F.concat(F.get(level, 2 * i), F.coalesce(F.get(level, 2 * i + 1), F.lit(ZERO)))), 256))
 
 
-def fold_levels(roots: DataFrame, most: int = 16) -> DataFrame:
-    """One row with the levels of the binary fold over tables by name; one table passes through. There are few tables: a list."""
+def fold_levels(roots: DataFrame, most: int = 31) -> DataFrame:
+    """One row with the levels of the binary fold over tables by name; one table passes through. There are few tables: a list, which
+    can't have more than 2**31 entries, so `most` levels always reach one node.
+    """
     out = roots.agg(F.array_sort(F.collect_list(F.struct("tree", "root"))).alias("t")).select(F.transform("t", lambda x: x["tree"]).alias("trees"), F.transform("t", lambda x: x["root"]).alias("l0"))
     levels = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array("l0"), lambda ls, _: F.when(F.size(F.element_at(ls, -1)) > 1, F.concat(ls, F.array(_fold_once(F.element_at(ls, -1))))).otherwise(ls))
     return out.select("trees", levels.alias("levels"))
@@ -125,12 +131,15 @@ def verify_path(leaf: Column, path: Column, root: Column) -> Column:
 
 
 def state_root(rows: DataFrame, key: str, value: Column, deleted: Column) -> DataFrame:
-    """Digest of sorted (key, digest) pairs, deleted ones as DEAD: first by ranges of keys, then over the ranges."""
-    h = F.when(deleted, F.hex(F.lit("DEAD").cast("binary"))).otherwise(F.sha2(value.cast("string").cast("binary"), 256))
-    part = rows.select(F.col(key).alias("k"), h.alias("h")).withColumn("p", F.floor(F.col("k") / 64))
-    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "h"))), lambda x: F.concat(F.lpad(F.hex(x[c]), F.lit(16), F.lit("0")), x["h"])), "")
-    parts = part.groupBy("p").agg(F.sha2(F.unhex(ordered("k")), 256).alias("h"))
-    return parts.agg(F.sha2(F.unhex(ordered("p")), 256).alias("state_root"))
+    """Digest of sorted (key, digest) pairs, deleted ones as the bytes DE AD, in levels: keys that share all but their last KEY_BITS
+    bits make a node, whose key is the rest, and so on up to one node. No node gathers more than 2**KEY_BITS children.
+    """
+    h = F.when(deleted, F.lit("DEAD")).otherwise(F.sha2(value.cast("string").cast("binary"), 256))
+    level = rows.select(F.col(key).alias("k"), h.alias("h"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: F.concat(F.lpad(F.hex(x["k"]), F.lit(16), F.lit("0")), x["h"])), "")
+    for _ in range(KEY_LEVELS):
+        level = level.groupBy(F.shiftrightunsigned("k", KEY_BITS).alias("p")).agg(F.sha2(F.unhex(ordered), 256).alias("h")).select(F.col("p").alias("k"), "h")
+    return level.select(F.col("h").alias("state_root"))
 
 
 def sparse_tree(keyed: DataFrame, depth: int = 8) -> DataFrame:

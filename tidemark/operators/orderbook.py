@@ -108,37 +108,61 @@ def cancel_trader(orders: DataFrame, traders: DataFrame) -> DataFrame:
     return orders.join(traders.select("trader_id"), "trader_id", "left_anti")
 
 
-def sweep(orders: DataFrame, takers: DataFrame, bucket: int = 4096) -> DataFrame:
-    """Trades of market buys, in their order of arrival, against the asks of a fixed book.
+def sweep(orders: DataFrame, takers: DataFrame, side: str = "BUY") -> DataFrame:
+    """Trades of market orders of a side, in their order of arrival, against the other side of a fixed book.
 
-    Makers in execution order and takers in arrival order cut the same axis of volume into intervals; trades are their overlaps.
-    Both sides are dealt to buckets of the axis, so that the range join is an equi-join with a filter.
+    Makers in execution order and takers in arrival order cut the same axis of volume into intervals, none of a side overlapping. A
+    trade begins where an interval of either side does; its maker and taker are the last ones that began, and it ends where the
+    first of them does. So there are no more trades than orders, whatever their volumes.
     """
-    asks = execution_rank(orders.filter("side = 'SELL'")).select("order_id", "trader_id", "price", "remaining", F.col("depth").alias("m_end")).withColumn("m_start", F.col("m_end") - F.col("remaining"))
-    want = running_sum(takers, "arrival", "size").select("taker_id", "size", F.col("running").alias("t_end")).withColumn("t_start", F.col("t_end") - F.col("size"))
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket))).alias("b")
-    x = asks.select("*", span("m_start", "m_end"))
-    y = want.filter("size > 0").select("*", span("t_start", "t_end"))
-    low, high = F.greatest("m_start", "t_start"), F.least("m_end", "t_end")
-    hit = x.join(y, "b").filter((low < high) & (F.floor(low / bucket) == F.col("b")))
-    out = hit.select("taker_id", F.col("order_id").alias("maker_id"), F.col("trader_id").alias("maker_trader"), "price", (high - low).alias("size"), (F.col("t_end") > high).alias("taker_partial"), (F.col("m_end") > high).alias("maker_partial"))
-    return out
-
-
-def running_sum(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
+    against = execution_rank(orders.filter(F.col("side") == ("SELL" if side == "BUY" else "BUY"))).filter("remaining > 0")
+    maker = F.struct(F.col("order_id").alias("id"), "trader_id", "price", F.col("depth").alias("end"))
+    makers = against.select((F.col("depth") - F.col("remaining")).alias("at"), maker.alias("maker"))
+    want = running_sum(takers.filter("size > 0"), "arrival", "size")
+    taker = F.struct(F.col("taker_id").alias("id"), F.col("running").alias("end"))
+    starts = makers.unionByName(want.select((F.col("running") - F.col("size")).alias("at"), taker.alias("taker")), allowMissingColumns=True)
+    points = starts.groupBy("at").agg(F.first("maker", ignorenulls=True).alias("maker"), F.first("taker", ignorenulls=True).alias("taker"))
+    both = running_last(points, "at", ["maker", "taker"])
+    high = F.least("maker.end", "taker.end")
+    hit = both.filter(F.col("maker").isNotNull() & F.col("taker").isNotNull() & (high > F.col("at")))
+    return hit.select(F.col("taker.id").alias("taker_id"), F.col("maker.id").alias("maker_id"), F.col("maker.trader_id").alias("maker_trader"), "maker.price", (high - F.col("at")).alias("size"), (F.col("taker.end") > high).alias("taker_partial"), (F.col("maker.end") > high).alias("maker_partial"))
+
+
+ROWS_IN_PART = 100_000
+
+
+def _parts(df: DataFrame, order: str) -> DataFrame:
+    """df with `_part`: equal parts of the column's range, 64 or as many as the rows need, four times over for uneven ranges."""
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.greatest(F.lit(64), F.ceil(F.count(F.lit(1)) * 4 / ROWS_IN_PART)).alias("parts"))
+    share = (F.col(order) - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo") + 1).cast("double")
+    part = F.least(F.col("parts") - 1, F.floor(share * F.col("parts"))).cast("int")
+    return df.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("lo", "hi", "parts")
+
+
+def running_sum(df: DataFrame, order: str, value: str) -> DataFrame:
     """df with `running`, the sum of value up to and with the row in the order of a unique column, without one task seeing all rows.
 
-    The column's range is cut into equal parts whose sums come first; rows then add up within their part.
+    The column's range is cut into parts whose sums come first; rows then add up within their part.
     """
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    part = F.least(F.lit(parts - 1), F.floor((F.col(order) - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1))).cast("int")
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("lo", "hi")
+    cut = _parts(df, order)
     sums = cut.groupBy("_part").agg(F.sum(value).alias("s"))
     before = sums.select("_part", F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return cut.join(F.broadcast(before), "_part").withColumn("running", F.col("_before") + inside).drop("_part", "_before")
 
 
+def running_last(df: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """df with each of the values replaced by the last one that isn't null up to and with the row, part by part like running_sum."""
+    cut = _parts(df, order)
+    ends = cut.groupBy("_part").agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values))
+    past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_part", *(F.last(v, ignorenulls=True).over(past).alias(f"_b{i}") for i, v in enumerate(values)))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cut.join(F.broadcast(before), "_part")
+    found = {v: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_b{i}")) for i, v in enumerate(values)}
+    return out.select(*(c for c in df.columns if c not in values), *(f.alias(v) for v, f in found.items()))
+
+
 def validate(orders: DataFrame, low: int, high: int, most: int) -> DataFrame:
     """Orders that break a rule, with the rule."""
     reason = F.when(~F.col("price").between(low, high), "price").when(F.col("size") > most, "size").when(F.col("filled") > F.col("size"), "filled")

@@ -89,22 +89,26 @@ def contiguous_nonces(tx: DataFrame, users: DataFrame, buffer: int = 1024) -> Da
 def bursts(tx: DataFrame, most: int = 50) -> DataFrame:
     """Consecutive transactions of one user, cut after `most`: burst_start, uid, n.
 
-    A row starts a run if its predecessor by arrival is another user's. Runs are found within ranges of arrival, each of which also
-    sees the last row before it; a run's number is then its user and its first arrival.
+    Rows are numbered by arrival without gaps; a row whose predecessor is another user's starts a run. Runs are numbered by running
+    sums over ranges of arrival, so neither a user nor a run has to fit one task.
     """
-    before = tx.select((F.col("arrival") + 1).alias("arrival"), F.col("uid").alias("_uid"))
-    marked = tx.select("arrival", "uid").join(before, "arrival", "left").withColumn("_new", ~F.col("uid").eqNullSafe(F.col("_uid")))
-    w = Window.partitionBy("uid").orderBy("arrival")
-    runs = marked.withColumn("_start", F.last(F.when(F.col("_new"), F.col("arrival")), ignorenulls=True).over(w))
-    part = F.floor((F.col("arrival") - F.col("_start")) / most)
-    return runs.groupBy("uid", "_start", part.alias("_part")).agg(F.min("arrival").alias("burst_start"), F.count(F.lit(1)).alias("n")).select("burst_start", "uid", "n")
+    from tidemark.operators.orderbook import running_sum
+
+    rows = running_sum(tx.select("arrival", "uid").withColumn("_one", F.lit(1)), "arrival", "_one").select("arrival", "uid", F.col("running").alias("_n"))
+    before = rows.select((F.col("_n") + 1).alias("_n"), F.col("uid").alias("_uid"), F.lit(True).alias("_has"))
+    new = ~F.coalesce(F.col("_has") & F.col("uid").eqNullSafe(F.col("_uid")), F.lit(False))
+    marked = rows.join(before, "_n", "left").withColumn("_new", new.cast("int")).drop("_uid", "_has")
+    runs = running_sum(marked, "_n", "_new")
+    first = runs.filter("_new = 1").select("running", F.col("_n").alias("_first"))
+    part = F.floor((F.col("_n") - F.col("_first")) / most)
+    return runs.join(first, "running").groupBy("running", part.alias("_part")).agg(F.min("arrival").alias("burst_start"), F.first("uid").alias("uid"), F.count(F.lit(1)).alias("n")).select("burst_start", "uid", "n")
 
 
-def batches(tx: DataFrame, size: int, parts: int = 64) -> DataFrame:
+def batches(tx: DataFrame, size: int) -> DataFrame:
     """tx with batch: rows numbered by arrival, `size` to a batch. Numbers come from counts of ranges of arrival first."""
     from tidemark.operators.orderbook import running_sum
 
-    return running_sum(tx.withColumn("_one", F.lit(1)), "arrival", "_one", parts).withColumn("batch", F.floor((F.col("running") - 1) / size)).drop("running", "_one")
+    return running_sum(tx.withColumn("_one", F.lit(1)), "arrival", "_one").withColumn("batch", F.floor((F.col("running") - 1) / size)).drop("running", "_one")
 
 
 def batch_verdicts(tx: DataFrame, size: int, valid: Column) -> DataFrame:

@@ -52,34 +52,35 @@ def tree_sql(width: int) -> str:
     return ctes
 
 
-TREES = tree_sql(4)
+WIDTH = 8
+TREES = tree_sql(WIDTH)
 
 
 @query("tree_roots", with_views("v_store", TREES + " SELECT tree, hash AS root FROM n0"))
 def tree_roots(spark, d):
-    return mk.tree_roots(t.store(spark, d), 4)
+    return mk.tree_roots(t.store(spark, d), WIDTH)
 
 
-@query("tree_nodes", with_views("v_store", TREES + " SELECT tree, 3 AS depth, key, hash FROM n3 UNION ALL SELECT tree, 2, key, hash FROM n2"))
+@query("tree_nodes", with_views("v_store", TREES + " SELECT tree, 7 AS depth, key, hash FROM n7 UNION ALL SELECT tree, 6, key, hash FROM n6"))
 def tree_nodes(spark, d):
-    return mk.all_nodes(t.store(spark, d), 4).filter("depth in (2, 3)").select("tree", "depth", "key", "hash")
+    return mk.all_nodes(t.store(spark, d), WIDTH).filter("depth in (6, 7)").select("tree", "depth", "key", "hash")
 
 
 @query("root_after_update", with_views("v_store", TREES.replace("FROM v_store)", "FROM (SELECT tree, id, CASE WHEN id % 50 = 0 THEN 'new' ELSE value END AS value FROM v_store WHERE id % 40 <> 1))", 1) + " SELECT tree, hash AS root FROM n0"))
 def root_after_update(spark, d):
     """Roots after some rows change and some go, from stored nodes: only changed paths are hashed again."""
     store = t.store(spark, d)
-    nodes = mk.all_nodes(store, 4)
-    new = mk.leaves(store.filter("id % 50 = 0 and id % 40 <> 1").withColumn("value", F.lit("new")), 4)
-    gone = mk.leaves(store.filter("id % 40 = 1"), 4).withColumn("hash", F.lit(None).cast("string"))
-    return mk.update_nodes(nodes, new.unionByName(gone), 4).filter("depth = 0").select("tree", F.col("hash").alias("root"))
+    nodes = mk.all_nodes(store, WIDTH)
+    new = mk.leaves(store.filter("id % 50 = 0 and id % 40 <> 1").withColumn("value", F.lit("new")), WIDTH)
+    gone = mk.leaves(store.filter("id % 40 = 1"), WIDTH).withColumn("hash", F.lit(None).cast("string"))
+    return mk.update_nodes(nodes, new.unionByName(gone), WIDTH).filter("depth = 0").select("tree", F.col("hash").alias("root"))
 
 
-@query("root_with_tombstones", with_views("v_store", TREES.replace("AS hash FROM v_store)", "AS h0, id FROM v_store), n4 AS (SELECT tree, key, CASE WHEN id % 40 = 1 THEN sha256('__DELETED_NODE__') ELSE h0 END AS hash FROM n4x)", 1).replace("n4 AS (SELECT tree, right", "n4x AS (SELECT tree, right", 1) + " SELECT tree, hash AS root FROM n0"))
+@query("root_with_tombstones", with_views("v_store", TREES.replace("AS hash FROM v_store)", "AS h0, id FROM v_store), n8 AS (SELECT tree, key, CASE WHEN id % 40 = 1 THEN sha256('__DELETED_NODE__') ELSE h0 END AS hash FROM n8x)", 1).replace("n8 AS (SELECT tree, right", "n8x AS (SELECT tree, right", 1) + " SELECT tree, hash AS root FROM n0"))
 def root_with_tombstones(spark, d):
     store = t.store(spark, d)
-    nodes = mk.tombstones(mk.leaves(store, 4), F.conv(F.col("key"), 16, 10).cast("bigint") % 40 == 1)
-    for depth in range(3, -1, -1):
+    nodes = mk.tombstones(mk.leaves(store, WIDTH), F.conv(F.col("key"), 16, 10).cast("bigint") % 40 == 1)
+    for depth in range(WIDTH - 1, -1, -1):
         nodes = mk.node_level(nodes, depth)
     return nodes.select("tree", F.col("hash").alias("root"))
 
@@ -92,12 +93,12 @@ f2 AS (SELECT sha256(unhex(string_agg(hash, '' ORDER BY p) || CASE WHEN count(*)
 @query("global_root", with_views("v_store", FOLD + " SELECT hash AS global_root FROM f2"))
 def global_root(spark, d):
     """For three or four tables in SQL; the operator folds any number."""
-    return mk.global_root(mk.tree_roots(t.store(spark, d), 4))
+    return mk.global_root(mk.tree_roots(t.store(spark, d), WIDTH))
 
 
 @query("tree_proofs", with_views("v_store", TREES + " SELECT tree, hash AS root, 2 AS steps, true AS valid, false AS valid_if_changed FROM n0"))
 def tree_proofs(spark, d):
-    roots = mk.tree_roots(t.store(spark, d), 4)
+    roots = mk.tree_roots(t.store(spark, d), WIDTH)
     top = mk.global_root(roots)
     p = mk.proofs(roots).join(F.broadcast(top))
     bad = F.concat(F.lit("f"), F.substring("root", 2, 63))
@@ -105,7 +106,15 @@ def tree_proofs(spark, d):
     return p.select("tree", "root", F.size("path").alias("steps"), mk.verify_path(F.col("root"), F.col("path"), F.col("global_root")).alias("valid"), mk.verify_path(changed, F.col("path"), F.col("global_root")).alias("valid_if_changed"))
 
 
-@query("state_root", with_views("v_changes", f", l AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM v_changes GROUP BY key), h AS (SELECT key // 64 AS p, key, CASE WHEN op = 'delete' THEN '44454144' ELSE sha256(value::VARCHAR) END AS h FROM l), g AS (SELECT p, sha256(unhex(string_agg({W64.format('key')} || h, '' ORDER BY key))) AS h FROM h GROUP BY p) SELECT sha256(unhex(string_agg({W64.format('p')} || h, '' ORDER BY p))) AS state_root FROM g"))
+def state_sql() -> str:
+    """The root over the latest state by key, level by level."""
+    ctes = ", l AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM v_changes GROUP BY key), s0 AS (SELECT key AS k, CASE WHEN op = 'delete' THEN 'DEAD' ELSE sha256(value::VARCHAR) END AS h FROM l)"
+    for i in range(mk.KEY_LEVELS):
+        ctes += f", s{i + 1} AS (SELECT k >> {mk.KEY_BITS} AS k, sha256(unhex(string_agg({W64.format('k')} || h, '' ORDER BY k))) AS h FROM s{i} GROUP BY 1)"
+    return ctes + f" SELECT h AS state_root FROM s{mk.KEY_LEVELS}"
+
+
+@query("state_root", with_views("v_changes", state_sql()))
 def state_root(spark, d):
     last = t.changes(spark, d).groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("r")).select("key", "r.*")
     return mk.state_root(last, "key", F.col("value"), F.col("op") == "delete")

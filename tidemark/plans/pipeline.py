@@ -25,18 +25,22 @@ def duplicate_signatures(spark, d):
     return tx.duplicates(t.transactions(spark, d)).select("arrival", "uid", "sig")
 
 
-GATE = ", g AS (SELECT v_tx.*, CASE WHEN row_number() OVER (PARTITION BY sig ORDER BY arrival) > 1 THEN 'duplicate' WHEN v_tx.uid NOT BETWEEN 3 AND 150 THEN 'bad_uid' WHEN u.uid IS NULL THEN 'unknown_user' END AS reject_reason FROM v_tx LEFT JOIN v_users u ON u.uid = v_tx.uid)"
+GATE = ", g AS (SELECT v_tx.*, CASE WHEN row_number() OVER (PARTITION BY sig ORDER BY arrival) > 1 THEN 'duplicate' WHEN v_tx.uid NOT BETWEEN 3 AND (SELECT max(uid) FROM v_users) THEN 'bad_uid' WHEN u.uid IS NULL THEN 'unknown_user' END AS reject_reason FROM v_tx LEFT JOIN v_users u ON u.uid = v_tx.uid)"
+
+
+def _gate(spark, d):
+    users = t.users(spark, d)
+    return tx.gate(t.transactions(spark, d), users, 3, users.agg(F.max("uid")).first()[0])
 
 
 @query("ingest_gate", sql(GATE + " SELECT arrival, uid, reject_reason FROM g", "v_tx v_users"))
 def ingest_gate(spark, d):
-    return tx.gate(t.transactions(spark, d), t.users(spark, d), 3, 150).select("arrival", "uid", "reject_reason")
+    return _gate(spark, d).select("arrival", "uid", "reject_reason")
 
 
 @query("reject_counts", sql(GATE + " SELECT coalesce(reject_reason, 'accepted') AS reason, count(*) AS n FROM g GROUP BY ALL", "v_tx v_users"))
 def reject_counts(spark, d):
-    g = tx.gate(t.transactions(spark, d), t.users(spark, d), 3, 150)
-    return g.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return _gate(spark, d).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tx_with_user", sql(" SELECT arrival, uid, nonce, init_nonce FROM v_tx JOIN v_users USING (uid)", "v_tx v_users"))

@@ -37,15 +37,15 @@ def get_from_tree(spark, d):
     return kv.get(t.store(spark, d), 100, "de")
 
 
-@query("exists_ids", "SELECT o_orderkey AS id, o_orderkey IN (SELECT doc_id FROM documents) AS found FROM orders WHERE o_orderkey % 37 = 0")
+@query("exists_ids", "SELECT o_orderkey AS id, o_orderkey IN (SELECT doc_id FROM documents) AS found FROM orders")
 def exists_ids(spark, d):
-    ids = t.table(spark, d, "orders").filter("o_orderkey % 37 = 0").select(F.col("o_orderkey").alias("id"))
+    ids = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     return kv.exists(t.store(spark, d), ids)
 
 
-@query("get_multiple", "SELECT o_custkey AS pos, o_orderkey AS id, text AS value FROM orders LEFT JOIN documents ON doc_id = o_orderkey WHERE o_orderkey % 101 = 0")
+@query("get_multiple", "SELECT o_custkey AS pos, o_orderkey AS id, text AS value FROM orders LEFT JOIN documents ON doc_id = o_orderkey")
 def get_multiple(spark, d):
-    ids = t.table(spark, d, "orders").filter("o_orderkey % 101 = 0").select(F.col("o_custkey").alias("pos"), F.col("o_orderkey").alias("id"))
+    ids = t.table(spark, d, "orders").select(F.col("o_custkey").alias("pos"), F.col("o_orderkey").alias("id"))
     return kv.get_multiple(t.store(spark, d), ids)
 
 

@@ -13,7 +13,7 @@ VIEWS = {
       CASE event_type WHEN 'signup' THEN 41 WHEN 'view' THEN 0 WHEN 'click' THEN 61 WHEN 'purchase' THEN 65 WHEN 'error' THEN 62 END AS op_code,
       json_extract_string(props, '$.k')::BIGINT % 128 AS market, ts, round(value * 100)::BIGINT AS amount,
       sha256('sig:' || (event_id - CASE WHEN event_id % 17 = 0 AND event_id > 0 THEN 1 ELSE 0 END)::VARCHAR) AS sig FROM events""",
-    "v_users": "SELECT c_custkey AS uid, 0::BIGINT AS init_nonce FROM customer WHERE c_custkey BETWEEN 1 AND 140",
+    "v_users": "SELECT c_custkey AS uid, 0::BIGINT AS init_nonce FROM customer WHERE c_acctbal >= -500",
     "v_changes": "SELECT user_id::BIGINT AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, round(value * 100)::BIGINT AS value FROM events",
     "v_store": "SELECT lang AS tree, doc_id AS id, text AS value FROM documents",
     "v_accounts": "SELECT c_custkey AS uid, (c_custkey % 5)::INTEGER AS status, xor(c_custkey, 3405691582) AS email_hash FROM customer",

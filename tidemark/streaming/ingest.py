@@ -14,9 +14,12 @@ from tidemark.sources.storage import scratch_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table, one file or a folder of part files, as a stream of files."""
     schema = t.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = reader.parquet(f"{sf_dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -25,9 +28,11 @@ def as_transactions(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("arrival"), (F.col("user_id") + 1).cast("bigint").alias("uid"), (F.col("event_id") + (F.col("event_id") * 7919) % 50).alias("nonce"), "event_type", "ts", F.sha2(F.concat(F.lit("sig:"), n.cast("string")), 256).alias("sig"))
 
 
-def without_duplicates(tx: DataFrame, within: str = "1 hour") -> DataFrame:
-    """One transaction per signature among those within the watermark's delay; state is dropped behind it."""
-    return tx.withWatermark("ts", within).dropDuplicatesWithinWatermark(["sig"])
+def without_duplicates(tx: DataFrame, within: str | None = None) -> DataFrame:
+    """One transaction per signature. A signature is never forgotten, so state grows with the stream (keep it in RocksDB); with
+    `within`, duplicates are only looked for within the watermark's delay, and state is dropped behind it.
+    """
+    return tx.dropDuplicates(["sig"]) if within is None else tx.withWatermark("ts", within).dropDuplicatesWithinWatermark(["sig"])
 
 
 def window_counts(tx: DataFrame, window: str = "1 hour", late: str = "1 minute") -> DataFrame:
