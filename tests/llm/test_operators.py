@@ -80,6 +80,29 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_in_many_dimensions(spark):
+    from tidemark.llm.pq_dedup import near_duplicates
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(500, 64))
+    x = np.concatenate([base, base[:400] + rng.normal(size=(400, 64)) * 0.18, base[:100] + np.eye(64)[rng.integers(0, 64, 100)] * 1.2])
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    near = (u @ u.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df, list_size=8).collect()}
+    found, all_ = sum(got.values()), int(near.sum())
+    assert all_ > 500 and 0.9 * all_ <= found <= all_
+    assert all(n <= near[i].sum() for i, n in got.items())
+
+
+def test_embeddings_of_extreme_length(spark):
+    from tidemark.llm.pq_dedup import near_duplicates
+
+    rows = [(0, [1e200, 1e200], "a"), (1, [1e200, 1.01e200], "a"), (2, [1.0, 1.0], "a"), (3, [1e-200, 1e-200], "a"), (4, [-1.0, 1.0], "a")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {0: (3, 0, True), 1: (3, 0, False), 2: (3, 0, False), 3: (3, 0, False), 4: (0, 4, True)}
+
+
 @pytest.mark.parametrize("options", [{}, {"most_bytes": 1 << 15, "segments": 8}])
 def test_language_model(docs, rows, options):
     from tidemark.llm.bloom_lm import score
@@ -457,6 +480,23 @@ def test_ngram_join(spark, docs, rows, empty, options):
         assert join(empty).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [3, 32])
+def test_ngram_join_of_a_large_cluster(spark, heavy):
+    """Variants of one text, many of them too far apart for a link, some reached only through others."""
+    from tidemark.llm.ngram_join import join
+
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 5])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join(spark.createDataFrame(rows, "doc_id long, text string"), heavy=heavy).collect()}
+    assert got == _components(rows)
+
+
 def test_components(spark):
     from tidemark.llm.graph import components
 
@@ -472,8 +512,12 @@ def test_components(spark):
     for a, b in edges:
         p, q = sorted((find(a), find(b)))
         root[q] = p
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    for chunk in (1 << 20, 40):
+        got = {r["node"]: r["component"] for r in components(df, chunk=chunk).collect()}
+        assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+        moved = {r["node"]: r["component"] for r in components(df, roots=False, chunk=chunk).collect()}
+        assert moved == {x: r for x, r in got.items() if x != r}
 
 
 def test_pipeline(spark, docs, empty):

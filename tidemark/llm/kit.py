@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,14 +17,21 @@ BLOCK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which executors share; a local one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a finished step's shuffle files when the driver collects garbage; a step that has been written needs them no more.
+SECONDS_BETWEEN_CLEANING = 4.0
+_cleaned = [0.0]
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write as Parquet to shared storage and read again. Survives lost executors."""
     path = shared_dir(df.sparkSession)
@@ -31,6 +39,9 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
+    if time.monotonic() - _cleaned[0] > SECONDS_BETWEEN_CLEANING:
+        df.sparkSession._jvm.System.gc()
+        _cleaned[0] = time.monotonic()
     return back
 
 
@@ -132,6 +143,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of values[cut[i]:cut[i + 1]] as row i."""
+    values = np.ascontiguousarray(values)
+    offsets = (np.asarray(cut) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def seed_hash(seed: int, *columns: Column) -> Column:
     """A 64-bit hash of the columns that depends on the seed."""
     return F.xxhash64(F.lit(seed), *columns)

@@ -1,17 +1,22 @@
 """Embedding near-duplicates by product quantisation.
 
-Coarse centroids make inverted lists; residuals are coded in subspaces. A query probes every list that can hold a vector within
-the link distance: by the distance to the hyperplane between a list's centroid and the query's own, so no link is missed however
-coarse the lists are. In a list, table-lookup distances to the codes, widened by each code's own known error, leave candidates;
-their cosines are then taken exactly, in double precision. Recall is therefore 1; the test against brute force measures it.
-
-Centroids and codebooks are fitted on a bounded sample (`sample` vectors); every vector is indexed and every vector is a query.
-Equal vectors of a label are one entry with a count. Lists are worked on in blocks of members and queries, so a list that holds a
-third of all rows spreads over many tasks; a block returns counts and a spanning forest of its links, never all pairs.
+Coarse centroids make inverted lists; residuals are coded in subspaces. A vector within the link distance of a query lies in a list
+whose cell comes within that distance: the hyperplane between the list's centroid and the query's own is no farther. The difference
+of two such vectors points that way by a share of about 1 / sqrt(dimensions), so lists are probed up to `sigmas` times that share of
+the link distance: all of it, which misses nothing, in up to sigmas**2 dimensions, and beyond that with a chance of a miss as small
+as that of so many standard deviations. In a list, table-lookup distances to the codes, widened by each code's own known error,
+leave candidates; their cosines are then taken exactly, in double precision. A test measures recall against brute force.
+
+Centroids and codebooks are fitted on a bounded sample (`sample` vectors); every vector is indexed and every vector is a query. The
+number of lists follows the largest label up to `most_lists`. Equal vectors of a label are one entry with a count. Queries travel
+in packs of one list. Lists are worked on in blocks of members and queries, so a list that holds a third of all rows spreads over
+many tasks; a block returns counts and a spanning forest of its links, never all pairs.
 
 Only vectors of one label and one dimension are compared. Null labels, null or zero vectors, vectors with null or non-finite
-components and rows with null vec_id link with nothing: no links, a component of their own. Rows that repeat a vec_id count as
-vectors, and share its component. Empty tables give empty results.
+components and rows with null vec_id link with nothing: no links, a component of their own; where vec_id is null, component_id and
+kept are null too. Lengths are taken after scaling by the largest component, so very large and very small vectors keep their
+direction. Rows that repeat a vec_id count as vectors, and share its component; ties at the threshold are links. Empty tables give
+empty results. There are no texts; other columns of the table, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import Forest, components
+from tidemark.llm.graph import Forest, components, stars
 from tidemark.llm.kit import materialize, seed_hash
 
 MEMBERS, QUERIES = 1024, 4096
@@ -66,7 +71,7 @@ class Quantiser:
         return at, codes.astype(np.uint8), np.sqrt(((rest - decoded) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for every list whose cell comes within `reach` of the row."""
+        """(row, list) for every list whose cell comes within `reach` of the row; the row's own among them."""
         c = self.coarse
         d2 = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
         own = d2.argmin(1)
@@ -86,21 +91,26 @@ class Quantiser:
         return np.sqrt(np.maximum(total, 0))
 
 
-def _units(column: pd.Series) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, initial=0.0, keepdims=True)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, sample: int = 16_384, list_size: int = 128, most_lists: int = 1024) -> DataFrame:
+def _units(column: pd.Series) -> np.ndarray:
+    return units(np.stack(column.to_numpy()).astype(np.float64))
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, sample: int = 65_536, list_size: int = 64, most_lists: int = 4096, sigmas: float = 5.0) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding, label)."""
     rows = embeddings.select("vec_id", "embedding", "label")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    able = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & (norm > 0), F.lit(False))
+    some = F.exists("embedding", lambda x: x != 0)
+    able = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & some, F.lit(False))
     reps = materialize(rows.filter(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     links = None
     for d in sorted(r[0] for r in reps.select(F.size("embedding")).distinct().collect()):
-        found = _links(reps.filter(F.size("embedding") == d), threshold, sample, list_size, most_lists)
+        found = _links(reps.filter(F.size("embedding") == d), threshold, sample, list_size, most_lists, sigmas)
         links = found if links is None else links.unionByName(found)
     if links is None:
         own = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -117,59 +127,74 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, sample: int
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links(reps: DataFrame, threshold: float, sample: int, list_size: int, most_lists: int) -> DataFrame:
+def _links(reps: DataFrame, threshold: float, sample: int, list_size: int, most_lists: int, sigmas: float) -> DataFrame:
     """u, v, n: edges of spanning forests (n 0), and for each representative its number of links (v null)."""
-    n = reps.count()
-    drawn = np.stack([np.array(r[0], float) for r in reps.select("embedding").orderBy(seed_hash(3, F.col("embedding")), "embedding").limit(sample).collect()])
-    model = Quantiser(drawn / np.sqrt((drawn * drawn).sum(1))[:, None], max(1, min(most_lists, n // list_size)))
+    n = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    lists = max(1, min(most_lists, n // list_size))
+    drawn = np.stack([np.array(r[0], float) for r in reps.select("embedding").orderBy(seed_hash(3, F.col("embedding")), "embedding").limit(min(sample, max(16_384, 16 * lists))).collect()])
+    model = Quantiser(units(drawn), lists)
     book = reps.sparkSession.sparkContext.broadcast(model)  # fixed size: lists and codes are bounded
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    share = min(1.0, sigmas / math.sqrt(drawn.shape[1]))
+    kinds = dict(reps.dtypes)
+    real = "<f4" if kinds["embedding"] == "array<float>" else "<f8"
 
     def encode(batches):
         for b in batches:
             for i in range(0, len(b), 2048):
                 p = b.iloc[i : i + 2048]
-                cell, codes, error = book.value.encode(_units(p["embedding"]))
-                yield pd.DataFrame({"label": p["label"].to_numpy(), "cell": cell, "rep": p["rep"].to_numpy(), "copies": p["copies"].to_numpy(), "embedding": p["embedding"].to_numpy(), "codes": [c.tobytes() for c in codes], "error": error})
+                x = np.stack(p["embedding"].to_numpy()).astype(np.float64)
+                cell, codes, error = book.value.encode(units(x))
+                yield pd.DataFrame({"label": p["label"].to_numpy(), "cell": cell, "rep": p["rep"].to_numpy(), "copies": p["copies"].to_numpy(), "vector": [r.tobytes() for r in x.astype(real)], "codes": [c.tobytes() for c in codes], "error": error})
 
     def probe(batches):
         for b in batches:
-            for i in range(0, len(b), 1024):
-                p = b.iloc[i : i + 1024]
-                row, cell = book.value.probes(_units(p["embedding"]), reach)
-                yield pd.DataFrame({"label": p["label"].to_numpy()[row], "cell": cell, "rep": p["rep"].to_numpy()[row], "copies": p["copies"].to_numpy()[row], "embedding": p["embedding"].to_numpy()[row]})
-
-    kinds = dict(reps.dtypes)
-    base = f"label {kinds['label']}, cell int, rep long, copies long, embedding {kinds['embedding']}"
-    members = materialize(reps.mapInPandas(encode, base + ", codes binary, error double"))
-    queries = materialize(reps.mapInPandas(probe, base))
+            for i in range(0, len(b), QUERIES):
+                p = b.iloc[i : i + QUERIES]
+                x = np.stack(p["embedding"].to_numpy()).astype(np.float64)
+                row, cell = book.value.probes(units(x), reach * share)
+                label, rep, copies, x = p["label"].to_numpy(), p["rep"].to_numpy(), p["copies"].to_numpy(), x.astype(real)
+                code, names = pd.factorize(label)
+                order = np.lexsort((row, cell, code[row]))
+                row, cell = row[order], cell[order]
+                new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (code[row][1:] != code[row][:-1])))
+                packs = [row[s:e] for s, e in zip(new, np.append(new[1:], len(row)), strict=True)]
+                yield pd.DataFrame({"label": [names[code[k[0]]] for k in packs], "cell": cell[new], "n": [len(k) for k in packs], "reps": [rep[k].astype("<i8").tobytes() for k in packs], "many": [copies[k].astype("<i8").tobytes() for k in packs], "vectors": [x[k].tobytes() for k in packs]})
+
+    members = materialize(reps.mapInPandas(encode, f"label {kinds['label']}, cell int, rep long, copies long, vector binary, codes binary, error double"))
+    queries = materialize(reps.mapInPandas(probe, f"label {kinds['label']}, cell int, n long, reps binary, many binary, vectors binary"))
     sizes = members.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
-    asks = queries.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
+    asks = queries.groupBy("label", "cell").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("chunks"))
     both = materialize(sizes.join(asks, ["label", "cell"]))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    part = lambda c, s: F.pmod(F.xxhash64(F.lit(s), "rep"), F.col(c)).cast("int")
+    part = lambda c, s, k: F.pmod(F.xxhash64(F.lit(s), k), F.col(c)).cast("int")
     key = ["label", "cell", "block", "chunk"]
-    left = members.join(both, ["label", "cell"]).withColumn("block", part("blocks", 1)).withColumn("chunk", upto("chunks"))
-    right = queries.join(both.toDF(*both.columns), ["label", "cell"]).withColumn("chunk", part("chunks", 2)).withColumn("block", upto("blocks"))
+    left = members.join(both, ["label", "cell"]).withColumn("block", part("blocks", 1, "rep")).withColumn("chunk", upto("chunks"))
+    right = queries.join(both.toDF(*both.columns), ["label", "cell"]).withColumn("chunk", part("chunks", 2, "reps")).withColumn("block", upto("blocks"))
 
     def match(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(m) or not len(q):
             return pd.DataFrame({"u": [], "v": [], "n": []}).astype({"u": "int64", "v": "Int64", "n": "int64"})
-        x, y, many = _units(m["embedding"]), _units(q["embedding"]), m["copies"].to_numpy()
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in m["codes"]])
-        ids, asked = m["rep"].to_numpy(), q["rep"].to_numpy()
+        unpack = lambda c, kind: np.frombuffer(b"".join(c), kind)
+        ids, many, error = m["rep"].to_numpy(), m["copies"].to_numpy(), m["error"].to_numpy()
+        x = units(unpack(m["vector"], real).reshape(len(m), -1).astype(np.float64))
+        codes = unpack(m["codes"], np.uint8).reshape(len(m), -1)
+        asked, own = unpack(q["reps"], "<i8"), unpack(q["many"], "<i8")
+        y = units(unpack(q["vectors"], real).reshape(len(asked), -1).astype(np.float64))
         nodes, at = np.unique(np.concatenate([ids, asked]), return_inverse=True)
-        forest, counts = Forest(len(nodes)), np.zeros(len(q), np.int64)
-        for i in range(0, len(q), 512):
-            near = book.value.lookup(y[i : i + 512], int(m["cell"].iloc[0]), codes) <= reach + m["error"].to_numpy()[None, :] + 1e-9
+        forest, counts = Forest(len(nodes)), np.zeros(len(asked), np.int64)
+        for i in range(0, len(asked), 512):
+            near = book.value.lookup(y[i : i + 512], int(m["cell"].iloc[0]), codes) <= reach + error[None, :] + 1e-9
             a, b = np.nonzero(near)
-            cosine = np.einsum("ij,ij->i", y[i + a], x[b])
-            hit = (cosine >= threshold) & (asked[i + a] != ids[b])
-            a, b = a[hit] + i, b[hit]
-            np.add.at(counts, a, many[b])
-            for s, t in np.unique(np.stack([at[len(ids) + a], at[b]], 1), axis=0).tolist():
-                forest.union(s, t)
-        counts += np.where(np.isin(asked, ids), q["copies"].to_numpy() - 1, 0)
+            for j in range(0, len(a), 200_000):
+                s, t = a[j : j + 200_000] + i, b[j : j + 200_000]
+                cosine = np.einsum("ij,ij->i", y[s], x[t])
+                hit = (cosine >= threshold) & (asked[s] != ids[t])
+                s, t = s[hit], t[hit]
+                np.add.at(counts, s, many[t])
+                for c, d in zip(*stars(at[len(ids) + s], at[t]), strict=True):
+                    forest.union(int(c), int(d))
+        counts += np.where(np.isin(asked, ids), own - 1, 0)
         roots = np.array([forest.find(k) for k in range(len(nodes))])
         moved = roots != np.arange(len(nodes))
         some = counts > 0
