@@ -2,20 +2,24 @@
 
 Training counts words and pairs of words exactly, in segments of the hash space. A count is quantised to a level of a roughly
 geometric scale, and the filter holds (n-gram, 1), (n-gram, 2), ... up to its level, so that probing until one is missing gives the
-level back: false positives can only raise a count, and ever less likely the further. Kept are all words, all pairs (with a higher
-`least_pair`, those seen so often) and, for each word that begins such pairs, its count and the mass that discounting leaves for
-other words. A text's probability is the product over its words and its end of
+level back: false positives can only raise a count, and ever less likely the further. Kept are all words, all pairs and, for each word
+that begins a pair, the mass that discounting leaves for other words; it begins as many pairs as there are of it. A text's probability is the product over its
+words and its end of
 
-    P(w | h) = (max(c(h w) - D, 0) + left(h) * P1(w)) / c(h)   or P1(w) where h begins no kept pair,
+    P(w | h) = (max(c(h w) - D, 0) + left(h) * P1(w)) / c(h)   or P1(w) where h begins no pair,
 
 with P1 the additively smoothed share of w, all counts being read from the filter. Filters are broadcast to the workers if they
-have `most_bytes` or less; beyond that, groups of segments within this bound are broadcast one after the other and each pass adds
-what it can decide, so memory stays bounded and the result is the same. Exact word counts, for the base score, are not broadcast:
-texts' word counts travel to the segments.
+have `most_bytes` or less. Larger ones stay in their segments: blocks of texts send each distinct word and pair there once, get its
+level back and are scored where the block's tokens went, with the same result. Exact word counts, for the base score, always work
+that way.
 
-Null texts are empty: one end token. A null doc_id counts as the empty string, so it is held out. Repeated rows get a score each.
-An empty training set gives finite scores from the smoothing alone; an empty table gives an empty result. Extra columns aren't
-carried.
+Words that are frequent in a sample of the texts (a share of `FREQUENT` or more, so a hundred thousand at most) are told apart: their
+own counts are broadcast, and the pairs that the most frequent of them (`SPLIT`) begin are dealt to segments by both words. Which
+words those are changes nothing but where the work is done; all counts are over all training texts.
+
+Null texts are empty: one end token. A null doc_id counts as the empty string, so it is held out. Texts are split into words whole,
+however long. Repeated rows get a score each. An empty training set gives finite scores from the smoothing alone; an empty table
+gives an empty result. Extra columns, whatever their names, aren't carried.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import LOWER_VALUES, Spans, fold, materialize, text_blocks, word_spans
+from tidemark.llm.kit import LOWER_VALUES, Spans, fold, clean, materialize, packed, release, small_batches, text_blocks, word_spans
 
 END = np.uint64(0x1F83D9ABFB41BD6B)
 MULT = np.uint64(0x9FB21C651E98DF25)
-WORD, PAIR, LEFT, HEAD = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
+WORD, PAIR, LEFT = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 DISCOUNT, ALPHA = 0.75, 0.1
 BITS_PER_ITEM, MARKS = 16, 5
+BLOCK, FLUSH = 1 << 20, 500_000  # bytes of text, tokens
+SAMPLE_BYTES, FREQUENT, SPLIT = 64 << 20, 1e-5, 1e-3
 
 
 def _levels(growth: float = 1.2) -> np.ndarray:
@@ -139,17 +145,59 @@ def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys >> np.uint64(44)).astype(np.int64) % segments
 
 
-def _row_keys(data, offsets, ids) -> np.ndarray:
-    return fold(Spans(data).hash(offsets[:-1], offsets[1:]) + np.fromiter((hash(i) & 0xFFFFFFFFFFFFFFFF for i in ids), np.uint64, len(ids)) * MULT).view(np.int64) if len(ids) else np.zeros(0, np.int64)
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
+class Layout:
+    """Which segment holds a word and a pair; frequent words have one of their own, the last."""
+
+    def __init__(self, segments: int, frequent: np.ndarray, split: np.ndarray):
+        self.segments, self.frequent, self.split = segments, np.sort(frequent), np.sort(split)
+
+    def word(self, w: np.ndarray) -> np.ndarray:
+        return np.where(_among(w, self.frequent), self.segments, _segment(w, self.segments))
+
+    def pair(self, h: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.where(_among(h, self.split), _segment(key, self.segments), _segment(h, self.segments))
+
+
+def pair_keys(h: np.ndarray, w32: np.ndarray) -> np.ndarray:
+    return fold(h * MULT + w32.astype(np.uint64))
 
 
-def train(docs: DataFrame, segments: int, least_pair: int = 1, train_only: bool = True) -> DataFrame:
-    """One row per segment: words and counts (sorted by word), the tables of words and of pairs, n_tokens, n_types."""
+def frequent_words(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, as hashes, that are frequent in a sample of the texts, and the most frequent of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch, most=BLOCK):
+                w, n = np.unique(tokens(data, offsets)[0], return_counts=True)
+                some = n >= FREQUENT / 10 * n.sum()  # rarer ones here don't count
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(w[some].view(np.int64), 0)), pa.array(np.append(n[some], 0)), pa.array(np.append(np.zeros(some.sum(), np.int64), n.sum()))], ["w", "n", "tokens"])
+
+    drawn = docs.select("text") if size <= SAMPLE_BYTES else docs.select("text").sample(SAMPLE_BYTES / size, seed=17)
+    counted = drawn.mapInArrow(run, "w long, n long, tokens long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    counted = materialize(counted)
+    total = counted.agg(F.sum("tokens")).first()[0] or 0
+    rows = counted.filter((F.col("n") > 0) & (F.col("n") >= FREQUENT * total)).select("w", "n").collect()
+    words, many = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    return words, words[many >= SPLIT * total]
+
+
+def _left_items(word: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return _items(word, level(np.rint(DISCOUNT * kinds).astype(np.int64) + 1), LEFT)
+
+
+def train(docs: DataFrame, layout: Layout) -> DataFrame:
+    """One row per segment: words and counts (sorted by word; without frequent ones), the tables of words and of pairs, n_tokens,
+    n_types, and what the segment has of frequent words: their hashes, counts and numbers of kinds of followers."""
+    segments = layout.segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             h, w = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             w = (w >> np.uint64(32)).astype(np.uint32)
@@ -158,27 +206,27 @@ def train(docs: DataFrame, segments: int, least_pair: int = 1, train_only: bool
             new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
             n = np.diff(np.append(new, len(h)))
             h, w = h[new], w[new]
-            head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            seg = layout.pair(h, pair_keys(h, w))
+            order = np.argsort(seg, kind="stable")
+            h, w, n, seg = h[order], w[order], n[order], seg[order]
+            head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])))
             fan = np.diff(np.append(head, len(h)))
-            seg = _segment(h[head], segments)
-            for s in range(segments):
-                own = np.flatnonzero(seg == s)
-                if len(own):
-                    at = np.repeat(head[own] - (np.cumsum(fan[own]) - fan[own]), fan[own]) + np.arange(fan[own].sum())
-                    big = n[at] > 254
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()]) for x in (h[head[own]], fan[own].astype("<u4"), w[at], np.minimum(n[at], 255).astype(np.uint8), n[at][big].astype("<i8")))], ["segment", "heads", "fans", "nexts", "counts", "large"])
+            first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+            cut = np.append(first, len(seg))
+            big = n > 254
+            return pa.RecordBatch.from_arrays([pa.array(seg[first].astype(np.int32)), packed(h[head], np.searchsorted(head, cut)), packed(fan.astype("<u4"), np.searchsorted(head, cut)), packed(w, cut), packed(np.minimum(n, 255).astype(np.uint8), cut), packed(n[big].astype("<i8"), np.append(0, np.cumsum(big))[cut])], ["segment", "heads", "fans", "nexts", "counts", "large"])
 
         for batch in batches:
-            for part, data, offsets in text_blocks(batch):
+            for part, data, offsets in text_blocks(batch, most=BLOCK):
                 t, begin = tokens(data, offsets)
-                use = np.repeat(~held_out(part.column("doc_id").to_pylist()) | (not train_only), np.diff(begin))
+                use = np.repeat(~held_out(part.column("doc_id").to_pylist()), np.diff(begin))
                 held.append((histories(t, begin)[use], t[use]))
                 count += int(use.sum())
-                if count > 1_000_000:
-                    yield from flush()
+                if count > FLUSH:
+                    yield flush()
                     count = 0
         if count:
-            yield from flush()
+            yield flush()
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in p[c]])
@@ -190,150 +238,195 @@ def train(docs: DataFrame, segments: int, least_pair: int = 1, train_only: bool
         new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
         h, w, n = h[new], w[new], np.add.reduceat(n, new)
         head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        word, total = h[head], np.add.reduceat(n, head)
-        kept = n >= least_pair
-        taken = np.add.reduceat(np.where(kept, n - DISCOUNT, 0.0), head)
-        some = np.add.reduceat(kept.astype(np.int64), head) > 0
-        words = _table(_items(word, level(total), WORD))
-        left = np.rint(total - taken)[some].astype(np.int64) + 1
-        pairs = [_items(pair_keys(h[kept], w[kept]), level(n[kept]), PAIR), _items(word[some], level(left), LEFT), _items(word[some], level(total[some]), HEAD)]
-        return pd.DataFrame({"segment": [p["segment"].iloc[0]], "words": [word.tobytes()], "counts": [total.astype("<i8").tobytes()], "word_bits": [words], "pair_bits": [_table(np.concatenate(pairs))], "n_tokens": [int(total.sum())], "n_types": [len(word)]})
+        word, total, kinds = h[head], np.add.reduceat(n, head), np.diff(np.append(head, len(h)))
+        often = _among(word, layout.frequent)
+        own, sums, many = word[~often], total[~often], kinds[~often]
+        pairs = [_items(pair_keys(h, w), level(n), PAIR), _left_items(own, many)]
+        some = [x[often].tobytes() for x in (word, total.astype("<i8"), kinds.astype("<i8"))]
+        return pd.DataFrame([(p["segment"].iloc[0], own.tobytes(), sums.astype("<i8").tobytes(), _table(_items(own, level(sums), WORD)), _table(np.concatenate(pairs)), int(total.sum()), len(own), *some)], columns=["segment", "words", "counts", "word_bits", "pair_bits", "n_tokens", "n_types", "often", "often_counts", "often_kinds"])
 
     shuffled = docs.select("doc_id", "text").mapInArrow(run, "segment int, heads binary, fans binary, nexts binary, counts binary, large binary")
-    return shuffled.groupBy("segment").applyInPandas(build, "segment int, words binary, counts binary, word_bits binary, pair_bits binary, n_tokens long, n_types long")
-
-
-def pair_keys(h: np.ndarray, w32: np.ndarray) -> np.ndarray:
-    return fold(h * MULT + w32.astype(np.uint64))
-
-
-def _base(docs: DataFrame, model: DataFrame, segments: int) -> DataFrame:
-    """row_key, log_sum (of log10(c + ALPHA) over tokens), n_known, from exact counts; repeated rows add up.
-
-    A block of rows sends its words to their segments and gets back a sum for each row from each segment, as arrays.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+    return shuffled.groupBy("segment").applyInPandas(build, "segment int, words binary, counts binary, word_bits binary, pair_bits binary, n_tokens long, n_types long, often binary, often_counts binary, often_kinds binary")
+
+
+class Model:
+    """What is broadcast: the layout, exact counts of frequent words and their part of the filter, and, if it fits, all of it."""
+
+    def __init__(self, model: DataFrame, layout: Layout, most_bytes: int):
+        sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum(F.length("word_bits")), F.sum(F.length("pair_bits"))).first()
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                cat = lambda c, t, p=p: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in p[c])])
+                yield pd.DataFrame({"w": cat("often", "<i8"), "n": cat("often_counts", "<i8"), "kinds": cat("often_kinds", "<i8")})
+
+        often = model.select("often", "often_counts", "often_kinds").mapInPandas(each, "w long, n long, kinds long").groupBy("w").agg(F.sum("n"), F.sum("kinds")).collect()
+        often = np.array([tuple(r) for r in often], np.int64).reshape(-1, 3)
+        often = often[np.argsort(often[:, 0].view(np.uint64))]
+        self.layout, self.words, self.counts = layout, often[:, 0].copy().view(np.uint64), often[:, 1].copy()
+        self.total, self.types = sums[0] or 0, (sums[1] or 0) + len(often)
+        self.whole = (sums[2] or 0) + (sums[3] or 0) <= most_bytes
+        rows = list(model.select("segment", "word_bits", "pair_bits").toLocalIterator()) if self.whole else []
+        last = layout.segments
+        filters = []
+        for column, items in (("word_bits", [_items(self.words, level(self.counts), WORD)]), ("pair_bits", [_left_items(self.words, often[:, 2])])):
+            tables = {r["segment"]: bytes(r[column]) for r in rows} | {last: _table(np.concatenate(items))}
+            empty = {s: bytes(8) for s in range(last) if s not in tables} if self.whole else {}
+            filters.append(Filter(last + 1, tables | empty))
+        self.word_filter, self.pair_filter = filters
+
+    def exact(self, w: np.ndarray) -> np.ndarray:
+        """Counts of frequent words; 0 for any other."""
+        if not len(self.words):
+            return np.zeros(len(w), np.int64)
+        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        return np.where(self.words[at] == w, self.counts[at], 0)
+
+
+class Parts:
+    """The distinct words and pairs of a block, and where its tokens find theirs. Every history is a word or an end of the block."""
+
+    def __init__(self, t: np.ndarray, begin: np.ndarray, layout: Layout):
+        self.word, self.of_word = np.unique(t, return_inverse=True)
+        n, end = len(self.word), np.searchsorted(self.word, END)
+        self.of_head = np.append(end, self.of_word[:-1])[: len(t)]
+        self.of_head[begin[:-1]] = end
+        pair, self.of_pair = np.unique(self.of_head * n + self.of_word, return_inverse=True)
+        h = self.word[pair // n] if n else self.word
+        self.pair = pair_keys(h, (self.word[pair % n] >> np.uint64(32)).astype(np.uint32)) if n else self.word
+        self.word_at, self.pair_at = layout.word(self.word), layout.pair(h, self.pair)
+
+    def probe(self, words: Filter, pairs: Filter) -> tuple[np.ndarray, ...]:
+        """Levels of words, of what they leave as histories and of pairs; 0 where the segment isn't loaded."""
+        return words.levels(self.word_at, self.word, WORD), pairs.levels(self.word_at, self.word, LEFT), pairs.levels(self.pair_at, self.pair, PAIR)
+
+    def logs(self, levels: tuple[np.ndarray, ...], total: int, types: int) -> np.ndarray:
+        """log10 P of each token after its history."""
+        word, left, pair = (VALUES_OF[x] for x in levels)
+        p1 = ((word + ALPHA) / (total + ALPHA * (types + 1)))[self.of_word]
+        rest, n, begins = (x[self.of_head] for x in (np.maximum(left - 1, 0.5), word, (left > 0) & (word > 0)))
+        c = np.minimum(pair[self.of_pair], n)
+        p = np.where(begins, (np.where(c > 0, c - DISCOUNT, 0) + rest * p1) / np.maximum(n, rest), p1)
+        return np.log10(np.minimum(p, 1.0))
+
+
+def _row_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, begin[:-1]) if len(begin) > 1 else np.zeros(0)
+
+
+def score(docs: DataFrame, segments: int | None = None, most_bytes: int = 256 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    if segments is None:  # a segment's counts fit a task's memory
+        segments = max(8, min(1 << 17, size // (8 << 20)))
+    spark = docs.sparkSession
+    layout = Layout(segments, *frequent_words(docs, size))
+    with small_batches(spark):
+        trained = materialize(train(docs, layout))
+    model = Model(trained, layout, most_bytes)
+    shared = spark.sparkContext.broadcast(model)
+    total, types, whole = model.total, model.types, model.whole
+    names = ["segment", "block", "ids", "known_ids", "held", "tokens", "begin", "scores", "logs", "known", "rows", "hashes", "times", "words", "pairs"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block of texts a row of its own (negative segment), and one for each segment that has something to say of it."""
+        model, block = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, data, offsets in text_blocks(batch):
+            for part, data, offsets in text_blocks(batch, most=BLOCK):
                 t, begin = tokens(data, offsets)
-                keys = _row_keys(data, offsets, part.column("doc_id").to_pylist())
-                row = np.repeat(np.arange(len(keys)), np.diff(begin))
-                seg = _segment(t, segments)
-                order = np.lexsort((t, row, seg))
-                t, row, seg = t[order], row[order], seg[order]
-                new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (row[1:] != row[:-1])))
-                n = np.diff(np.append(new, len(t)))
-                t, row, seg = t[new], row[new], seg[new]
-                cut = np.searchsorted(seg, np.arange(segments + 1))
+                ids = part.column("doc_id").cast(pa.int64())
+                parts = Parts(t, begin, layout)
+                levels = parts.probe(model.word_filter, model.pair_filter)
+                scores = _row_sums(parts.logs(levels, total, types), begin) if whole else np.zeros(0)
+                # For the base score: frequent words here, rare ones as often as each row has them.
+                often, exact = parts.word_at == segments, model.exact(parts.word)
+                logs = _row_sums(np.where(often, np.log10(exact + ALPHA), 0.0)[parts.of_word], begin)
+                known = _row_sums((often & (exact > 0)).astype(np.int64)[parts.of_word], begin).astype("<i4")
+                row = np.repeat(np.arange(part.num_rows), np.diff(begin))
+                rare = (parts.word_at < segments)[parts.of_word]
+                code = np.sort(parts.of_word[rare] * part.num_rows + row[rare])
+                new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+                times, code = np.diff(np.append(new, len(code))), code[new]
+                word, row = code // max(part.num_rows, 1), code % max(part.num_rows, 1)
+                order = np.argsort(parts.word_at[word], kind="stable")
+                word, row, times = word[order], row[order], times[order]
+                at = [(parts.word_at[word], (row.astype("<i4"), parts.word[word], times.astype("<i4")))]
+                for own, keys in ((parts.word_at, parts.word), (parts.pair_at, parts.pair)):
+                    fine = np.flatnonzero(own < segments) if not whole else np.zeros(0, np.int64)
+                    fine = fine[np.argsort(own[fine], kind="stable")]
+                    at.append((own[fine], (keys[fine],)))
+                used = np.unique(np.concatenate([seg for seg, _ in at]))
+                columns = [pa.array(np.append(-1 - block, used)), pa.array(np.full(len(used) + 1, block))]
+                alone = [np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_valid()).astype(np.uint8), held_out(ids.to_pylist()).astype(np.uint8), t if not whole else t[:0], begin.astype("<i8"), scores, logs, known]
+                columns += [packed(x, np.append([0], np.full(len(used) + 1, len(x)))) for x in alone]
+                for seg, values in at:
+                    cut = np.concatenate([[0], np.searchsorted(seg, used), [len(seg)]])
+                    columns += [packed(x, cut) for x in values]
+                yield pa.RecordBatch.from_arrays(columns, names)
                 block += 1
-                first = True
-                for s in range(segments):
-                    i, j = cut[s], cut[s + 1]
-                    if j > i:
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x.tobytes()]) for x in (keys if first else keys[:0], row[i:j].astype("<i4"), t[i:j], n[i:j].astype("<i4")))], ["segment", "block", "keys", "rows", "hashes", "times"])
-                        first = False
 
     def look(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        """Block rows pass; others become sums of logarithms and numbers of known tokens by row, and levels of what was asked."""
+        if not len(p):
+            return pd.DataFrame({c: [] for c in out}).astype({"segment": "int64", "block": "int64"})
+        if p["segment"].iloc[0] < 0:
+            return p.assign(levels=b"")[out]
         words = np.frombuffer(m["words"].iloc[0], np.uint64) if len(m) else np.zeros(0, np.uint64)
         counts = np.frombuffer(m["counts"].iloc[0], "<i8") if len(m) else np.zeros(0, np.int64)
-        out = []
-        for block, keys, rows, hashes, times in zip(p["block"], p["keys"], p["rows"], p["hashes"], p["times"], strict=True):
-            rows, t, n = (np.frombuffer(x, k) for x, k in ((rows, "<i4"), (hashes, np.uint64), (times, "<i4")))
+        tables = [Filter(1, {0: bytes(m[c].iloc[0]) if len(m) else bytes(8)}) for c in ("word_bits", "pair_bits")] if not whole else []
+        found = []
+        for r in p.itertuples(index=False):
+            row, t, n = (np.frombuffer(x, k) for x, k in ((r.rows, "<i4"), (r.hashes, np.uint64), (r.times, "<i4")))
             at = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
-            c = np.where(words[at] == t, counts[at], 0) if len(words) else np.zeros(len(t))
-            logs = np.bincount(rows, weights=n * np.log10(c + ALPHA))
-            known = np.bincount(rows, weights=n * (c > 0)).astype(np.int32)
-            out.append((block, keys, logs.tobytes(), known.tobytes()))
-        return pd.DataFrame(out, columns=["block", "keys", "logs", "known"])
+            c = np.where(words[at] == t, counts[at], 0) if len(words) else np.zeros(len(t), np.int64)
+            logs, known = np.bincount(row, weights=n * np.log10(c + ALPHA)), np.bincount(row, weights=n * (c > 0)).astype("<i4")
+            levels = b""
+            if not whole:
+                asked = [(tables[0], r.words, WORD), (tables[1], r.words, LEFT), (tables[1], r.pairs, PAIR)]
+                levels = b"".join(f.levels(np.zeros(len(k) // 8, np.int64), np.frombuffer(k, np.uint64), kind).astype(np.uint8).tobytes() for f, k, kind in asked)
+            found.append((r.segment, r.block, b"", b"", b"", b"", b"", b"", logs.tobytes(), known.tobytes(), levels))
+        return pd.DataFrame(found, columns=out)
+
+    out = ["segment", "block", "ids", "known_ids", "held", "tokens", "begin", "scores", "logs", "known", "levels"]
 
     def add(p: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(p["keys"]), np.int64)
-        logs, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        """The rows of a block with everything that segments know of them."""
+        p = p.sort_values("segment")
+        own = p.iloc[0]
+        begin = np.frombuffer(own["begin"], "<i8")
+        n = len(begin) - 1
+        logs, known = np.zeros(n), np.zeros(n, np.int64)
         for x, k in zip(p["logs"], p["known"], strict=True):
-            x, k = np.frombuffer(x, float), np.frombuffer(k, np.int32)
+            x, k = np.frombuffer(x, float), np.frombuffer(k, "<i4")
             logs[: len(x)] += x
             known[: len(k)] += k
-        return pd.DataFrame({"row_key": keys, "log_sum": logs, "n_known": known})
-
-    sent = docs.select("doc_id", "text").mapInArrow(run, "segment int, block long, keys binary, rows binary, hashes binary, times binary")
-    parts = sent.groupBy("segment").cogroup(model.select("segment", "words", "counts").groupBy("segment")).applyInPandas(look, "block long, keys binary, logs binary, known binary")
-    sums = parts.groupBy("block").applyInPandas(add, "row_key long, log_sum double, n_known long")
-    return sums.groupBy("row_key").agg(F.sum("log_sum").alias("log_sum"), F.sum("n_known").alias("n_known"))
-
-
-def log_probabilities(words: Filter, pairs: Filter, t: np.ndarray, h: np.ndarray, total: int, types: int, segments: int) -> np.ndarray:
-    """log10 P(t | h) of each token that the loaded segments can decide, else 0."""
-    out = np.zeros(len(t))
-    can = np.flatnonzero(words.loaded[_segment(t, segments)] & pairs.loaded[_segment(h, segments)])
-    if not len(can):
-        return out
-    t, h = t[can], h[can]
-    word, of_word = np.unique(t, return_inverse=True)
-    count = VALUES_OF[words.levels(_segment(word, segments), word, WORD)]
-    p1 = ((count + ALPHA) / (total + ALPHA * (types + 1)))[of_word]
-    head, of_head = np.unique(h, return_inverse=True)
-    seg = _segment(head, segments)
-    left = pairs.levels(seg, head, LEFT)
-    begins = left > 0
-    ahead = np.zeros(len(head))
-    ahead[begins] = VALUES_OF[pairs.levels(seg[begins], head[begins], HEAD)]
-    begins &= ahead > 0
-    rest = np.maximum(VALUES_OF[left] - 1, 0.5)
-    p = p1.copy()
-    some = np.flatnonzero(begins[of_head])
-    key, first, inverse = np.unique(pair_keys(h[some], (t[some] >> np.uint64(32)).astype(np.uint32)), return_index=True, return_inverse=True)
-    c = VALUES_OF[pairs.levels(_segment(h[some][first], segments), key, PAIR)][inverse]
-    n = ahead[of_head[some]]
-    c = np.minimum(c, n)
-    p[some] = (np.where(c > 0, c - DISCOUNT, 0) + rest[of_head[some]] * p1[some]) / np.maximum(n, rest[of_head[some]])
-    out[can] = np.log10(np.minimum(p, 1.0))
-    return out
-
-
-def score(docs: DataFrame, segments: int | None = None, least_pair: int = 1, most_bytes: int = 512 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    if segments is None:  # a segment's counts fit a task's memory
-        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        segments = max(8, min(1 << 14, size // (8 << 20)))
-    model = materialize(train(docs, segments, least_pair))
-    sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum(F.length("word_bits")), F.sum(F.length("pair_bits"))).first()
-    total, types = sums[0] or 0, sums[1] or 0
-    groups = lambda n: max(1, -(-2 * (n or 0) // most_bytes))
-    n_words, n_pairs = groups(sums[2]), groups(sums[3])
-
-    def load(column: str, i: int, n: int) -> Filter:
-        rows = model.filter(F.col("segment") % n == i).select("segment", column).toLocalIterator()
-        tables = {r[0]: bytes(r[1]) for r in rows}
-        empty = {s: bytes(8) for s in range(i, segments, n) if s not in tables}
-        return Filter(segments, tables | empty)
-
-    schema = "doc_id long, row_key long, held_out boolean, n_tokens long, score double, pass int"
-    parts = None
-    for i in range(n_words):
-        for j in range(n_pairs):
-            shared = spark.sparkContext.broadcast((load("word_bits", i, n_words), load("pair_bits", j, n_pairs)))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=i * n_pairs + j) -> Iterator[pa.RecordBatch]:
-                words, pairs = shared.value
-                for batch in batches:
-                    for part, data, offsets in text_blocks(batch):
-                        t, begin = tokens(data, offsets)
-                        ids = part.column("doc_id").to_pylist()
-                        logs = np.append(0.0, np.cumsum(log_probabilities(words, pairs, t, histories(t, begin), total, types, segments)))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(_row_keys(data, offsets, ids)), pa.array(held_out(ids)), pa.array(np.diff(begin)), pa.array(logs[begin[1:]] - logs[begin[:-1]]), pa.array(np.full(len(ids), turn), pa.int32())], ["doc_id", "row_key", "held_out", "n_tokens", "score", "pass"])
-
-            found = docs.select("doc_id", "text").mapInArrow(run, schema)
-            found = materialize(found)
-            shared.destroy()
-            parts = found if parts is None else parts.unionByName(found)
-    about = parts.filter("pass = 0").drop("pass", "score")
-    # Passes add up; rows that repeat are as many in each pass, and share sums evenly.
-    scores = parts.groupBy("row_key").agg(F.sum("score").alias("score"), F.sum((F.col("pass") == 0).cast("int")).alias("rows"))
-    out = about.join(scores, "row_key").join(_base(docs, model, segments), "row_key")
+        scores = np.frombuffer(own["scores"], float)
+        if not whole:
+            model = shared.value
+            t = np.frombuffer(own["tokens"], np.uint64)
+            parts = Parts(t, begin, layout)
+            levels = parts.probe(model.word_filter, model.pair_filter)  # of frequent words
+            for r in p.iloc[1:].itertuples(index=False):
+                got, a = np.frombuffer(r.levels, np.uint8).astype(np.int64), 0
+                for own_at, level_ in zip((parts.word_at, parts.word_at, parts.pair_at), levels, strict=True):
+                    here = np.flatnonzero(own_at == r.segment)
+                    level_[here] = got[a : a + len(here)]
+                    a += len(here)
+            scores = _row_sums(parts.logs(levels, total, types), begin)
+        ids = pd.array(np.frombuffer(own["ids"], "<i8"), dtype="Int64")
+        ids[np.frombuffer(own["known_ids"], np.uint8) == 0] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(own["held"], np.uint8) > 0, "n_tokens": np.diff(begin), "log_sum": logs, "n_known": known, "score": scores})
+
+    kinds = {"segment": "long", "block": "long"}
+    schema = lambda columns: ", ".join(f"{c} {kinds.get(c, 'binary')}" for c in columns)
+    sent = docs.select("doc_id", "text").mapInArrow(send, schema(names))
+    own = trained.select(F.col("segment").cast("long").alias("segment"), "words", "counts", *(() if whole else ("word_bits", "pair_bits")))
+    looked = sent.groupBy("segment").cogroup(own.groupBy("segment")).applyInPandas(look, schema(out))
+    rows = looked.groupBy("block").applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, score double")
+    clean(spark)
+    with small_batches(spark):
+        rows = materialize(rows)
+    shared.unpersist()
+    release(trained)
     norm = float(np.log10(total + ALPHA * (types + 1)))
-    base = F.col("log_sum") / F.col("rows") - F.col("n_tokens") * F.lit(norm)
-    known = (F.col("n_known") / F.col("rows")).cast("long")
-    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import time
 import uuid
@@ -27,21 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-#: Spark deletes a finished step's shuffle files when the driver collects garbage; a step that has been written needs them no more.
-SECONDS_BETWEEN_CLEANING = 4.0
+#: Spark deletes a finished step's shuffle files when the driver collects garbage; what has been written needs them no more.
+SECONDS_BETWEEN_CLEANING = 2.0
 _cleaned = [0.0]
 
 
+def clean(spark: SparkSession) -> None:
+    if time.monotonic() - _cleaned[0] > SECONDS_BETWEEN_CLEANING:
+        spark.range(1).count()  # the session holds on to what it ran last
+        gc.collect()
+        spark._jvm.System.gc()
+        _cleaned[0] = time.monotonic()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it holds, Python workers get at most so many rows at once: for steps that hold much else."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write as Parquet to shared storage and read again. Survives lost executors."""
+    clean(df.sparkSession)
     path = shared_dir(df.sparkSession)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
-    if time.monotonic() - _cleaned[0] > SECONDS_BETWEEN_CLEANING:
-        df.sparkSession._jvm.System.gc()
-        _cleaned[0] = time.monotonic()
     return back
 
 
