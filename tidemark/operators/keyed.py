@@ -88,6 +88,14 @@ def add_counters(rows: DataFrame, counter: Column, width: int = 16) -> DataFrame
     return packed.select("uid", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("counters"))
 
 
+def get_one(store: DataFrame, id_: int, tree: str):
+    """The row of an id in a named table; an error if there is none."""
+    row = get(store, id_, tree).first()
+    if row is None:
+        raise KeyError(f"no {id_} in {tree}")
+    return row
+
+
 class Catalog:
     """Named tables as views of one session, with the errors of a strict catalog."""
 

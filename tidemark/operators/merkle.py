@@ -183,5 +183,22 @@ def bundle_proof(nodes: DataFrame, paths: DataFrame, depth: int = 8) -> DataFram
     return nodes.withColumn("parent", F.expr("left(path, greatest(length(path) - 2, 0))")).join(steps, ["level", "parent"], "left_semi").drop("parent")
 
 
+def verify_bundle(bundle: DataFrame, paths: DataFrame, root: str, depth: int = 8, width: int = 128) -> DataFrame:
+    """One row: n_paths and valid, whether the bundle's nodes (level, path, hash) lead from every path's leaf to the root.
+
+    Every node above a leaf must hash its `width` children, zeros where the bundle has none, and every path must have its leaf.
+    """
+    child = F.map_from_entries(F.collect_list(F.struct(F.conv(F.right("path", F.lit(2)), 16, 10).cast("int"), "hash")))
+    filled = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(ZERO))), "")
+    parent = F.expr("left(path, greatest(length(path) - 2, 0))")
+    made = bundle.filter("level > 0").groupBy((F.col("level") - 1).alias("level"), parent.alias("path")).agg(child.alias("m")).select("level", "path", F.sha2(F.unhex(filled), 256).alias("made"))
+    top = bundle.sparkSession.createDataFrame([(0, "", root)], "level int, path string, hash string")
+    known = bundle.filter("level > 0").select("level", "path", "hash").unionByName(top)
+    wrong = made.join(known, ["level", "path"], "left").filter(~F.col("made").eqNullSafe(F.col("hash"))).agg(F.count(F.lit(1)).alias("wrong"))
+    asked = paths.select("path").distinct().join(bundle.filter(F.col("level") == depth).select("path", F.lit(True).alias("there")), "path", "left")
+    counts = asked.agg(F.count(F.lit(1)).alias("n_paths"), F.count_if(F.col("there").isNull()).alias("missing"))
+    return counts.crossJoin(wrong).select("n_paths", ((F.col("wrong") == 0) & (F.col("missing") == 0)).alias("valid"))
+
+
 def sibling_ranks(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "depth").orderBy("key")))

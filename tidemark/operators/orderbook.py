@@ -169,6 +169,20 @@ def validate(orders: DataFrame, low: int, high: int, most: int) -> DataFrame:
     return orders.withColumn("reason", reason).filter("reason is not null").select("order_id", "reason")
 
 
+def repair(orders: DataFrame, low: int, high: int, most: int) -> DataFrame:
+    """Orders without those of an impossible price or size; where more is filled than ordered, all of it counts as filled."""
+    sane = orders.filter(F.col("price").between(low, high) & F.col("size").between(0, most))
+    filled = F.least(F.greatest("filled", F.lit(0)), "size")
+    return sane.withColumn("filled", filled).withColumn("remaining", F.col("size") - F.col("filled"))
+
+
+def repaired_levels(orders: DataFrame, reported: DataFrame) -> DataFrame:
+    """side, price, volume, changed: the levels' volumes from their orders, and whether the reported ones differ; empty levels go."""
+    own = levels(orders).select("side", "price", "volume")
+    both = own.join(reported.select("side", "price", F.col("volume").alias("reported")), ["side", "price"], "left")
+    return both.select("side", "price", "volume", (~F.col("volume").eqNullSafe(F.col("reported"))).alias("changed"))
+
+
 def volume_mismatch(orders: DataFrame, reported: DataFrame) -> DataFrame:
     """Levels whose reported volume isn't the sum of what their orders have left; reported: side, price, volume."""
     own = levels(orders).select("side", "price", F.col("volume").alias("actual"))

@@ -12,6 +12,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMPTY = b"\x00"
 BITS = 256
@@ -89,10 +90,97 @@ def verify(top: bytes, key: bytes, siblings: list[bytes], end: tuple[bytes, byte
     return node == top
 
 
+def _prefix(top_bits: int):
+    return F.call_function("shiftrightunsigned", F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int"), F.lit(16 - top_bits))
+
+
+class Nodes:
+    """All nodes of the trie over sorted rows below a prefix, each hashed once: proofs walk down them."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]], depth: int = 0):
+        self.rows, self.depth, self.inner = rows, depth, {}
+        self.top = self._build(0, len(rows), depth)
+
+    def _build(self, low: int, high: int, depth: int) -> bytes:
+        if high - low < 2:
+            return leaf(*self.rows[low], BITS - depth) if high > low else EMPTY
+        mid = _split(self.rows, low, high, depth)
+        left, right = self._build(low, mid, depth + 1), self._build(mid, high, depth + 1)
+        self.inner[low, high, depth] = mid, left, right
+        return _hash(left, right)
+
+    def proof(self, key: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        """Siblings from the prefix down to where the key's path ends, and the row there, if any."""
+        out, low, high, depth = [], 0, len(self.rows), self.depth
+        while (low, high, depth) in self.inner:
+            mid, left, right = self.inner[low, high, depth]
+            out.append(left if bit(key, depth) else right)
+            low, high, depth = (mid, high, depth + 1) if bit(key, depth) else (low, mid, depth + 1)
+        return out, self.rows[low] if high > low else None
+
+
+def prove(keyed: DataFrame, wanted: DataFrame, top_bits: int = 8) -> DataFrame:
+    """A row for each wanted key: key, siblings from the top down, end_key and end_value (the row where the path ends, if any), root.
+
+    The subtrees of the first bits prove in tasks of their own; their roots, at most 2**top_bits, are broadcast for the steps above.
+    """
+    prefix = _prefix(top_bits)
+    rows = keyed.select("key", "value").withColumn("p", prefix)
+
+    def roots(key: tuple, table: pa.Table) -> pa.Table:
+        own = sorted(zip(table["key"].to_pylist(), table["value"].to_pylist(), strict=True))
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(own)]), "hash": pa.array([root(own, top_bits)], pa.binary()), "key": pa.array([own[0][0]], pa.binary()), "value": pa.array([own[0][1]], pa.binary())})
+
+    subtrees = {r["p"]: (r["n"], bytes(r["hash"]), bytes(r["key"]), bytes(r["value"])) for r in rows.groupBy("p").applyInArrow(roots, "p int, n long, hash binary, key binary, value binary").collect()}
+    # levels[d][q]: number of rows, hash and the only row of the node of d bits with prefix q
+    levels = [{} for _ in range(top_bits)] + [{p: (n, h, (k, v) if n == 1 else None) for p, (n, h, k, v) in subtrees.items()}]
+    for depth in range(top_bits - 1, -1, -1):
+        for q in {p >> 1 for p in levels[depth + 1]}:
+            left, right = (levels[depth + 1].get(2 * q + i, (0, EMPTY, None)) for i in (0, 1))
+            one = left[2] or right[2]
+            n = left[0] + right[0]
+            levels[depth][q] = (n, leaf(*one, BITS - depth), one) if n == 1 else (n, _hash(left[1], right[1]), None)
+    shared = keyed.sparkSession.sparkContext.broadcast(levels)
+    top = levels[0].get(0, (0, EMPTY, None))[1]
+
+    def run(key: tuple, asked: pa.Table, own: pa.Table) -> pa.Table:
+        p, levels = key[0].as_py(), shared.value
+        below = Nodes(sorted(zip(own["key"].to_pylist(), own["value"].to_pylist(), strict=True)), top_bits) if own.num_rows else None
+        out = []
+        for k in asked["key"].to_pylist():
+            siblings, end, ended = [], None, False
+            for depth in range(top_bits):
+                n, _, one = levels[depth].get(p >> (top_bits - depth), (0, EMPTY, None))
+                if n < 2:
+                    end, ended = one, True
+                    break
+                siblings.append(levels[depth + 1].get((p >> (top_bits - depth - 1)) ^ 1, (0, EMPTY, None))[1])
+            if not ended and below is not None:
+                more, end = below.proof(k)
+                siblings += more
+            out.append((k, siblings, end[0] if end else None, end[1] if end else None, top))
+        kinds = (pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(("key", "siblings", "end_key", "end_value", "root"), kinds, strict=True))})
+
+    asked = wanted.select("key").withColumn("p", prefix)
+    return asked.groupBy("p").cogroup(rows.groupBy("p")).applyInArrow(run, "key binary, siblings array<binary>, end_key binary, end_value binary, root binary")
+
+
+def verified(proofs: DataFrame) -> DataFrame:
+    """proofs with `value` (null: exclusion is claimed) and `valid`, whether each row proves its claim."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("root", "key", "siblings", "end_key", "end_value", "value")), strict=True)
+            ok = [verify(r, k, s, None if ek is None else (ek, ev), v) for r, k, s, ek, ev, v in rows]
+            yield b.append_column("valid", pa.array(ok, pa.bool_()))
+
+    return proofs.mapInArrow(run, T.StructType([*proofs.schema.fields, T.StructField("valid", T.BooleanType())]))
+
+
 def distributed_root(keyed: DataFrame, top_bits: int = 8) -> DataFrame:
     """One row with the root of (key, value). Keys are digests, so the subtrees of the first bits are of even size."""
-    prefix = F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int")
-    rows = keyed.withColumn("p", F.call_function("shiftrightunsigned", prefix, F.lit(16 - top_bits)))
+    rows = keyed.withColumn("p", _prefix(top_bits))
 
     def below(key: tuple, table: pa.Table) -> pa.Table:
         own = sorted(zip(table["key"].to_pylist(), table["value"].to_pylist(), strict=True))

@@ -134,7 +134,7 @@ def _keyed(spark, d):
 @query("sparse_tree_root")
 def sparse_tree_root(spark, d):
     """Collapse of single leaves and bitmaps of children: tested against a recursive version."""
-    return mk.sparse_tree(_keyed(spark, d), 6)
+    return mk.sparse_tree(_keyed(spark, d), 8)
 
 
 @query("dense_tree_levels", "SELECT 2 AS level, count(DISTINCT (('0x' || substr(k, 1, 2))::INTEGER & 127) * 128 + (('0x' || substr(k, 3, 2))::INTEGER & 127)) AS n_nodes FROM (SELECT sha256(c_custkey::VARCHAR) AS k FROM customer) UNION ALL SELECT 1, count(DISTINCT ('0x' || substr(k, 1, 2))::INTEGER & 127) FROM (SELECT sha256(c_custkey::VARCHAR) AS k FROM customer) UNION ALL SELECT 0, 1")

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidemark.plans import book, integrity, mirror, pipeline, state, streams  # noqa: F401
+    from tidemark.plans import book, integrity, mirror, pipeline, state, storage, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
