@@ -1,16 +1,26 @@
 """Quality rules: base rules on words and lines, and a language's character n-gram perplexity.
 
-Spark counts the trigrams of byte classes in each language over all documents; from their counts a modified Kneser-Ney model is
-fitted for each language and stored as sorted arrays of n-gram keys with log probabilities and back-off weights. A document's log
-perplexity per byte is held against its language's band, which is the median plus and minus a multiple of the median deviation,
-widened for short texts, whose mean is less certain. The model has at most 64**3 trigrams per language whatever the corpus.
+Spark counts the trigrams of UTF-16 units in each language over all documents, with nothing folded together: a trigram is its 48 bits.
+(Orders up to 4 fit a 64-bit key; with 4, small tables hold their own junk by heart.) Counts are dealt to segments by language and context, so a language of any share spreads out, and each order's continuation counts
+come from the distinct n-grams of the order above. With each order's modified Kneser-Ney discounts, taken from its counts of counts,
+a segment's n-grams become arrays sorted by 64-bit hashes of language, order and n-gram: the n-grams' discounted shares and the
+contexts' back-off weights. A text's probabilities are looked up there by binary search and interpolated down to single units.
+
+The arrays are broadcast if they have `most_bytes` or less. Larger ones go in groups of segments within this bound (of languages, too,
+if need be), one pass over the texts each; every unit's probability is found whole in one pass, so the passes' sums add up.
+
+A document's log perplexity per unit is held against its language's band, which is the median plus and minus a multiple of the median
+deviation, widened for short texts, whose mean is less certain.
 
 Nulls: a null text is empty (it fails the base rules), a null language is a language of its own. A language of few documents has
-bands around its own median like any other. Repeated rows are judged each. Empty tables give empty results.
+bands around its own median like any other, and one without any text has none: its documents are judged by the base rules alone.
+Texts of any length are read whole. Texts on a bound of the band are kept. Repeated rows are judged each. Empty tables give empty
+results. Extra columns pass through `keep`, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,43 +29,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import SPACE, Spans, fold, materialize, text_blocks, word_spans
+from tidemark.llm.kit import SPACE, Spans, fold, materialize, packed, release, text_blocks, word_spans
 
-BITS, ORDER = 6, 3
-SIZE = 1 << BITS
-LANGUAGES_AT_ONCE = 128
+ORDER, UNIT = 3, 16  # units of 16 bits
+LINE = 10  # a text begins after line ends
+MULT = 0x9FB21C651E98DF25
+FLUSH = 1_000_000
 MOST_LANGUAGES_TO_BROADCAST = 10_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
 
-def _classes() -> np.ndarray:
-    """Byte classes: letters by themselves, all capitals as one, digits as one, frequent marks, the rest folded together."""
-    c = np.zeros(256, np.uint8)
-    c[97:123] = np.arange(1, 27)
-    c[65:91], c[48:58] = 27, 28
-    c[[9, 11, 12, 13, 32]], c[10] = 29, 30
-    for k, b in enumerate(b".,;:!?'\"()-_/|#$%&*<>=+@"):
-        c[b] = 31 + k
-    c[128:192] = 55 + np.arange(64) // 8  # 55..62
-    c[192:] = 63
-    return c
-
-
-CLASSES = _classes()
-LINE = int(CLASSES[10])
-
-
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The code of the trigram that ends at each byte; a text begins after two line ends."""
-    c = CLASSES[data].astype(np.int32)
-    one, two = np.empty_like(c), np.empty_like(c)
-    one[1:], two[2:] = c[:-1], c[:-2]
-    first = offsets[:-1][offsets[1:] > offsets[:-1]]
-    one[first] = two[first] = LINE
-    second = first[np.isin(first + 1, offsets, invert=True)] + 1
-    two[second[second < len(c)]] = LINE
-    return (two << 2 * BITS) | (one << BITS) | c
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-16 units of texts end to end, and len + 1 offsets. Bytes that aren't UTF-8 are read as U+FFFD."""
+    try:
+        text = data.tobytes().decode()
+    except UnicodeDecodeError:
+        parts = [data[a:e].tobytes().decode(errors="replace") for a, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        data = np.frombuffer("".join(parts).encode(), np.uint8)
+        offsets = np.append(0, np.cumsum([len(x.encode()) for x in parts]))
+        text = "".join(parts)
+    lead = (data & 0xC0) != 0x80
+    n = np.append(0, np.cumsum(lead.astype(np.int8) + (data >= 0xF0), dtype=np.int64))
+    return np.frombuffer(text.encode("utf-16-le"), "<u2"), n[offsets]
+
+
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of ORDER units that ends at each unit, and where each text's begin."""
+    u, begin = units(data, offsets)
+    out = u.astype(np.uint64)
+    before = u
+    row_start = begin[:-1][begin[1:] > begin[:-1]]
+    for k in range(1, ORDER):
+        shifted = np.empty_like(before)
+        shifted[1:] = before[:-1]
+        shifted[row_start] = LINE
+        out |= shifted.astype(np.uint64) << np.uint64(UNIT * k)
+        before = shifted
+    return out, begin
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -107,135 +118,235 @@ def _languages(b: pa.RecordBatch) -> list[str]:
     return ["n" if x is None else f"s{x}" for x in b.column("lang").to_pylist()]
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """language, code, n over all documents; each task adds up before the shuffle."""
+def language_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("lang").cast("string")), F.lit("n"))
+
+
+def salt(language: str) -> int:
+    return int.from_bytes(hashlib.blake2b(language.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
+
+
+def hashes(language: int, order: int, gram: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams of a language; contexts of an order have the order plus 8."""
+    return fold(gram * np.uint64(MULT) + np.uint64((language + (order + 1) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF))
+
+
+def _segment(language: int, context: np.ndarray, segments: int) -> np.ndarray:
+    return (hashes(language, 31, context) >> np.uint64(33)).astype(np.int64) % segments
+
+
+def _dealt(language: str, gram: np.ndarray, counts: np.ndarray, segments: int) -> pa.RecordBatch:
+    """n-grams and counts of a language by the segment of their context."""
+    seg = _segment(salt(language), gram >> np.uint64(UNIT), segments)
+    order = np.argsort(seg, kind="stable")
+    gram, counts, seg = gram[order], counts[order], seg[order]
+    first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else np.zeros(0, np.int64)
+    cut = np.append(first, len(seg))
+    return pa.RecordBatch.from_arrays([pa.array([language] * len(first), pa.string()), pa.array(seg[first].astype(np.int32)), packed(gram, cut), packed(counts.astype("<i8"), cut)], ["language", "segment", "grams", "counts"])
+
+
+COUNTS = "language string, segment int, grams binary, counts binary"
+
+
+def _merged(gram: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(gram, kind="stable")
+    gram, counts = gram[order], counts[order]
+    new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+    return gram[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def _summed(sent: DataFrame) -> DataFrame:
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        gram, n = _merged(np.concatenate([np.frombuffer(x, np.uint64) for x in p["grams"]]), np.concatenate([np.frombuffer(x, "<i8") for x in p["counts"]]))
+        return pd.DataFrame({"language": [p["language"].iloc[0]], "segment": [p["segment"].iloc[0]], "grams": [gram.tobytes()], "counts": [n.tobytes()]})
+
+    return sent.groupBy("language", "segment").applyInPandas(run, COUNTS)
+
+
+def count_grams(docs: DataFrame, segments: int) -> DataFrame:
+    """language, segment, grams, counts: the n-grams of all documents; each task adds up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for name, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["language", "code", "n"])
-            sums.clear()
+            for name, parts in held.items():
+                yield _dealt(name, *_merged(*(np.concatenate(x) for x in zip(*parts, strict=True))), segments)
+            held.clear()
 
         for batch in batches:
             for rows, data, offsets in text_blocks(batch):
-                names = np.array(_languages(rows))
-                of = np.repeat(names, np.diff(offsets)) if len(set(names)) > 1 else None
-                codes = trigrams(data, offsets)
-                for name in set(names.tolist()):
-                    own = codes if of is None else codes[of == name]
-                    sums[name] = sums.get(name, 0) + np.bincount(own, minlength=SIZE**ORDER)
-                if len(sums) > 32:
+                gram, begin = grams(data, offsets)
+                names, of = np.unique(np.array(_languages(rows), object), return_inverse=True)
+                of = np.repeat(of, np.diff(begin)) if len(names) > 1 else None
+                for k, name in enumerate(names.tolist()):
+                    own, n = np.unique(gram if of is None else gram[of == k], return_counts=True)
+                    if len(own):
+                        held.setdefault(name, []).append((own, n.astype(np.int64)))
+                        count += len(own)
+                if count > FLUSH:
                     yield from flush()
+                    count = 0
         yield from flush()
 
-    return docs.select("lang", "text").mapInArrow(run, "language string, code int, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Discount of each count by modified Kneser-Ney: three values from the counts of counts."""
-    c = [int((n == k).sum()) for k in range(1, 5)]
-    y = c[0] / max(c[0] + 2 * c[1], 1)
-    d = [max(0.05, min(k - 0.05, k - (k + 1) * y * c[k] / max(c[k - 1], 1))) for k in (1, 2, 3)]
-    return np.where(n >= 3, d[2], np.where(n == 2, d[1], np.where(n == 1, d[0], 0.0)))
-
-
-def fit(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys (order and code), log10 probabilities and log10 back-off weights of a language's model."""
-    mask, table = SIZE - 1, {}
-    # Lower orders count the distinct contexts that an n-gram follows.
-    three = (codes, counts)
-    two = np.unique(codes & (SIZE**2 - 1), return_counts=True)
-    one = np.unique(two[0] & mask, return_counts=True)
-    lower = np.full(SIZE, 1.0 / SIZE)
-    keys, logs, backs = [], [], []
-    for order, (g, n) in ((1, one), (2, two), (3, three)):
-        g, n = g.astype(np.int64), n.astype(np.int64)
-        context = g >> BITS
-        total = np.bincount(context, weights=n, minlength=SIZE ** (order - 1))
-        cut = _discounts(n)
-        free = np.bincount(context, weights=cut, minlength=SIZE ** (order - 1)) / np.maximum(total, 1)
-        free[total == 0] = 1.0
-        suffix = g & (SIZE ** (order - 1) - 1) if order > 1 else np.zeros(len(g), np.int64)
-        below = lower[suffix] if order > 1 else lower[g]
-        p = (n - cut) / total[context] + free[context] * below
-        if order == 1:
-            full = free[0] * lower
-            full[g] = p
-            g, p = np.arange(SIZE), full  # classes that the language doesn't have keep their share
-        else:
-            full = (free[:, None] * np.tile(lower.reshape(-1, SIZE), (SIZE, 1))).ravel() if order == 3 else (free[:, None] * lower[None, :]).ravel()
-            full[g] = p
-        keys.append((order << 32) | g)
-        logs.append(np.log10(p))
-        table[order] = free
-        lower = full
-    for order in (1, 2, 3):  # the weight that leads from an n-gram, as a context, to the next shorter one
-        backs.append(np.log10(table[order + 1][keys[order - 1] & 0xFFFFFFFF]) if order < 3 else np.zeros(len(keys[2])))
-    return np.concatenate(keys), np.concatenate(logs), np.concatenate(backs)
-
-
-def expand(keys: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
-    """log10 probability of every trigram code: seen ones as stored, others by backing off."""
-    order, g = keys >> 32, keys & 0xFFFFFFFF
-    p1, b1 = np.zeros(SIZE), np.zeros(SIZE)
-    p1[g[order == 1]], b1[g[order == 1]] = logs[order == 1], backs[order == 1]
-    p2 = (b1[:, None] + p1[None, :]).ravel()
-    b2 = np.zeros(SIZE**2)
-    p2[g[order == 2]], b2[g[order == 2]] = logs[order == 2], backs[order == 2]
-    p3 = (b2.reshape(-1, 1) + np.tile(p2.reshape(SIZE, SIZE), (SIZE, 1))).ravel()
-    p3[g[order == 3]] = logs[order == 3]
-    return p3.astype(np.float32)
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """One row per language: language, keys, logs, backs, each an array sorted by key."""
+    return _summed(docs.select("lang", "text").mapInArrow(run, COUNTS))
+
+
+def continuations(counts: DataFrame, order: int, segments: int) -> DataFrame:
+    """The counts of the n-grams one unit shorter: how many distinct units precede each."""
+    mask = np.uint64((1 << UNIT * (order - 1)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, x in zip(b.column("language").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                yield _dealt(name, *np.unique(np.frombuffer(x, np.uint64) & mask, return_counts=True), segments)
+
+    return _summed(counts.mapInArrow(run, COUNTS))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("code")
-        keys, logs, backs = fit(p["code"].to_numpy(), p["n"].to_numpy())
-        return pd.DataFrame({"language": [p["language"].iloc[0]], "keys": [keys], "logs": [logs], "backs": [backs]})
 
-    return count_trigrams(docs).groupBy("language").applyInPandas(run, "language string, keys array<long>, logs array<double>, backs array<double>")
+def discounts(ones: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney: the discounts of counts 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
+    y = ones[0] / max(ones[0] + 2 * ones[1], 1)
+    return tuple(max(0.05, min(k - 0.05, k - (k + 1) * y * ones[k] / max(ones[k - 1], 1))) for k in (1, 2, 3))
 
 
-def score(docs: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` of docs with language, base features and log_perplexity (per byte; null for empty texts)."""
+def shares(language: int, order: int, gram: np.ndarray, n: np.ndarray, cuts: tuple[float, float, float]) -> tuple[np.ndarray, ...]:
+    """Hashes and discounted shares of n-grams whose contexts are whole, and hashes and back-off weights of the contexts."""
+    context = gram >> np.uint64(UNIT)
+    new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    total = np.add.reduceat(n, new)
+    cut = np.where(n > 2, cuts[2], np.where(n == 2, cuts[1], cuts[0]))
+    size = np.diff(np.append(new, len(gram)))
+    return hashes(language, order, gram), (n - cut) / np.repeat(total, size), hashes(language, order + 8, context[new]), np.add.reduceat(cut, new) / total
+
+
+def train(docs: DataFrame, segments: int) -> DataFrame:
+    """language, segment, order, keys and values (hashes, log-free shares and weights): the model's rows, and how many bytes each has."""
+    levels = {ORDER: materialize(count_grams(docs, segments))}
+    for order in range(ORDER, 1, -1):
+        levels[order - 1] = materialize(continuations(levels[order], order, segments))
+    out = None
+    for order, counts in levels.items():
+
+        def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = [np.bincount(np.minimum(np.frombuffer(x, "<i8"), 5), minlength=6) for x in b.column("counts").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("language"), *(pa.array([int(x[k]) for x in n], pa.int64()) for k in range(1, 5)), pa.array([int(x.sum()) for x in n], pa.int64())], ["language", "n1", "n2", "n3", "n4", "types"])
+
+        def fit(batches: Iterator[pa.RecordBatch], order=order) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for r in b.to_pylist():
+                    key, share, context, weight = shares(salt(r["language"]), order, np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], "<i8"), discounts([r["n1"], r["n2"], r["n3"], r["n4"]]))
+                    if order == 1:  # below single units, all that the language has, and one more for any other, are alike
+                        weight = weight / (r["types"] + 1)
+                    keys, values = np.concatenate([key, context]), np.concatenate([share, weight])
+                    by = np.argsort(keys)
+                    rows.append((salt(r["language"]) % (1 << 30), r["segment"], order, keys[by].tobytes(), values[by].astype("<f4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["language", "segment", "order", "keys", "values"])
+
+        found = counts.mapInArrow(ones, "language string, n1 long, n2 long, n3 long, n4 long, types long").groupBy("language").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "types")))
+        part = counts.join(found, "language").mapInArrow(fit, "language int, segment int, order int, keys binary, values binary")
+        out = part if out is None else out.unionByName(part)
+    model = materialize(out)
+    for counts in levels.values():
+        release(counts)
+    return model
+
+
+class Tables:
+    """Sorted arrays of hashes with their values; a hash that isn't there is worth `absent`."""
+
+    def __init__(self, rows: list):
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows)])
+        values = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(r["values"], "<f4") for r in rows)])
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, keys: np.ndarray, absent: float) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), absent)
+        order = np.argsort(keys)  # looked up in order, neighbours share what the search has touched
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], absent).astype(np.float64)
+
+
+def probabilities(tables: Tables, language: int, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Interpolated probabilities of distinct n-grams' last units after the others."""
+    if order == 0:
+        return np.full(len(gram), 1.0)
+    key = gram
+    shorter, of = np.unique(key & np.uint64((1 << UNIT * (order - 1)) - 1), return_inverse=True)
+    below = probabilities(tables, language, shorter, order - 1)[of]
+    context, of = np.unique(key >> np.uint64(UNIT), return_inverse=True)
+    # A language without any text has no weight for single units either: all units are alike then.
+    weight = tables.get(hashes(language, order + 8, context), 1.0 if order > 1 else 2.0**-UNIT)[of]
+    return tables.get(hashes(language, order, key), 0.0) + weight * below
+
+
+def score(docs: DataFrame, model: DataFrame, columns: list[str], segments: int, most_bytes: int = 128 << 20) -> DataFrame:
+    """`columns` of docs with language, base features, n_units and log_perplexity (per unit; null for empty texts)."""
     spark = docs.sparkSession
-    names = sorted(r[0] for r in model.select("language").collect())
-    key = F.coalesce(F.concat(F.lit("s"), F.col("lang").cast("string")), F.lit("n"))
+    size = F.length("keys") + F.length("values")
+    total = model.agg(F.sum(size), F.sum(F.when(F.col("order") < ORDER, size))).first()
+    top, low = (total[0] or 0) - (total[1] or 0), total[1] or 0
+    by_language = max(1, -(-2 * low // most_bytes))
+    by_context = max(1, -(-2 * top // (most_bytes * by_language)))
+    passes = [(i, j) for i in range(by_language) for j in range(by_context)]
     schema = docs.select(*columns).schema.add("language", "string")
-    for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+    feature_names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for f in feature_names:
         schema = schema.add(f, "long")
-    schema = schema.add("n_bytes", "long").add("log_perplexity", "double")
+    schema = schema.add("n_units", "long").add("log_sum", "double")
+    if len(passes) > 1:
+        schema = schema.add("row_key", "long").add("pass", "integer")
     out = None
-    for i in range(0, max(len(names), 1), LANGUAGES_AT_ONCE):
-        some = names[i : i + LANGUAGES_AT_ONCE]
-        rows = model.filter(F.col("language").isin(some)).collect()
-        tables = spark.sparkContext.broadcast({r["language"]: tuple(np.array(r[c]) for c in ("keys", "logs", "backs")) for r in rows})
+    for turn, (i, j) in enumerate(passes):
+        rows = model.filter((F.col("language") % by_language == i) & ((F.col("order") < ORDER) | (F.col("segment") % by_context == j)))
+        shared = spark.sparkContext.broadcast(Tables(list(rows.select("keys", "values").toLocalIterator())))
 
-        def run(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
-            dense = {k: expand(*v) for k, v in tables.value.items()}
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, i=i, j=j, turn=turn) -> Iterator[pa.RecordBatch]:
+            tables = shared.value
             for batch in batches:
                 for rows, data, offsets in text_blocks(batch):
+                    gram, begin = grams(data, offsets)
                     names = _languages(rows)
-                    codes = trigrams(data, offsets)
-                    logs = np.empty(len(codes), np.float64)
-                    for k, name in enumerate(names):
-                        a, e = offsets[k], offsets[k + 1]
-                        if e > a:
-                            logs[a:e] = dense[name][codes[a:e]]
-                    n = np.diff(offsets)
-                    mean = -_sums(logs, offsets) / np.maximum(n, 1)
-                    f = base_features(data, offsets)
-                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(names, pa.string()), *(pa.array(x.astype(np.int64)) for x in f.values()), pa.array(n), pa.array(mean, mask=n == 0)], [*columns, "language", *f, "n_bytes", "log_perplexity"])
-
-        chunk = docs if len(names) <= LANGUAGES_AT_ONCE else docs.filter(key.isin(some))
-        part = chunk.select(*dict.fromkeys([*columns, "lang", "text"])).mapInArrow(run, schema)
+                    kinds, of = np.unique(np.array(names, object), return_inverse=True)
+                    of = np.repeat(of, np.diff(begin)) if len(kinds) > 1 else np.zeros(len(gram), np.int64)
+                    logs = np.zeros(len(gram))
+                    for k, name in enumerate(kinds.tolist()):
+                        own = salt(name)
+                        if own % (1 << 30) % by_language != i:
+                            continue
+                        at = np.flatnonzero(of == k) if len(kinds) > 1 else slice(None)
+                        some, back = np.unique(gram[at], return_inverse=True)
+                        p = np.log10(np.maximum(probabilities(tables, own, some), 1e-30))
+                        if by_context > 1:
+                            p[_segment(own, some >> np.uint64(UNIT), segments) % by_context != j] = 0.0
+                        logs[at] = p[back]
+                    f = base_features(data, offsets) if not turn else {c: np.zeros(rows.num_rows, np.int64) for c in feature_names}
+                    arrays = [*(rows.column(c) for c in columns), pa.array(names, pa.string()), *(pa.array(f[c].astype(np.int64)) for c in feature_names), pa.array(np.diff(begin)), pa.array(_sums(logs, begin))]
+                    if len(passes) > 1:
+                        arrays += [_row_keys(rows, data, offsets), pa.array(np.full(rows.num_rows, turn), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+        part = docs.select(*dict.fromkeys([*columns, "lang", "text"])).mapInArrow(run, schema)
+        if len(passes) > 1:
+            part = materialize(part)
         out = part if out is None else out.unionByName(part)
-    return out
+    if len(passes) > 1:  # the passes' sums; rows alike are as many in each pass and share sums evenly
+        sums = out.groupBy("row_key").agg(F.sum("log_sum").alias("log_sum"), F.sum((F.col("pass") == 0).cast("int")).alias("rows"))
+        out = out.filter("pass = 0").drop("pass", "log_sum").join(sums, "row_key").withColumn("log_sum", F.col("log_sum") / F.col("rows")).drop("row_key", "rows")
+    mean = F.when(F.col("n_units") > 0, -F.col("log_sum") / F.col("n_units"))
+    return out.withColumn("log_perplexity", mean).drop("log_sum")
+
+
+def _row_keys(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A hash of a row's text and language."""
+    named = np.array([salt(x) for x in _languages(rows)], np.uint64)
+    return pa.array(fold(Spans(data).hash(offsets[:-1], offsets[1:]) + named).view(np.int64)) if rows.num_rows else pa.array([], pa.int64())
 
 
 def base_failed() -> Column:
@@ -254,28 +365,39 @@ def language_bands(scored: DataFrame) -> DataFrame:
 def _verdicts(scored: DataFrame, bands: DataFrame, spread: float, floor: float, short: float) -> DataFrame:
     few = bands.count() <= MOST_LANGUAGES_TO_BROADCAST
     out = scored.withColumn("base_failed", base_failed()).join(F.broadcast(bands) if few else bands, "language", "left")
-    width = F.lit(spread) * F.greatest(F.col("deviation"), F.lit(floor)) + F.lit(short) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    width = F.lit(spread) * F.greatest(F.col("deviation"), F.lit(floor)) + F.lit(short) / F.sqrt(F.greatest("n_units", F.lit(1)))
     out = out.withColumn("low", F.col("middle") - width).withColumn("high", F.col("middle") + width)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.withColumn("kept", kept).drop("middle", "deviation", "n_bytes")
+    return out.withColumn("kept", kept).drop("middle", "deviation", "n_units")
+
+
+def segments_for(docs: DataFrame) -> int:
+    """As many that a segment's n-grams fit a task's memory."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, min(1 << 17, size // (16 << 20)))
+
+
+SPREAD, FLOOR, SHORT = 2.0, 0.01, 1.0
 
 
-def judge(docs: DataFrame, spread: float = 2.0, floor: float = 0.01, short: float = 1.0, columns: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, spread: float = SPREAD, floor: float = FLOOR, short: float = SHORT, columns: list[str] | None = None, most_bytes: int = 128 << 20) -> DataFrame:
     """`columns` (doc_id unless given) with the base features, base_failed, log_perplexity, low, high and kept.
 
-    A text of n bytes may lie `spread` median deviations (at least `floor`) and short / sqrt(n) from its language's median.
+    A text of n units may lie `spread` median deviations (at least `floor`) and short / sqrt(n) from its language's median.
     """
-    model = materialize(train(docs))
-    scored = materialize(score(docs, model, columns or ["doc_id"]))
+    segments = segments_for(docs)
+    model = train(docs, segments)
+    scored = materialize(score(docs, model, columns or ["doc_id"], segments, most_bytes))
     return _verdicts(scored, materialize(language_bands(scored)), spread, floor, short)
 
 
-def keep(docs: DataFrame, spread: float = 2.0, floor: float = 0.01, short: float = 1.0) -> DataFrame:
+def keep(docs: DataFrame, spread: float = SPREAD, floor: float = FLOOR, short: float = SHORT, most_bytes: int = 128 << 20) -> DataFrame:
     """The rows of docs that are kept. Bands come from a narrow table; then one more pass judges each row as it streams by."""
-    model = materialize(train(docs))
-    bands = materialize(language_bands(materialize(score(docs, model, ["doc_id"]))))
+    segments = segments_for(docs)
+    model = train(docs, segments)
+    bands = materialize(language_bands(materialize(score(docs, model, ["doc_id"], segments, most_bytes))))
     # Other names while judging, so that no column of docs clashes with the features.
     own = {c: f"_kq_{i}" for i, c in enumerate(docs.columns)}
     named = docs.select(*(F.col(c).alias(n) for c, n in own.items()), *(F.col(c) for c in ("lang", "text")))
-    kept = _verdicts(score(named, model, list(own.values())), bands, spread, floor, short).filter("kept")
+    kept = _verdicts(score(named, model, list(own.values()), segments, most_bytes), bands, spread, floor, short).filter("kept")
     return kept.select(*(F.col(n).alias(c) for c, n in own.items()))
