@@ -220,3 +220,31 @@ def test_snapshots(spark, tmp_path):
     assert s.load().first()["id"] == 2 and s.load("v1").first()["id"] == 1
     s.delete("v2")
     assert s.load().first()["id"] == 1 and s.stats().first()["n_versions"] == 2
+
+
+def test_messages_by_batch_are_those_by_row():
+    """Readers and writers of whole batches against the ones that take a message at a time."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(7)
+    rows = [{k: rng.choice([0, 1, 127, 128, 300, 2**31, 2**62]) for k in ("uid", "nonce", "price", "amount", "symbol", "op_code")} for _ in range(200)]
+    assert codec.encode_orders({k: np.array([r[k] for r in rows]) for k in rows[0]}) == [codec.encode_order(r) for r in rows]
+    messages = [codec.encode_order(r | {"signature": rng.choice([b"", b"s" * 64])}) for r in rows]
+    messages += [bytes(rng.randrange(256) for _ in range(rng.randrange(12))) for _ in range(800)]
+    messages += [m[: rng.randrange(len(m))] for m in messages[:100] if m] + [b"", bytes([9]) + bytes(8) + bytes([61, 1, 2, 3, 4]), bytes([0xFF] * 12), None]
+    got = codec.parse_order.func(pd.Series(messages, dtype=object))
+    ok = codec.wire_ok.func(pd.Series(messages, dtype=object)).tolist()
+    for i, m in enumerate(messages):
+        assert bool(ok[i]) == (m is not None and codec.scan_wire(m)), m
+        try:
+            want = codec.decode_order(m)
+        except (ValueError, TypeError):
+            want = None
+        row = got.iloc[i]
+        if want is None:
+            assert pd.isna(row["uid"]) and row["signature"] is None, m
+        elif all(isinstance(v, int) == (k != "signature") and (k == "signature" or v < 2**63) for k, v in want.items()):
+            assert all(row[k] == v for k, v in want.items()), m

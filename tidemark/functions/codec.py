@@ -7,6 +7,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
@@ -165,10 +166,62 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "data").mapInArrow(run, "block long, pos int, sig binary, body binary, error string")
 
 
+class Wire:
+    """A batch of messages end to end, read a field of every message at a time."""
+
+    def __init__(self, messages: pd.Series):
+        parts = [b"" if x is None else bytes(x) for x in messages]
+        self.data = np.frombuffer(b"".join(parts) + bytes(1), np.uint8)  # a byte more, so that any position up to the end can be read
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.end = np.cumsum(size)
+        self.at = self.end - size
+        self.bad = np.fromiter((x is None for x in messages), bool, len(parts))
+
+    def varint(self, rows: np.ndarray) -> np.ndarray:
+        """The next varint of these messages; those that have none are bad."""
+        value, open_ = np.zeros(len(rows), np.uint64), np.ones(len(rows), bool)
+        for k in range(10):
+            on = np.flatnonzero(open_ & (self.at[rows] < self.end[rows]))
+            if not len(on):
+                break
+            byte = self.data[self.at[rows[on]]]
+            value[on] |= (byte & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+            self.at[rows[on]] += 1
+            open_[on[byte < 128]] = False
+        self.bad[rows[open_]] = True
+        return value
+
+    def fields(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """message, field number, kind and value of the messages' first fields, then of their second ones, and so on.
+
+        The value of a length-delimited field is its length; its bytes end at `at`.
+        """
+        while len(rows := np.flatnonzero(~self.bad & (self.at < self.end))):
+            tag = self.varint(rows)
+            number, kind = (tag >> np.uint64(3)).astype(np.int64), (tag & np.uint64(7)).astype(np.int64)
+            self.bad[rows[~np.isin(kind, (0, 1, 2, 5))]] = True
+            value = np.zeros(len(rows), np.uint64)
+            some = np.flatnonzero(((kind == 0) | (kind == 2)) & ~self.bad[rows])
+            value[some] = self.varint(rows[some])
+            skip = np.select([kind == 1, kind == 5, kind == 2], [8, 4, np.minimum(value, np.uint64(1 << 40)).astype(np.int64)], 0)
+            self.at[rows] += np.where(self.bad[rows], 0, skip)
+            for size in (4, 8):  # little-endian numbers
+                on = np.flatnonzero((kind == (5 if size == 4 else 1)) & (self.at[rows] <= self.end[rows]) & ~self.bad[rows])
+                for k in range(size):
+                    value[on] |= self.data[self.at[rows[on]] - size + k].astype(np.uint64) << np.uint64(8 * k)
+            self.bad[rows[self.at[rows] > self.end[rows]]] = True
+            fine = ~self.bad[rows]
+            yield rows[fine], number[fine], kind[fine], value[fine]
+
+
 @F.pandas_udf(T.BooleanType())
 def wire_ok(b: pd.Series) -> pd.Series:
     """scan_wire, a batch at a time."""
-    return b.map(lambda x: x is not None and scan_wire(bytes(x)))
+    wire = Wire(b)
+    some = wire.at < wire.end
+    for rows, number, _, _ in wire.fields():
+        wire.bad[rows[number == 0]] = True
+    return pd.Series(some & ~wire.bad)
 
 
 # Messages: a flat order in wire format. Field numbers and kinds are fixed values of the format.
@@ -201,6 +254,8 @@ def decode_order(b: bytes) -> dict:
             v, at = b[at : at + n], at + n
         elif kind in (1, 5):
             n = 8 if kind == 1 else 4
+            if at + n > len(b):
+                raise ValueError("truncated")
             v, at = int.from_bytes(b[at : at + n], "little"), at + n
         else:
             raise ValueError("bad kind")
@@ -212,23 +267,62 @@ def decode_order(b: bytes) -> dict:
 MESSAGE = T.StructType([T.StructField(name, T.LongType() if kind == 0 else T.BinaryType()) for name, (_, kind) in ORDER_FIELDS.items()])
 
 
+def encode_orders(columns: dict[str, np.ndarray]) -> list[bytes]:
+    """encode_order of many rows, a byte of every row at a time; columns: numbers by name of the field."""
+    n = len(next(iter(columns.values())))
+    sizes, values = [], []
+    for name in columns:
+        v = columns[name].astype(np.int64).view(np.uint64)
+        bits = np.zeros(n, np.int64)
+        rest = v.copy()
+        for k in range(10):
+            bits += rest > 0
+            rest = rest >> np.uint64(7)
+        values.append(v)
+        sizes.append(np.where(v > 0, 1 + bits, 0))  # field numbers below 16: the tag is one byte
+    end = np.cumsum(np.sum(sizes, axis=0))
+    out = np.zeros(int(end[-1]) if n else 0, np.uint8)
+    at = end - np.sum(sizes, axis=0) if n else end
+    start = at.copy()
+    for (name, v), size in zip(zip(columns, values, strict=True), sizes, strict=True):
+        number, kind = ORDER_FIELDS[name]
+        on = np.flatnonzero(size)
+        out[at[on]] = number << 3 | kind
+        for k in range(int(size.max(initial=1)) - 1):
+            on = np.flatnonzero(size > k + 1)
+            more = (size[on] > k + 2).astype(np.uint8) << np.uint8(7)
+            out[at[on] + 1 + k] = ((v[on] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+        at = at + size
+    raw = out.tobytes()
+    return [raw[a:e] for a, e in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 @F.pandas_udf(T.BinaryType())
 def order_message(uid: pd.Series, nonce: pd.Series, price: pd.Series, amount: pd.Series, symbol: pd.Series, op_code: pd.Series) -> pd.Series:
     names = ("uid", "nonce", "price", "amount", "symbol", "op_code")
-    return pd.Series([encode_order(dict(zip(names, r, strict=True))) for r in zip(uid, nonce, price, amount, symbol, op_code, strict=True)])
+    return pd.Series(encode_orders({k: c.fillna(0).to_numpy() for k, c in zip(names, (uid, nonce, price, amount, symbol, op_code), strict=True)}), dtype=object)
 
 
 @F.pandas_udf(MESSAGE)
 def parse_order(b: pd.Series) -> pd.DataFrame:
     """Fields of messages; a broken message has nulls."""
-    out = []
-    for x in b:
-        try:
-            out.append(decode_order(bytes(x)))
-        except (ValueError, TypeError):
-            out.append(dict.fromkeys(ORDER_FIELDS))
-    frame = pd.DataFrame(out, columns=list(ORDER_FIELDS))
-    return frame.astype({k: "Int64" for k, (_, kind) in ORDER_FIELDS.items() if kind == 0})
+    wire, by_number = Wire(b), {number: name for name, (number, _) in ORDER_FIELDS.items()}
+    out = {name: np.zeros(len(b), np.uint64) if kind == 0 else np.full(len(b), b"", object) for name, (_, kind) in ORDER_FIELDS.items()}
+    for rows, number, kind, value in wire.fields():
+        for k in np.intersect1d(number, list(by_number)).tolist():
+            name, on = by_number[k], np.flatnonzero(number == k)
+            if ORDER_FIELDS[name][1] == 0:
+                on = on[kind[on] != 2]
+                out[name][rows[on]] = value[on]
+            else:
+                for i in on[kind[on] == 2].tolist():
+                    e = int(wire.at[rows[i]])
+                    out[name][rows[i]] = wire.data[e - int(value[i]) : e].tobytes()
+    frame = {}
+    for name, (_, kind) in ORDER_FIELDS.items():
+        frame[name] = pd.array(out[name].view(np.int64), dtype="Int64") if kind == 0 else pd.Series(out[name])
+        frame[name][wire.bad] = pd.NA if kind == 0 else None
+    return pd.DataFrame(frame, columns=list(ORDER_FIELDS))
 
 
 # Ed25519 by RFC 8032, in plain integers: for tests and for small streams.
