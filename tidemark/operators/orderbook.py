@@ -212,9 +212,12 @@ def nibble_prefix(price: Column, depth: int) -> Column:
     return F.substring(F.lpad(F.hex(price), 16, "0"), 1, depth)
 
 
-def cancel_batches(orders: DataFrame) -> DataFrame:
-    """One batch of ids per symbol that cancels all live orders."""
-    return live(orders).groupBy("symbol").agg(F.array_sort(F.collect_list("order_id")).alias("order_ids"))
+def cancel_batches(orders: DataFrame, size: int = 512) -> DataFrame:
+    """Batches of ids, of one symbol and at most `size` each, that cancel all live orders: orders are numbered by id over all symbols,
+    and each run of `size` numbers has a batch for every symbol in it.
+    """
+    rows = running_sum(live(orders).withColumn("_one", F.lit(1)), "order_id", "_one").withColumn("batch", F.floor((F.col("running") - 1) / size))
+    return rows.groupBy("symbol", "batch").agg(F.array_sort(F.collect_list("order_id")).alias("order_ids"))
 
 
 def depth_report(orders: DataFrame, n: int = 10) -> DataFrame:

@@ -169,7 +169,7 @@ def nibble_tree(spark, d):
     return ob.live(t.book(spark, d)).groupBy("side", ob.nibble_prefix(F.col("price"), 14).alias("prefix")).agg(F.count(F.lit(1)).alias("n_orders"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
 
 
-@query("cancel_batches", sql(LIVE + " SELECT symbol, list(order_id ORDER BY order_id) AS order_ids FROM live GROUP BY symbol"))
+@query("cancel_batches", sql(LIVE + ", n AS (SELECT *, (row_number() OVER (ORDER BY order_id) - 1) // 512 AS batch FROM live) SELECT symbol, batch, list(order_id ORDER BY order_id) AS order_ids FROM n GROUP BY symbol, batch"))
 def cancel_batches(spark, d):
     return ob.cancel_batches(t.book(spark, d))
 
@@ -184,6 +184,27 @@ def full_report(spark, d):
     return ob.full_report(t.book(spark, d))
 
 
+@query("full_report_levels", sql(RANKED + ", s AS (SELECT live.*, rk.level, row_number() OVER (PARTITION BY live.side, live.price, slot ORDER BY seq) AS p FROM live JOIN rk USING (side, price) WHERE level <= 20) SELECT side, price, level::INTEGER AS level, slot, sum(remaining)::BIGINT AS volume, count(*) FILTER (p <= 5) AS n_shown, min(order_id) FILTER (p = 1) AS first_order FROM s GROUP BY ALL"))
+def full_report_levels(spark, d):
+    """The nested report written as JSON and read back, a row for each slot."""
+    from tidemark.sources.storage import scratch_dir
+
+    path = scratch_dir(spark)
+    ob.full_report(t.book(spark, d)).write.json(path)
+    slots = "array<struct<slot: int, volume: bigint, orders: array<struct<p: int, order_id: bigint, remaining: bigint>>>>"
+    rows = spark.read.schema("side string, price long, level int, slots string").json(path)
+    rows = rows.select("side", "price", "level", F.explode(F.from_json("slots", slots)).alias("s"))
+    return rows.select("side", "price", "level", "s.slot", "s.volume", F.size("s.orders").cast("bigint").alias("n_shown"), F.col("s.orders")[0]["order_id"].alias("first_order"))
+
+
+@query("market_sell_sweep", sql(LIVE + """, m AS (SELECT *, sum(remaining) OVER (ORDER BY price DESC, slot, seq ROWS UNBOUNDED PRECEDING) AS m_end FROM live WHERE side = 'BUY'),
+tk AS (SELECT *, sum(size) OVER (ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS t_end FROM v_takers)
+SELECT taker_id, order_id AS maker_id, price, (least(m_end, t_end) - greatest(m_end - remaining, t_end - tk.size))::BIGINT AS size FROM m JOIN tk ON m_end - remaining < t_end AND t_end - tk.size < m_end""", "v_book v_takers"))
+def market_sell_sweep(spark, d):
+    """Market sells against the bids."""
+    return ob.sweep(t.book(spark, d), t.takers(spark, d), "SELL").select("taker_id", "maker_id", "price", "size")
+
+
 @query("books_by_symbol", sql(LIVE + " SELECT symbol, count(*) AS n_orders, max(price) FILTER (side = 'BUY') AS best_bid, min(price) FILTER (side = 'SELL') AS best_ask, sum(remaining)::BIGINT AS volume FROM live GROUP BY symbol"))
 def books_by_symbol(spark, d):
     b = t.book(spark, d)

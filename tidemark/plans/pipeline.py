@@ -206,6 +206,24 @@ def pipeline_report(spark, d):
     return t.transactions(spark, d).agg(F.count(F.lit(1)).alias("n_tx"), F.count_distinct("uid").alias("n_users"), F.count_distinct("market").alias("n_markets"), F.avg("amount").alias("mean_amount"), (F.count(F.lit(1)) / span).alias("per_second"))
 
 
+@query("pipeline_stages", sql(GATE + """, s AS (SELECT v_tx.*, row_number() OVER (PARTITION BY sig ORDER BY arrival) AS k, g.reject_reason FROM v_tx JOIN g USING (arrival)),
+u AS (SELECT 1 AS stage, amount FROM v_tx UNION ALL SELECT 2, amount FROM s WHERE k = 1 UNION ALL SELECT 3, amount FROM s WHERE reject_reason IS NULL)
+SELECT stage, count(*) AS n, avg(amount) AS mean_amount, count(*) / (SELECT count(*) FROM v_tx)::DOUBLE AS share FROM u GROUP BY stage""".replace("SELECT v_tx.*, row_number() OVER (PARTITION BY sig ORDER BY arrival) AS k, g.reject_reason", "SELECT v_tx.amount, row_number() OVER (PARTITION BY v_tx.sig ORDER BY arrival) AS k, g.reject_reason"), "v_tx v_users"))
+def pipeline_stages(spark, d):
+    """What each stage of the gate passes on, observed as one run goes by."""
+    from pyspark.sql import Observation
+
+    rows = _gate(spark, d)
+    seen = {1: Observation(), 2: Observation(), 3: Observation()}
+    mark = lambda cond: (F.count_if(cond).alias("n"), F.avg(F.when(cond, F.col("amount"))).alias("mean"))
+    once = F.coalesce(F.col("reject_reason") != "duplicate", F.lit(True))
+    for stage, cond in ((1, F.lit(True)), (2, once), (3, F.col("reject_reason").isNull())):
+        rows = rows.observe(seen[stage], *mark(cond))
+    rows.write.format("noop").mode("overwrite").save()
+    got = {k: o.get for k, o in seen.items()}
+    return spark.createDataFrame([(k, v["n"], v["mean"], v["n"] / got[1]["n"]) for k, v in got.items()], "stage int, n long, mean_amount double, share double")
+
+
 @query("shuffled_stream")
 def shuffled_stream(spark, d):
     """A random but repeatable order."""

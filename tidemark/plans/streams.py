@@ -17,6 +17,13 @@ def stream_dedup(spark, d):
     return spark.read.parquet(ingest.run(ingest.without_duplicates(ingest.as_transactions(ingest.event_stream(spark, d))).select("sig")))
 
 
+@query("stream_bounds", with_views("v_tx", " SELECT arrival, ts FROM v_tx WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' + INTERVAL 60 SECOND"))
+def stream_bounds(spark, d):
+    """Transactions of a stream that aren't more than a minute ahead of a clock."""
+    tx = ingest.within_bounds(ingest.as_transactions(ingest.event_stream(spark, d)), now=F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return spark.read.parquet(ingest.run(tx.select("arrival", "ts"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
     out = spark.read.parquet(ingest.run(ingest.window_counts(ingest.as_transactions(ingest.event_stream(spark, d))), "complete"))
