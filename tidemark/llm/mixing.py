@@ -8,7 +8,10 @@ child a multivariate-hypergeometric draw of them. Shards take consecutive, so di
 are in hash order.
 
 Nulls: a null text has no words, a null source is a source of its own and the last one, null ids hash like any value. Documents
-without words are never taken. Repeated rows share what is taken of them evenly. Empty tables give empty results.
+without words are never taken. A text of any length is one document; only the one at a source's boundary is cut. Documents of one
+hash follow in order of id and size. Repeated rows share what is taken of them evenly. Empty tables give empty results. Extra columns
+pass through, whatever their names, but for those that the mix adds, which it replaces. All sources' quotas make one row of the tree:
+sources are to be counted in millions at most.
 """
 
 from __future__ import annotations
@@ -100,11 +103,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, de
     and shards (the output shard of each copy, whole ones first). Columns of that name in docs are replaced.
     """
     own = ["size", "source_size", "target", "passes", "part", "taken", "shards"]
-    size = F.col("_mx_size") if size_column else n_words(F.col("text"))
-    docs = (docs.withColumn("_mx_size", F.col(size_column)) if size_column else docs).drop(*own)
-    kept = [c for c in docs.columns if c != "_mx_size"]
+    size = F.col(size_column) if size_column else n_words(F.col("text"))
+    # Other names while mixing, so that no column of docs clashes with the mix's own.
+    kept = {c: f"_mo_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    docs = docs.select(*(F.col(c).alias(n) for c, n in kept.items()), "doc_id", "source", size.alias("_mx_size"))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    add = lambda d: d.withColumn("_mx_size", size).withColumn("_mx_key", key).withColumn("_mx_h", seed_hash(seed, F.col("doc_id"), F.col("_mx_size")))
+    add = lambda d: d.withColumn("_mx_key", key).withColumn("_mx_h", seed_hash(seed, F.col("doc_id"), F.col("_mx_size")))
     sized = materialize(add(docs).select("doc_id", "source", F.col("_mx_key").alias("source_key"), F.col("_mx_size").alias("size"), F.col("_mx_h").alias("h")))
     targets = source_targets(sized, weights, most)
     blocks = F.least(F.lit(most_blocks), F.ceil(F.col("source_size") / block_words)).cast("bigint")
@@ -145,7 +149,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, de
     shard = lambda e: F.size(F.filter("_mx_cuts", lambda c: c <= e * F.col("_mx_blocks") + F.col("_mx_block")))
     shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("shards", shards).withColumn("size", F.col("_mx_size"))
-    return out.select(*kept, *own)
+    return out.select(*(F.col(n).alias(c) for c, n in kept.items()), *own)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

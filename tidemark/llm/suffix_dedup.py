@@ -9,8 +9,10 @@ front-coded between sampled splitters; a loser tree merges the runs of a range a
 In the sorted order, common-prefix intervals tell which windows are equal: a window with d bytes left of its anchor occurs earlier
 if an earlier context is in its interval of length - d to the right and in its interval of d to the left. Decisions are exact.
 
-Null and empty texts have nothing to remove. Rows with a null doc_id are neither compared nor cut; rows that repeat a doc_id count
-as one document. Empty tables give empty results. Extra columns pass through `cut_repeats`.
+Null and empty texts have nothing to remove, and texts of any length are compared whole. Of equal strings the one with the smallest
+doc_id and start stays; there are no other ties. Rows with a null doc_id have no place in that order, so they are neither compared nor
+cut; rows that repeat a doc_id count as one document. Empty tables give empty results. Extra columns pass through `cut_repeats`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import Spans, materialize, release, text_blocks
+from tidemark.llm.kit import Spans, fresh, materialize, release, text_blocks
 
 LOW = np.uint64(0xFFFFFFFF)
 RUN = 100_000
@@ -373,11 +375,12 @@ def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(keys * np.uint64(m) >> np.uint64(24)) & mask for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def with_spans(docs: DataFrame, **options) -> DataFrame:
-    """docs with `_sd_spans`: the sorted maximal spans (start, end) of bytes to remove; null if there are none."""
+def with_spans(docs: DataFrame, name: str, **options) -> DataFrame:
+    """docs with a column of this name: the sorted maximal spans (start, end) of bytes to remove; null if there are none."""
     found = materialize(repeated_spans(docs, **options))
-    lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_sd_spans"))
-    return docs.join(lists.withColumnRenamed("doc_id", "_sd_doc"), docs["doc_id"] == F.col("_sd_doc"), "left").drop("_sd_doc")
+    id_ = fresh(docs, "_sd_doc")[0]
+    lists = found.groupBy(F.col("doc_id").alias(id_)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+    return docs.join(lists, docs["doc_id"] == F.col(id_), "left").drop(id_)
 
 
 def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -392,12 +395,12 @@ def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    marked = with_spans(docs.select("doc_id", "text"), **options)
+    marked = with_spans(docs.select("doc_id", "text"), "spans", **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("_sd_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = (text.as_py() or "").encode()
                 kept, removed, n = _kept(raw, spans.as_py())
                 out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
@@ -409,14 +412,15 @@ def digests(docs: DataFrame, **options) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with their texts cut; where a cut parts a character, what is left of it goes too."""
-    marked = with_spans(docs, **options)
-    schema = marked.drop("_sd_spans").schema
+    name = fresh(docs, "_sd_spans")[0]
+    marked = with_spans(docs, name, **options)
+    schema = marked.drop(name).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), s.as_py())[0].decode(errors="ignore") for t, s in zip(batch.column("text"), batch.column("_sd_spans"), strict=True)]
+            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), s.as_py())[0].decode(errors="ignore") for t, s in zip(batch.column("text"), batch.column(name), strict=True)]
             batch = batch.set_column(at, "text", pa.array(texts, pa.string()))
-            yield batch.drop_columns(["_sd_spans"])
+            yield batch.drop_columns([name])
 
     return marked.mapInArrow(run, schema)
