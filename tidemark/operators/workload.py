@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Share of each operation per mille: noop, reserve, create, cancel, cancel all, cancel and replace, amend.
-OPERATIONS = ((0, 2), (31, 1), (61, 277), (62, 185), (63, 18), (64, 55), (65, 462))
+#: Fixed counts of each operation in a round: noop, reserve, create, cancel, cancel all, cancel and replace, amend.
+OPERATIONS = ((0, 100), (31, 50), (61, 15_000), (62, 10_000), (63, 1_000), (64, 3_000), (65, 25_000))
+ROUND = sum(n for _, n in OPERATIONS)
 
 
 def draw(n: int, *keys) -> Column:
@@ -14,8 +15,9 @@ def draw(n: int, *keys) -> Column:
 
 
 def transactions(spark: SparkSession, n: int, users: int = 10_000) -> DataFrame:
+    """Rounds of OPERATIONS, each mixed: a row's place in its round is its number times a factor without a common divisor."""
     id_ = F.col("id")
-    r, upto, op = draw(1000, 1, id_), 0, None
+    r, upto, op = F.pmod(id_ * 7919, F.lit(ROUND)), 0, None
     for code, share in OPERATIONS:
         upto += share
         op = F.when(r < upto, code) if op is None else op.when(r < upto, code)

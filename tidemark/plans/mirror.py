@@ -125,7 +125,18 @@ def signature_membership(spark, d):
 
 @query("generated_transactions")
 def generated_transactions(spark, d):
-    return workload.transactions(spark, 20_000)
+    return workload.transactions(spark, workload.ROUND)
+
+
+@query("generated_counts", "SELECT * FROM (VALUES (0, 200), (31, 100), (61, 30000), (62, 20000), (63, 2000), (64, 6000), (65, 50000)) o(op_code, n)")
+def generated_counts(spark, d):
+    """Two rounds have every operation as often as it is meant to be there."""
+    return workload.transactions(spark, 2 * workload.ROUND).groupBy("op_code").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("generated_traders")
+def generated_traders(spark, d):
+    return workload.traders(spark, 20_000)
 
 
 @query("generated_orders")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import keyed as kv
+from tidemark.operators import merkle as mk
+from tidemark.plans.integrity import TREES
 from tidemark.plans.registry import query
 from tidemark.plans.views import with_views
 from tidemark.sources import tables as t
@@ -73,20 +75,22 @@ def report_json(spark, d):
     return spark.read.schema("side string, n_levels long").json(path).select("side", F.col("n_levels").alias("n"))
 
 
-@query("report_text", "SELECT 2::BIGINT AS n_lines")
+@query("report_text", with_views("v_book", " SELECT side, count(DISTINCT price) AS n_levels, count(*) AS n_orders, sum(remaining)::BIGINT AS volume FROM v_book WHERE remaining > 0 GROUP BY side"))
 def report_text(spark, d):
-    """A report as lines of text."""
+    """A report as lines of text, read again."""
     from tidemark.operators import orderbook as ob
 
     path = scratch_dir(spark)
     rows = ob.tree_stats(t.book(spark, d)).filter("side <> 'BOOK'")
     rows.select(F.format_string("%s levels=%d orders=%d volume=%d", "side", "n_levels", "n_orders", "volume").alias("line")).write.text(path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
+    number = lambda name: F.regexp_extract("value", f"{name}=(\\d+)", 1).cast("bigint").alias(f"n_{name}" if name != "volume" else name)
+    return spark.read.text(path).select(F.split("value", " ")[0].alias("side"), number("levels"), number("orders"), number("volume"))
 
 
-@query("tagged_roots", with_views("v_store", " SELECT 'r' || (id % 3)::VARCHAR AS tag, max(id) AS root FROM v_store GROUP BY 1"))
+@query("tagged_roots", with_views("v_store", TREES + " SELECT tree AS tag, hash AS root FROM n0"))
 def tagged_roots(spark, d):
-    """Roots published under tags; the last one of a tag counts."""
-    path = scratch_dir(spark)
-    t.store(spark, d).select(F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("tag"), F.col("id").alias("root")).write.parquet(path)
-    return spark.read.parquet(path).groupBy("tag").agg(F.max("root").alias("root"))
+    """Two batches of roots published under tags; the last one of a tag counts."""
+    path, store = scratch_dir(spark), t.store(spark, d)
+    for number, rows in enumerate((store.filter("id < 100"), store)):
+        mk.tree_roots(rows).select(F.col("tree").alias("tag"), F.lit(number).alias("batch"), "root").write.mode("append").parquet(path)
+    return spark.read.parquet(path).groupBy("tag").agg(F.max_by("root", "batch").alias("root"))
