@@ -2,12 +2,15 @@
 
 Tokenizing gives pieces of at most `capacity` tokens. Their histogram, at most `capacity` counts whatever the corpus, goes to the
 driver, where the covering program (patterns of lengths that fit one sequence, every length covered as often as it occurs) is
-solved by multiplicative weights: lengths that lag behind gain weight, and a knapsack dynamic program prices the next pattern.
-The fractional solution is rounded down; what is left is packed by best fit, pattern by pattern. Every piece finds its sequence
-and offset from its rank among the pieces of its length.
-
-Nulls: a null text is empty, one end id; null ids stay null. Repeated rows are packed each. Empty tables give empty results.
-Columns of docs other than doc_id and text aren't carried.
+solved by multiplicative weights: lengths that lag behind gain weight, and a knapsack dynamic program prices the next pattern, with
+no length used more often than it occurs. Patterns that fill a sequence to the last token are rounded to whole numbers, as far as
+pieces last, and the program is solved again for the rest, until that places little more. Best fit packs the remainder, pattern by
+pattern. Best fit by itself is tried as well; its plan stands only if it has fewer sequences. Every piece finds its sequence and
+offset from its rank among the pieces of its length.
+
+Nulls: a null text is empty, one end id; null ids stay null. A text of any length is cut into pieces of `capacity`, the first one
+may be shorter. Pieces of one length are ranked by task and place in it, so ties and repeated rows, which are packed each, never
+share a place. Empty tables give empty results. Columns of docs other than doc_id and text, whatever their names, aren't carried.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.kit import materialize, text_blocks
 
+POWER, RATE = 1.02, 8.0  # of the weights: start by length, fall with coverage
+PRICED, SOLVES, LITTLE = 192, 12, 0.9  # lengths priced at once; solves; go on while a solve leaves less than this
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
@@ -72,60 +77,79 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_pattern(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how often each length is used in a pattern of the greatest weight."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        value = best[c - lengths[:k]] + weights[:k]
-        i = int(value.argmax())
-        if value[i] > best[c - 1]:
-            best[c], last[c] = value[i], i
-        else:
-            best[c] = best[c - 1]
-    used, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            used[last[c]] += 1
-            c -= int(lengths[last[c]])
+def best_pattern(weights: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: how often each length, at most so often, is used in a pattern of the greatest weight."""
+    best, taken = np.zeros(capacity + 1), []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        left, copies = int(min(most[i], capacity // lengths[i])), 1
+        while left:  # copies in powers of two
+            copies = min(copies, left)
+            size = int(lengths[i]) * copies
+            value = best[: capacity + 1 - size] + weights[i] * copies
+            better = value > best[size:]
+            best[size:] = np.where(better, value, best[size:])
+            taken.append((i, copies, size, better))
+            left, copies = left - copies, copies * 2
+    used, room = np.zeros(len(lengths), np.int64), int(best.argmax())
+    for i, copies, size, better in reversed(taken):
+        if room >= size and better[room - size]:
+            used[i] += copies
+            room -= size
     return used
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, step: float = 0.25) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, longest first) and how often each is used; they cover the histogram exactly."""
-    lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], np.int64)
-    plan: list[tuple[np.ndarray, int]] = []
-    if len(lengths) and lengths[-1] == capacity:  # alone in any pattern
-        plan.append((np.eye(len(lengths), dtype=np.int64)[-1], int(need[-1])))
-        need[-1] = 0
-    left = need.copy()
-    live = need > 0
-    if live.any():
-        size, want = lengths[live], need[live].astype(float)
-        # Duals start in proportion to length, which is their value where patterns can be filled.
-        dual, cover, patterns = size / capacity, np.zeros(len(size)), {}
-        for _ in range(rounds):
-            used = best_pattern(dual, size, capacity)
-            hit = used > 0
-            amount = max(1.0, float((want[hit] / used[hit]).min()) * step)
-            patterns[used.tobytes()] = patterns.get(used.tobytes(), 0.0) + amount
-            cover += used * amount
-            lag = cover / want
-            lag -= lag.min()
-            dual = size / capacity * np.exp(-step * lag * 8)
-        scale = 1 / max(1.0, float((cover / want).max()))
-        for used, x in sorted(((np.frombuffer(k, np.int64), x) for k, x in patterns.items()), key=lambda p: (-p[1], p[0].tobytes())):
-            whole = np.zeros(len(lengths), np.int64)
-            whole[live] = used
-            hit = whole > 0
-            m = min(int(x * max(scale, 0.0) + 1e-9), int((left[hit] // whole[hit]).min()))
+Pattern = tuple[np.ndarray, np.ndarray]  # indexes of lengths, and how often each is used: a few numbers, whatever the histogram
+
+
+def fractional(size: np.ndarray, want: np.ndarray, capacity: int, rounds: int, step: float, rng: np.random.Generator) -> list[tuple[Pattern, float]]:
+    """Patterns and how often the covering program uses each, by multiplicative weights, in the order they were priced.
+
+    Weights start a little above proportion to length, so that of two full patterns the one of longer pieces wins and short pieces are
+    left to fill gaps. With many lengths a round prices some of them: those that lag most, and others at random.
+    """
+    start, cover, found = (size / capacity) ** POWER, np.zeros(len(size)), {}
+    for _ in range(max(rounds, 2 * len(size))):
+        share = cover / want
+        if share.min() >= 1:
+            break
+        some = np.arange(len(size))
+        if len(size) > PRICED:
+            some = np.unique(np.concatenate([np.argsort(share, kind="stable")[: PRICED // 2], rng.choice(len(size), PRICED // 2, replace=False)]))
+        dual = start[some] * np.exp(-RATE * (share[some] - share.min()))
+        used = best_pattern(dual, size[some], want[some], capacity)
+        hit, used = some[used > 0], used[used > 0]
+        amount = max(1.0, float((want[hit] // used).min()) * step)
+        name = hit.tobytes(), used.tobytes()
+        found[name] = found.get(name, 0.0) + amount
+        cover[hit] += used * amount
+    return [((np.frombuffer(hit, np.int64), np.frombuffer(used, np.int64)), x) for (hit, used), x in found.items()]
+
+
+def program(lengths: np.ndarray, left: np.ndarray, capacity: int, rounds: int, step: float) -> tuple[list[tuple[Pattern, int]], np.ndarray]:
+    """The program's whole patterns, and what they leave of each length."""
+    rng, plan, left = np.random.default_rng(1), [], left.copy()
+    for _ in range(SOLVES):
+        live = np.flatnonzero(left > 0)
+        before = int((left * lengths).sum())
+        if not before:
+            break
+        for (hit, used), x in fractional(lengths[live], left[live], capacity, rounds, step, rng):
+            hit = live[hit]
+            if int((used * lengths[hit]).sum()) < capacity:
+                continue
+            m = min(int(x + 0.5), int((left[hit] // used).min()))
             if m > 0:
-                plan.append((whole, m))
-                left = left - whole * m
-    while left.any():  # best fit: the longest piece, then always the longest that still fits
+                plan.append(((hit, used), m))
+                left[hit] -= used * m
+        if int((left * lengths).sum()) > LITTLE * before:
+            break
+    return plan, left
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """The longest piece, then always the longest that still fits; a pattern is used as often as its pieces last."""
+    plan, left = [], left.copy()
+    while left.any():
         whole, room = np.zeros(len(lengths), np.int64), capacity
         k = len(lengths) - 1
         while True:
@@ -136,11 +160,25 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, step: flo
             count = min(int(left[k] - whole[k]), room // int(lengths[k]))
             whole[k] += count
             room -= count * int(lengths[k])
-        hit = whole > 0
+        hit = np.flatnonzero(whole)
         m = int((left[hit] // whole[hit]).min())
-        plan.append((whole, m))
-        left = left - whole * m
-    return [([int(lengths[i]) for i in np.flatnonzero(w)[::-1] for _ in range(w[i])], m) for w, m in plan]
+        plan.append(((hit, whole[hit]), m))
+        left[hit] -= whole[hit] * m
+    return plan
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, step: float = 1.0) -> list[tuple[list[int], int]]:
+    """Patterns (lengths, longest first) and how often each is used; they cover the histogram exactly. rounds=0: best fit only."""
+    lengths = np.array(sorted(histogram), np.int64)
+    need = np.array([histogram[int(x)] for x in lengths], np.int64)
+    plan = best_fit(lengths, need, capacity)
+    if rounds:
+        full = [((np.array([i]), np.array([1])), int(need[i])) for i in np.flatnonzero(lengths == capacity)]  # alone in any pattern
+        patterns, rest = program(lengths, np.where(lengths == capacity, 0, need), capacity, rounds, step)
+        patterns = full + patterns + best_fit(lengths, rest, capacity)
+        if sum(m for _, m in patterns) <= sum(m for _, m in plan):
+            plan = patterns
+    return [([int(lengths[i]) for i, n in zip(hit[::-1].tolist(), used[::-1].tolist(), strict=True) for _ in range(n)], m) for (hit, used), m in plan]
 
 
 def slots(plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
