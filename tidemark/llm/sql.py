@@ -71,7 +71,8 @@ WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE
 u AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_at FROM a),
 v AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM u),
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_at) AS k, sum(words) OVER (PARTITION BY doc_id ORDER BY line_at) AS upto FROM v WHERE words > 0),
-e AS (SELECT x.doc_id, x.k, min(y.k) AS last FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 7 AND y.upto - x.upto + x.words >= 8 GROUP BY ALL),
+e AS (SELECT x.doc_id, x.k, min(y.k) AS last FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 7 AND y.upto - x.upto + x.words >= 8 GROUP BY ALL
+  UNION SELECT y.doc_id, max(x.k) AS k, y.k AS last FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.k BETWEEN y.k - 7 AND y.k AND y.upto - x.upto + x.words >= 8 GROUP BY y.doc_id, y.k),
 r AS (SELECT e.doc_id, e.k, e.last, md5(string_agg(w.line, chr(10) ORDER BY w.k)) AS run FROM e JOIN w ON w.doc_id = e.doc_id AND w.k BETWEEN e.k AND e.last GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS i FROM r),
 gone AS (SELECT DISTINCT w.doc_id, w.k, w.line_at FROM n JOIN w ON w.doc_id = n.doc_id AND w.k BETWEEN n.k AND n.last WHERE n.i > 1),
