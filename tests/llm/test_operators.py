@@ -103,7 +103,7 @@ def test_embeddings_of_extreme_length(spark):
     assert got == {0: (3, 0, True), 1: (3, 0, False), 2: (3, 0, False), 3: (3, 0, False), 4: (0, 4, True)}
 
 
-@pytest.mark.parametrize("options", [{}, {"most_bytes": 1 << 15, "segments": 8}])
+@pytest.mark.parametrize("options", [{}, {"most_bytes": 0, "segments": 5}])
 def test_language_model(docs, rows, options):
     from tidemark.llm.bloom_lm import score
 
@@ -211,6 +211,52 @@ def test_sharding(docs, rows, empty):
     assert shard(docs, target_bytes=20_000).select(F.max("shard")).first()[0] >= 3
 
 
+def test_sharding_into_any_number(spark):
+    """Numbers that aren't powers of two, a target size, sources that differ late, and columns named like internal ones."""
+    from tidemark.llm.kd_shard import shard
+
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.randrange(5, 40)), "en", f"https://example.org/part-{i % 3}", i, i, i, i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `_kd_0` long, node long, `group` long, _sub long").repartition(4)
+    for n in (3, 5, 12):
+        got = shard(docs, n).collect()
+        weight, slots = Counter(), defaultdict(list)
+        for r in got:
+            assert r["_kd_0"] == r["node"] == r["group"] == r["_sub"] == r["doc_id"]
+            weight[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert sorted(weight) == list(range(n)) and max(weight.values()) < 1.1 * sum(weight.values()) / n
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    total = sum(len(t.encode()) + 1 for _, t, *_ in rows)
+    parts = shard(docs, target_bytes=total // 7).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(parts) == 8 and max(r["n"] for r in parts) < 1.1 * total // 7
+    by_source = docs.withColumn("text", F.lit("same length")).withColumn("text", F.concat("text", F.lpad("doc_id", 4, "0"))).withColumn("doc_id", F.lit(1).cast("long"))
+    split = shard(by_source, 3).groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()
+    assert sum(r["n"] for r in split) <= 5
+    with pytest.raises(ValueError, match="must be a shard"):
+        shard(docs, 0)
+
+
+def test_columns_named_like_internal_ones(spark):
+    """Operators that carry other columns carry these too, and a text that is larger than a block of work."""
+    from tidemark.llm.line_dedup import dedup_lines
+    from tidemark.llm.mixing import mix, mixed_rows
+    from tidemark.llm.suffix_dedup import cut_repeats
+
+    names = ["_mx_size", "_mx_key", "_mx_h", "_mr_0", "_mo_0", "_ld_d", "_ld_x", "_ld_at", "_ld_k", "_ld_y", "_sd_spans", "_sd_doc"]
+    long = "\n".join(f"line {i} of a text that is larger than a block" for i in range(60_000))
+    rows = [(i, t, "en", "s", *[i] * len(names)) for i, t in enumerate(["a b c", long, "x\n" + long[:5000], None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    for out in (mix(docs), dedup_lines(docs), cut_repeats(docs)):
+        got = out.collect()
+        assert len(got) == 4 and all(r[n] == r["doc_id"] for r in got for n in names)
+    assert mixed_rows(docs).columns[: len(docs.columns)] == docs.columns
+    cut = {r["doc_id"]: r["text"] for r in cut_repeats(docs).collect()}
+    assert cut[1] == long and len(cut[2]) < 110
+    lines = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert lines[1] == long and lines[2] in ("x", "x\n" + long[:5000].split("\n")[-1])
+
+
 def test_tokenizer_pieces():
     import public_tokenizers
 
@@ -276,6 +322,42 @@ def test_packing_program_covers_the_histogram():
         assert len(slots(plan)[0]) == sum(len(x) for x, _ in plan)
 
 
+@pytest.mark.parametrize("scale", [1, 6])
+def test_packing_program_makes_the_plan(scale):
+    """On lengths like those of documents most pieces lie in the program's patterns, and best fit alone needs no fewer sequences."""
+    from tidemark.llm.packing import best_fit, program, solve
+
+    rng = np.random.default_rng(7)
+    drawn = np.clip(np.exp(rng.normal(6.3, 0.9, 900)), 2, 2048).astype(int)
+    h = {int(n): int(c) * scale for n, c in zip(*np.unique(drawn, return_counts=True), strict=True)}
+    lengths, need = np.array(sorted(h)), np.array([h[n] for n in sorted(h)])
+    patterns, rest = program(lengths, need, 2048, 300, 1.0)
+    assert all(int((used * lengths[hit]).sum()) == 2048 for (hit, used), _ in patterns)
+    placed = np.zeros(len(lengths), np.int64)
+    for (hit, used), m in patterns:
+        placed[hit] += used * m
+    assert (placed + rest == need).all()
+    assert (need - rest).sum() > 0.6 * need.sum()
+    plan, alone = solve(h, 2048), solve(h, 2048, rounds=0)
+    count = lambda p: sum(m for _, m in p)
+    assert count(alone) == sum(m for _, m in best_fit(lengths, need, 2048))
+    assert -(-sum(n * c for n, c in h.items()) // 2048) <= count(plan) <= count(alone)
+    assert sorted(map(str, plan)) != sorted(map(str, alone))
+
+
+def test_knapsack_by_trying_all():
+    from itertools import product
+
+    from tidemark.llm.packing import best_pattern
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths, most, weights = rng.choice(np.arange(1, 20), 4, replace=False), rng.integers(0, 4, 4), rng.random(4)
+        used = best_pattern(weights, lengths, most, 25)
+        fits = [u for u in product(*(range(m + 1) for m in most)) if np.dot(u, lengths) <= 25]
+        assert tuple(used) in fits and np.dot(used, weights) == pytest.approx(max(np.dot(u, weights) for u in fits))
+
+
 def test_quality_rules(docs, rows, empty):
     from tidemark.llm.kn_quality import judge, keep
 
@@ -312,45 +394,103 @@ def test_perplexity_separates(spark, sf_dir):
     assert np.mean(clean) > 0.75 and np.mean(bad) < 0.2
 
 
+def _kneser_ney(texts):
+    """log10 probabilities by dictionaries: {text: mean of -log10 P over its units}, for the texts of one language."""
+    from tidemark.llm.kn_quality import ORDER
+
+    units = lambda t: "".join(map(chr, np.frombuffer(t.encode("utf-16-le"), "<u2").tolist()))
+    windows = lambda t: [("\n" * (ORDER - 1) + t)[i : i + ORDER] for i in range(len(t))]
+    counts = {ORDER: Counter(x for t in texts for x in windows(units(t)))}
+    for m in range(ORDER - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    total, weight, cuts = {}, {}, {}
+    for m, c in counts.items():
+        ones = Counter(c.values())
+        y = ones[1] / max(ones[1] + 2 * ones[2], 1)
+        cut = [max(0.05, min(k - 0.05, k - (k + 1) * y * ones[k + 1] / max(ones[k], 1))) for k in (1, 2, 3)]
+        cuts[m] = lambda n, cut=cut: cut[min(n, 3) - 1]
+        total[m], left = Counter(), Counter()
+        for g, n in c.items():
+            total[m][g[:-1]] += n
+            left[g[:-1]] += cuts[m](n)
+        weight[m] = {x: left[x] / total[m][x] for x in total[m]}
+
+    def p(g):
+        m = len(g)
+        if not m:
+            return 1 / (len(counts[1]) + 1)
+        n = counts[m].get(g, 0)
+        return ((n - cuts[m](n)) / total[m][g[:-1]] if n else 0) + weight[m].get(g[:-1], 1.0) * p(g[1:])
+
+    return {t: -sum(math.log10(p(x)) for x in windows(units(t))) / len(units(t)) for t in texts if t}, p, counts
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 30, 3000])
+def test_kneser_ney_by_dictionaries(spark, most_bytes):
+    """Against plain Kneser-Ney in three scripts, with many languages, some of them without any text; in one pass and in several."""
+    from tidemark.llm.kn_quality import judge
+
+    rng = random.Random(21)
+    alphabets = {"en": "abcde \n", "el": "αβγδε ", "zh": "的一是不了人我 ", None: "xyz😀 "}
+    rows = [("".join(rng.choice(a) for _ in range(rng.randrange(60))), lang) for lang, a in alphabets.items() for _ in range(25)]
+    rows += [(x, f"l{i}") for i in range(140) for x in (None, "")] + [(f"ab{i}", f"m{i}") for i in range(20)] + [rows[3], rows[3]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r for r in judge(docs, most_bytes=most_bytes).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    want = {lang: _kneser_ney([t for t, x in rows if x == lang and t])[0] for lang in {x for _, x in rows}}
+    for i, (t, lang) in enumerate(rows):
+        assert got[i]["log_perplexity"] == (pytest.approx(want[lang][t], rel=1e-5) if t else None)
+
+
 def test_kneser_ney_sums_to_one():
-    from tidemark.llm import kn_quality as q
+    texts = ["abcabd", "abde abc", "bca"]
+    _, p, counts = _kneser_ney(texts)
+    for g in list(counts[max(counts)])[:8]:
+        seen = sum(p(g[:-1] + x) for x in counts[1])
+        assert seen < 1 and seen + p(g[:-1] + "?") == pytest.approx(1)
+
 
-    rng = np.random.default_rng(1)
-    codes, counts = np.unique(q.trigrams(rng.choice(np.frombuffer(b"abc de\n.", np.uint8), 5000), np.array([0, 2000, 5000])), return_counts=True)
-    p = 10.0 ** q.expand(*q.fit(codes, counts)).astype(float)
-    seen = np.unique(codes >> q.BITS)
-    sums = p.reshape(-1, q.SIZE)[seen].sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
+def test_scripts_of_three_bytes_are_told_apart(spark):
+    from tidemark.llm.kn_quality import judge
+
+    rng = random.Random(22)
+    words = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(rng.randrange(2, 5))) for _ in range(80)]
+    texts = ["".join(rng.choice(words) + " " for _ in range(60)) for _ in range(120)]
+    mixed = ["".join(rng.sample(t, len(t))) for t in texts[:15]]
+    got = judge(spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts + mixed)], "doc_id long, text string, lang string"), spread=5.0).collect()
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert np.mean([kept[i] for i in range(120)]) > 0.9 and not any(kept[i] for i in range(120, 135))
 
 
 def _cut_lines(rows, min_words):
+    """Every run of lines with min_words words that also starts earlier goes, whatever its length; all lengths are tried."""
     seen, gone = set(), defaultdict(set)
     order = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None})
     for i, t in order:
         lines = t.split("\n")
         wordy = [k for k, x in enumerate(lines) if WORDS.search(x)]
+        counts = [len(WORDS.findall(lines[k])) for k in wordy]
         for a in range(len(wordy)):
-            n, e = 0, a
-            while e < len(wordy) and n < min_words:
-                n += len(WORDS.findall(lines[wordy[e]]))
-                e += 1
-            if n >= min_words:
+            for e in range(a + 1, len(wordy) + 1):
                 run = tuple(lines[k] for k in wordy[a:e])
-                if run in seen:
+                if run in seen and sum(counts[a:e]) >= min_words:
                     gone[i] |= set(wordy[a:e])
                 seen.add(run)
     return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in order}
 
 
-def test_line_dedup(spark, docs, rows, empty):
+@pytest.mark.parametrize("min_words", [1, 5, 8])
+def test_line_dedup(spark, docs, rows, empty, min_words):
     from tidemark.llm.line_dedup import dedup_lines
 
     rng = random.Random(9)
     pool = [sentence(rng, rng.randrange(1, 5)) for _ in range(12)]
     more = [(1000 + i, "\n".join(rng.choice([*pool, "", sentence(rng, 4)]) for _ in range(rng.randrange(12))), "en", "s", 1, *"abcdefghi") for i in range(80)]
+    song = [sentence(rng, rng.randrange(1, 3)) for _ in range(40)]
+    more += [(1100 + i, "\n".join(song[a:e]), "en", "s", 1, *"abcdefghi") for i, (a, e) in enumerate([(0, 40), (3, 29), (5, 22), (10, 27), (30, 40), (0, 7)])]
     both = docs.unionByName(spark.createDataFrame(more, SCHEMA))
-    want = _cut_lines([*rows, *more], 8)
-    got = dedup_lines(both, 8)
+    want = _cut_lines([*rows, *more], min_words)
+    got = dedup_lines(both, min_words)
     assert got.columns == [*docs.columns, "n_removed", "n_runs"]
     out = got.select("doc_id", "text").collect()
     assert len(out) == len(rows) + len(more)
@@ -520,13 +660,76 @@ def test_components(spark):
         assert moved == {x: r for x, r in got.items() if x != r}
 
 
-def test_pipeline(spark, docs, empty):
+def test_pipeline(spark, docs, rows, empty):
+    """Each stage against a brute-force version on what its predecessor kept."""
     import corpus_pipeline as p
+    from tidemark.llm.bpe import encoder
     from tidemark.llm.kit import materialize
-
-    for start in (docs, empty):
-        now = start
-        for i, (_, stage) in enumerate(p.STAGES):
-            now = materialize(stage(spark, now, ""))
-            assert i == len(p.STAGES) - 1 or now.columns == docs.columns
-        assert (now.count() > 0) == (start is docs)
+    from tidemark.llm.kn_quality import judge
+    from tidemark.llm.packing import byte_bpe_path
+
+    stages, now = dict(p.STAGES), docs
+    assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "mixing", "packing"]
+    kept = Counter(tuple(r[c] for c in ("doc_id", "text")) for r in judge(docs, columns=["doc_id", "text"]).filter("kept").collect())
+    now = materialize(stages["quality_rules"](spark, now, ""))
+    assert now.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in now.collect()) == kept
+
+    before = [(r["doc_id"], r["text"]) for r in now.collect()]
+    cut = _cut_lines(before, 8)
+    now = materialize(stages["line_dedup"](spark, now, ""))
+    want = [(i, cut.get((i, t), t)) for i, t in before]
+    want = Counter(x for x, y in zip(want, before, strict=True) if x[1] == y[1] or WORDS.search(x[1]))
+    assert now.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in now.collect()) == want
+    assert all(r["n_chars"] == len(r["text"]) for r in now.collect() if (r["doc_id"], r["text"]) not in kept)
+
+    before = [(r["doc_id"], r["text"]) for r in now.collect()]
+    groups = _components(before)
+    now = materialize(stages["near_dedup"](spark, now, ""))
+    after = now.collect()
+    assert now.columns == docs.columns
+    assert sorted({groups[i][1] for i, _ in before if i is not None}) == sorted(r["doc_id"] for r in after if r["doc_id"] is not None)
+    assert sum(r["doc_id"] is None for r in after) == sum(i is None for i, _ in before)
+
+    texts = {(r["doc_id"], r["source"]): r["text"] for r in after}
+    size = Counter()
+    for r in after:
+        size[r["source"]] += len(WORDS.findall(r["text"] or ""))
+    order = sorted(size, key=lambda x: (x is None, x or ""))
+    weight, target, free = {x: i % 3 + 1 for i, x in enumerate(order)}, {}, set(order)
+    while True:
+        left = sum(size.values()) - sum(target.values())
+        share = {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = {x for x in free if share[x] > 3 * size[x]}
+        if not over:
+            break
+        target |= {x: 3 * size[x] for x in over}
+        free -= over
+    target |= share
+    now = materialize(stages["mixing"](spark, now, ""))
+    mixed, taken, copies = now.collect(), Counter(), Counter()
+    for r in mixed:
+        whole = texts[r["doc_id"], r["source"]]
+        assert r["text"] and whole.startswith(r["text"]) and WORDS.findall(r["text"]) == WORDS.findall(whole)[: len(WORDS.findall(r["text"]))]
+        taken[r["source"]] += len(WORDS.findall(r["text"]))
+        copies[r["doc_id"], r["source"]] += 1
+    assert now.columns == docs.columns and max(copies.values()) <= 3
+    assert all(abs(taken[x] - target[x]) <= 1 for x in order)
+
+    packed = stages["packing"](spark, now, "").collect()
+    encode, lengths = encoder(byte_bpe_path()).encode, Counter()
+    for r in mixed:
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        lengths[r["doc_id"]] += len(encode(raw, np.array([0, len(raw)]))[0]) + 1
+    got, rooms = Counter(), defaultdict(list)
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+        rooms[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == lengths
+    for pieces in rooms.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+
+    now = empty
+    for _, stage in p.STAGES:
+        now = materialize(stage(spark, now, ""))
+    assert now.count() == 0

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+
+import numpy as np
 import pytest
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,7 +44,7 @@ def test_line_dedup_stage_deletes_whole_runs(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
     want = _whole_runs(rows, 8)
     assert want[1] == "something else\nnot there"
-    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, 8, whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, 8).collect()}
     assert got == want
     staged = {r["doc_id"]: r["text"] for r in line_dedup(spark, docs, "").collect()}
     assert staged == {i: t for i, t in want.items() if t == dict(rows)[i] or WORDS.search(t)}
@@ -83,6 +85,46 @@ def test_language_model_holds_every_pair(spark):
     assert near >= 0.8 * len(texts)
 
 
+@pytest.mark.parametrize("frequent", [(1e-5, 0.1), (0.02, 0.02), (2.0, 2.0)])
+def test_language_model_scores_alike_wherever_filters_lie(spark, monkeypatch, frequent):
+    """Against the formula over exact counts brought to the filter's levels; broadcast or by exchange, frequent words apart or not."""
+    from tidemark.llm import bloom_lm as b
+
+    monkeypatch.setattr(b, "FREQUENT", frequent[0])
+    monkeypatch.setattr(b, "SPLIT", frequent[1])
+    rng = random.Random(13)
+    texts = [" ".join(f"u{int(rng.paretovariate(0.9))}" for _ in range(rng.choice([0, 3, 40]))) for _ in range(150)] + [None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    pairs = Counter(p for i, t in enumerate(texts) if not held(i) for w in [[None, *(t or "").split(), None]] for p in zip(w, w[1:]))
+    ones, ahead, kinds = Counter(), Counter(), Counter()
+    for (h, w), n in pairs.items():
+        ones[w] += n
+        ahead[h] += n
+        kinds[h] += 1
+    total, types = sum(ones.values()), len(ones)
+    value = lambda n: float(b.VALUES_OF[b.level(np.array([n]))][0])
+
+    def log10(h, w):
+        p1 = (value(ones[w]) + 0.1) / (total + 0.1 * (types + 1))
+        if not ahead[h]:
+            return math.log10(min(p1, 1.0))
+        n, rest = value(ahead[h]), max(value(round(0.75 * kinds[h]) + 1) - 1, 0.5)
+        c = min(value(pairs[h, w]), n)
+        return math.log10(min(1.0, (max(c - 0.75, 0) + rest * p1) / max(n, rest)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {r["doc_id"]: r for r in b.score(docs).collect()}
+    parts = {r["doc_id"]: r for r in b.score(docs, segments=7, most_bytes=0).collect()}
+    near = [0, 0]
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        want = sum(log10(a, c) for a, c in zip([None, *w], [*w, None]))
+        for k, r in enumerate((whole[i], parts[i])):
+            near[k] += abs(r["score"] - want) < 0.03 * abs(want) + 1e-6  # a false positive raises a count by a level
+            assert r["n_tokens"] == len(w) + 1 and r["train_tokens"] == total and r["n_known"] == sum(ones[x] > 0 for x in [*w, None])
+    assert min(near) >= 0.85 * len(texts)
+
+
 def test_near_dedup_stage_judges_rows(spark):
     """By comparing all pairs of rows; ids repeat with equal texts and with different ones."""
     from corpus_pipeline import near_dedup
