@@ -142,17 +142,11 @@ def dense_tree_levels(spark, d):
     return mk.dense_nodes(_keyed(spark, d), 2).groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-@query("dense_tree_root")
-def dense_tree_root(spark, d):
-    return mk.dense_nodes(_keyed(spark, d), 3).filter("level = 0").select("hash")
-
-
 @query("bundled_proof")
 def bundled_proof(spark, d):
-    """Nodes that prove a hundred keys together; tested against the sum of single proofs."""
-    nodes = mk.dense_nodes(_keyed(spark, d), 3)
-    paths = nodes.filter("level = 3").orderBy("path").limit(100).select("path")
-    return mk.bundle_proof(nodes, paths, 3)
+    """Nodes that prove all keys together; tested against the sum of single proofs."""
+    nodes = mk.dense_nodes(_keyed(spark, d), 8)
+    return mk.bundle_proof(nodes, nodes.filter("level = 8").select("path"), 8)
 
 
 @query("trie_root")

@@ -205,6 +205,11 @@ def dense_tree_nodes(spark, d):
     return mk.dense_nodes(_keyed(spark, d), DENSE).select("level", "path", "hash")
 
 
+@query("dense_tree_root", dense_sql(DENSE) + " SELECT hash FROM d0")
+def dense_tree_root(spark, d):
+    return mk.dense_nodes(_keyed(spark, d), DENSE).filter("level = 0").select("hash")
+
+
 @query("bundle_valid", "SELECT count(DISTINCT substr(sha256(c_custkey::VARCHAR), 1, 16)) AS n_paths, true AS valid, false AS valid_if_cut FROM customer")
 def bundle_valid(spark, d):
     """A proof of all customers together is verified, and one that lacks a node fails."""
