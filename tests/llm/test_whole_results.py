@@ -125,6 +125,29 @@ def test_language_model_scores_alike_wherever_filters_lie(spark, monkeypatch, fr
     assert min(near) >= 0.85 * len(texts)
 
 
+def test_language_model_sends_few_rows(spark, monkeypatch):
+    """A segment gets a row from each task, not from each block of texts; small groups and sets change no result."""
+    from tidemark.llm import bloom_lm as b
+
+    texts = [" ".join(f"x{(i * j) % 41}" for j in range(60)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {r["doc_id"]: r for r in b.score(docs, segments=6).collect()}
+    monkeypatch.setattr(b, "BLOCK", 600)
+    monkeypatch.setattr(b, "FLUSH", 300)
+    layout = b.Layout(6, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    batches = docs.select("doc_id", "text").toArrow().to_batches()
+    assert sum(x.num_rows for x in b.pair_batches(iter(batches), layout)) <= 6
+    assert [len(ids) for ids, *_ in b.groups(iter(batches), b.GROUP)] == [200]
+    monkeypatch.setattr(b, "PAIRS", 200)
+    assert sum(x.num_rows for x in b.pair_batches(iter(batches), layout)) > 6
+    kept = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    trained = b.train(docs, layout).toPandas()
+    assert trained["n_tokens"].sum() == sum(len(w) + 1 for w in kept) and trained["n_types"].sum() == len({x for w in kept for x in w}) + 1
+    for most in (1 << 30, 0):
+        again = {r["doc_id"]: r for r in b.score(docs, segments=6, most_bytes=most).collect()}
+        assert again.keys() == want.keys() and all(math.isclose(again[i][c], want[i][c], rel_tol=1e-9) for i in want for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
 def test_near_dedup_stage_judges_rows(spark):
     """By comparing all pairs of rows; ids repeat with equal texts and with different ones."""
     from corpus_pipeline import near_dedup

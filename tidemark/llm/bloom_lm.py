@@ -8,10 +8,11 @@ words and its end of
 
     P(w | h) = (max(c(h w) - D, 0) + left(h) * P1(w)) / c(h)   or P1(w) where h begins no pair,
 
-with P1 the additively smoothed share of w, all counts being read from the filter. Filters are broadcast to the workers if they
-have `most_bytes` or less. Larger ones stay in their segments: blocks of texts send each distinct word and pair there once, get its
-level back and are scored where the block's tokens went, with the same result. Exact word counts, for the base score, always work
-that way.
+with P1 the additively smoothed share of w, all counts being read from the filter. The filter and the exact word counts, for the
+base score, are broadcast to the workers if they have `most_bytes` or less together. Larger ones stay in their segments: groups of
+texts send each distinct word and pair there once, get its count and levels back and are scored where the group's tokens went, with
+the same result. There are as many segments as the texts need, so what a task sends is gathered first: a row for each segment comes
+from `GROUP` tokens, and in training from up to `PAIRS` distinct pairs, not from each block of texts.
 
 Words that are frequent in a sample of the texts (a share of `FREQUENT` or more, so a hundred thousand at most) are told apart: their
 own counts are broadcast, and the pairs that the most frequent of them (`SPLIT`) begin are dealt to segments by both words. Which
@@ -42,6 +43,8 @@ WORD, PAIR, LEFT = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E0370734
 DISCOUNT, ALPHA = 0.75, 0.1
 BITS_PER_ITEM, MARKS = 16, 5
 BLOCK, FLUSH = 1 << 20, 500_000  # bytes of text, tokens
+NEAR, GROUP, PAIRS = 200_000, 1_000_000, 2_000_000  # tokens scored at once where counts are, or by exchange; distinct pairs held before they are sent
+KEYS = 1 << 14  # put into a filter at once
 SAMPLE_BYTES, FREQUENT, SPLIT = 64 << 20, 1e-5, 1e-3
 
 
@@ -82,29 +85,40 @@ def _word(items: np.ndarray, words) -> np.ndarray:
     return ((items >> np.uint64(32)) * words >> np.uint64(32)).astype(np.int64)
 
 
-def _table(items: np.ndarray) -> bytes:
-    """A blocked filter: one word of memory, so one look, for each item."""
-    n = max(1, -(-len(items) * BITS_PER_ITEM // 64))
-    at, marks = _word(items, np.uint64(n)), _marks(items)
-    order = np.argsort(at, kind="stable")
-    at, marks = at[order], marks[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+def _table(items: np.ndarray | Iterator[np.ndarray], count: int | None = None) -> bytes:
+    """A blocked filter: one word of memory, so one look, for each item. Items may come in several arrays, with their number."""
+    n = max(1, -(-(len(items) if count is None else count) * BITS_PER_ITEM // 64))
     table = np.zeros(n, np.uint64)
-    if len(first):
-        table[at[first]] = np.bitwise_or.reduceat(marks, first)
+    for some in [items] if count is None else items:
+        at, marks = _word(some, np.uint64(n)), _marks(some)
+        order = np.argsort(at, kind="stable")
+        at, marks = at[order], marks[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        if len(first):
+            table[at[first]] |= np.bitwise_or.reduceat(marks, first)
     return table.astype("<u8").tobytes()
 
 
+def _filled(*sets: tuple[np.ndarray, np.ndarray, np.uint64]) -> bytes:
+    """The filter of keys, their levels and kind; made of some keys at a time."""
+    some = (_items(keys[i : i + KEYS], levels[i : i + KEYS], kind) for keys, levels, kind in sets for i in range(0, len(keys), KEYS))
+    return _table(some, sum(int(levels.sum()) for _, levels, _ in sets))
+
+
 class Filter:
-    """The tables of some segments end to end."""
+    """The tables of some segments end to end, with room for so many bytes of others."""
 
-    def __init__(self, segments: int, tables: dict[int, bytes]):
+    def __init__(self, segments: int, tables: dict[int, bytes], room: int = 0):
         self.loaded = np.zeros(segments, bool)
-        self.base, self.size, at = np.zeros(segments, np.int64), np.ones(segments, np.uint64), 0
+        self.base, self.size, self.used = np.zeros(segments, np.int64), np.ones(segments, np.uint64), 0
+        self.words = np.zeros((sum(map(len, tables.values())) + room) // 8, "<u8")
         for s, t in tables.items():
-            self.loaded[s], self.base[s], self.size[s] = True, at, len(t) // 8
-            at += len(t) // 8
-        self.words = np.frombuffer(b"".join(tables.values()), "<u8")
+            self.put(s, t)
+
+    def put(self, segment: int, table: bytes) -> None:
+        self.loaded[segment], self.base[segment], self.size[segment] = True, self.used, len(table) // 8
+        self.words[self.used : self.used + len(table) // 8] = np.frombuffer(table, "<u8")
+        self.used += len(table) // 8
 
     def has(self, segment: np.ndarray, items: np.ndarray) -> np.ndarray:
         marks = _marks(items)
@@ -185,48 +199,64 @@ def frequent_words(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return words, words[many >= SPLIT * total]
 
 
-def _left_items(word: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return _items(word, level(np.rint(DISCOUNT * kinds).astype(np.int64) + 1), LEFT)
+def _left(word: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    return word, level(np.rint(DISCOUNT * kinds).astype(np.int64) + 1), LEFT
+
+
+def pair_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Pairs of words of the training texts and their counts, as few rows a segment as memory allows."""
+    held, count, sets, distinct = [], 0, [], 0
+
+    def summed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((w, h))
+        h, w, n = h[order], w[order], n[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
+        return h[new], w[new], np.add.reduceat(n, new)
+
+    def count_held() -> None:
+        h, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        sets.append(summed(h, (w >> np.uint64(32)).astype(np.uint32), np.ones(len(h), np.int64)))
+
+    def merge() -> None:
+        sets[:] = [summed(*(np.concatenate(x) for x in zip(*sets, strict=True)))] if len(sets) > 1 else sets
+
+    def flush() -> pa.RecordBatch:
+        h, w, n = sets.pop()
+        seg = layout.pair(h, pair_keys(h, w))
+        order = np.argsort(seg, kind="stable")
+        h, w, n, seg = h[order], w[order], n[order], seg[order]
+        head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])))
+        fan = np.diff(np.append(head, len(h)))
+        first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+        cut = np.append(first, len(seg))
+        big = n > 254
+        return pa.RecordBatch.from_arrays([pa.array(seg[first].astype(np.int32)), packed(h[head], np.searchsorted(head, cut)), packed(fan.astype("<u4"), np.searchsorted(head, cut)), packed(w, cut), packed(np.minimum(n, 255).astype(np.uint8), cut), packed(n[big].astype("<i8"), np.append(0, np.cumsum(big))[cut])], ["segment", "heads", "fans", "nexts", "counts", "large"])
+
+    for batch in batches:
+        for part, data, offsets in text_blocks(batch, most=BLOCK):
+            t, begin = tokens(data, offsets)
+            use = np.repeat(~held_out(part.column("doc_id").to_pylist()), np.diff(begin))
+            held.append((histories(t, begin)[use], t[use]))
+            count += int(use.sum())
+            if count > FLUSH:
+                count_held()
+                count, distinct = 0, distinct + len(sets[-1][0])
+            if distinct > PAIRS:
+                merge()
+                if len(sets[0][0]) > PAIRS // 2:
+                    yield flush()
+                distinct = sum(len(x[0]) for x in sets)
+    if count:
+        count_held()
+    if sets:
+        merge()
+        yield flush()
 
 
 def train(docs: DataFrame, layout: Layout) -> DataFrame:
     """One row per segment: words and counts (sorted by word; without frequent ones), the tables of words and of pairs, n_tokens,
     n_types, and what the segment has of frequent words: their hashes, counts and numbers of kinds of followers."""
-    segments = layout.segments
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def flush() -> pa.RecordBatch:
-            h, w = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            w = (w >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((w, h))
-            h, w = h[order], w[order]
-            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-            n = np.diff(np.append(new, len(h)))
-            h, w = h[new], w[new]
-            seg = layout.pair(h, pair_keys(h, w))
-            order = np.argsort(seg, kind="stable")
-            h, w, n, seg = h[order], w[order], n[order], seg[order]
-            head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])))
-            fan = np.diff(np.append(head, len(h)))
-            first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-            cut = np.append(first, len(seg))
-            big = n > 254
-            return pa.RecordBatch.from_arrays([pa.array(seg[first].astype(np.int32)), packed(h[head], np.searchsorted(head, cut)), packed(fan.astype("<u4"), np.searchsorted(head, cut)), packed(w, cut), packed(np.minimum(n, 255).astype(np.uint8), cut), packed(n[big].astype("<i8"), np.append(0, np.cumsum(big))[cut])], ["segment", "heads", "fans", "nexts", "counts", "large"])
-
-        for batch in batches:
-            for part, data, offsets in text_blocks(batch, most=BLOCK):
-                t, begin = tokens(data, offsets)
-                use = np.repeat(~held_out(part.column("doc_id").to_pylist()), np.diff(begin))
-                held.append((histories(t, begin)[use], t[use]))
-                count += int(use.sum())
-                if count > FLUSH:
-                    yield flush()
-                    count = 0
-        if count:
-            yield flush()
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in p[c]])
@@ -241,19 +271,19 @@ def train(docs: DataFrame, layout: Layout) -> DataFrame:
         word, total, kinds = h[head], np.add.reduceat(n, head), np.diff(np.append(head, len(h)))
         often = _among(word, layout.frequent)
         own, sums, many = word[~often], total[~often], kinds[~often]
-        pairs = [_items(pair_keys(h, w), level(n), PAIR), _left_items(own, many)]
+        pairs = [(pair_keys(h, w), level(n), PAIR), _left(own, many)]
         some = [x[often].tobytes() for x in (word, total.astype("<i8"), kinds.astype("<i8"))]
-        return pd.DataFrame([(p["segment"].iloc[0], own.tobytes(), sums.astype("<i8").tobytes(), _table(_items(own, level(sums), WORD)), _table(np.concatenate(pairs)), int(total.sum()), len(own), *some)], columns=["segment", "words", "counts", "word_bits", "pair_bits", "n_tokens", "n_types", "often", "often_counts", "often_kinds"])
+        return pd.DataFrame([(p["segment"].iloc[0], own.tobytes(), sums.astype("<i8").tobytes(), _filled((own, level(sums), WORD)), _filled(*pairs), int(total.sum()), len(own), *some)], columns=["segment", "words", "counts", "word_bits", "pair_bits", "n_tokens", "n_types", "often", "often_counts", "often_kinds"])
 
-    shuffled = docs.select("doc_id", "text").mapInArrow(run, "segment int, heads binary, fans binary, nexts binary, counts binary, large binary")
+    shuffled = docs.select("doc_id", "text").mapInArrow(lambda batches: pair_batches(batches, layout), "segment int, heads binary, fans binary, nexts binary, counts binary, large binary")
     return shuffled.groupBy("segment").applyInPandas(build, "segment int, words binary, counts binary, word_bits binary, pair_bits binary, n_tokens long, n_types long, often binary, often_counts binary, often_kinds binary")
 
 
 class Model:
-    """What is broadcast: the layout, exact counts of frequent words and their part of the filter, and, if it fits, all of it."""
+    """What is broadcast: the layout, exact counts of frequent words and their part of the filter, and, if they fit, all of both."""
 
     def __init__(self, model: DataFrame, layout: Layout, most_bytes: int):
-        sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum(F.length("word_bits")), F.sum(F.length("pair_bits"))).first()
+        sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), *(F.sum(F.length(c)) for c in ("words", "counts", "word_bits", "pair_bits"))).first()
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
@@ -263,20 +293,27 @@ class Model:
         often = model.select("often", "often_counts", "often_kinds").mapInPandas(each, "w long, n long, kinds long").groupBy("w").agg(F.sum("n"), F.sum("kinds")).collect()
         often = np.array([tuple(r) for r in often], np.int64).reshape(-1, 3)
         often = often[np.argsort(often[:, 0].view(np.uint64))]
-        self.layout, self.words, self.counts = layout, often[:, 0].copy().view(np.uint64), often[:, 1].copy()
+        words, counts, last = often[:, 0].copy().view(np.uint64), often[:, 1].copy(), layout.segments
         self.total, self.types = sums[0] or 0, (sums[1] or 0) + len(often)
-        self.whole = (sums[2] or 0) + (sums[3] or 0) <= most_bytes
-        rows = list(model.select("segment", "word_bits", "pair_bits").toLocalIterator()) if self.whole else []
-        last = layout.segments
-        filters = []
-        for column, items in (("word_bits", [_items(self.words, level(self.counts), WORD)]), ("pair_bits", [_left_items(self.words, often[:, 2])])):
-            tables = {r["segment"]: bytes(r[column]) for r in rows} | {last: _table(np.concatenate(items))}
-            empty = {s: bytes(8) for s in range(last) if s not in tables} if self.whole else {}
-            filters.append(Filter(last + 1, tables | empty))
-        self.word_filter, self.pair_filter = filters
+        room = [x or 0 for x in sums[2:]]
+        self.whole = sum(room) <= most_bytes
+        if not self.whole:
+            room = [0] * 4
+        self.word_filter = Filter(last + 1, {last: _filled((words, level(counts), WORD))}, room[2])
+        self.pair_filter = Filter(last + 1, {last: _filled(_left(words, often[:, 2]))}, room[3])
+        self.words, self.counts = np.append(words, np.zeros(room[0] // 8, np.uint64)), np.append(counts, np.zeros(room[1] // 8, np.int64))
+        at = len(words)
+        for r in model.select("segment", "words", "counts", "word_bits", "pair_bits").toLocalIterator() if self.whole else ():
+            own = np.frombuffer(r["words"], np.uint64)
+            self.words[at : at + len(own)], self.counts[at : at + len(own)] = own, np.frombuffer(r["counts"], "<i8")
+            at += len(own)
+            self.word_filter.put(r["segment"], r["word_bits"])
+            self.pair_filter.put(r["segment"], r["pair_bits"])
+        order = np.argsort(self.words)
+        self.words, self.counts = self.words[order], self.counts[order]
 
     def exact(self, w: np.ndarray) -> np.ndarray:
-        """Counts of frequent words; 0 for any other."""
+        """Counts of the words that it has; 0 for any other."""
         if not len(self.words):
             return np.zeros(len(w), np.int64)
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
@@ -284,12 +321,12 @@ class Model:
 
 
 class Parts:
-    """The distinct words and pairs of a block, and where its tokens find theirs. Every history is a word or an end of the block."""
+    """The distinct words (sorted) and pairs of a group, and where its tokens find theirs. Every history is a word or an end of the group."""
 
-    def __init__(self, t: np.ndarray, begin: np.ndarray, layout: Layout):
-        self.word, self.of_word = np.unique(t, return_inverse=True)
+    def __init__(self, word: np.ndarray, of_word: np.ndarray, begin: np.ndarray, layout: Layout):
+        self.word, self.of_word = word, of_word
         n, end = len(self.word), np.searchsorted(self.word, END)
-        self.of_head = np.append(end, self.of_word[:-1])[: len(t)]
+        self.of_head = np.append(end, self.of_word[:-1])[: len(of_word)]
         self.of_head[begin[:-1]] = end
         pair, self.of_pair = np.unique(self.of_head * n + self.of_word, return_inverse=True)
         h = self.word[pair // n] if n else self.word
@@ -310,6 +347,40 @@ class Parts:
         return np.log10(np.minimum(p, 1.0))
 
 
+def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of some rows, of about so many tokens, which of them are held out, their tokens, and where each row's begin."""
+    ids, held, some, sizes, count = [], [], [], [], 0
+
+    def group() -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        out = list(ids), np.concatenate(held), np.concatenate(some), np.append(0, np.cumsum(np.concatenate(sizes)))
+        for x in (ids, held, some, sizes):
+            x.clear()
+        return out
+
+    for batch in batches:
+        for part, data, offsets in text_blocks(batch, most=BLOCK):
+            t, begin = tokens(data, offsets)
+            ids += part.column("doc_id").cast(pa.int64()).to_pylist()
+            held.append(held_out(part.column("doc_id").to_pylist()))
+            some.append(t)
+            sizes.append(np.diff(begin))
+            count += len(t)
+            if count >= most:
+                yield group()
+                count = 0
+    if count:
+        yield group()
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Numbers as four planes of bytes, the upper ones almost all zeros, which shuffles compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _row_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, begin[:-1]) if len(begin) > 1 else np.zeros(0)
 
@@ -326,107 +397,95 @@ def score(docs: DataFrame, segments: int | None = None, most_bytes: int = 256 <<
     model = Model(trained, layout, most_bytes)
     shared = spark.sparkContext.broadcast(model)
     total, types, whole = model.total, model.types, model.whole
-    names = ["segment", "block", "ids", "known_ids", "held", "tokens", "begin", "scores", "logs", "known", "rows", "hashes", "times", "words", "pairs"]
+    del model  # the driver needs its copy no more
+    scored = ["doc_id", "held_out", "n_tokens", "log_sum", "n_known", "score"]
+
+    def sums(parts: Parts, begin: np.ndarray, exact: np.ndarray, levels: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Of each row: tokens, the base score's sum of logarithms, known tokens, score."""
+        return [np.diff(begin), _row_sums(np.log10(exact + ALPHA)[parts.of_word], begin), _row_sums((exact > 0).astype(np.int64)[parts.of_word], begin), _row_sums(parts.logs(levels, total, types), begin)]
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for ids, held, t, begin in groups(batches, NEAR):
+            parts = Parts(*np.unique(t, return_inverse=True), begin, layout)
+            rows = sums(parts, begin, model.exact(parts.word), parts.probe(model.word_filter, model.pair_filter))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), *map(pa.array, rows)], scored)
+
+    names = ["segment", "block", "ids", "known_ids", "held", "vocabulary", "codes", "begin", "words", "pairs"]
+    out = [*names[:8], "answers"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block of texts a row of its own (negative segment), and one for each segment that has something to say of it."""
-        model, block = shared.value, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part, data, offsets in text_blocks(batch, most=BLOCK):
-                t, begin = tokens(data, offsets)
-                ids = part.column("doc_id").cast(pa.int64())
-                parts = Parts(t, begin, layout)
-                levels = parts.probe(model.word_filter, model.pair_filter)
-                scores = _row_sums(parts.logs(levels, total, types), begin) if whole else np.zeros(0)
-                # For the base score: frequent words here, rare ones as often as each row has them.
-                often, exact = parts.word_at == segments, model.exact(parts.word)
-                logs = _row_sums(np.where(often, np.log10(exact + ALPHA), 0.0)[parts.of_word], begin)
-                known = _row_sums((often & (exact > 0)).astype(np.int64)[parts.of_word], begin).astype("<i4")
-                row = np.repeat(np.arange(part.num_rows), np.diff(begin))
-                rare = (parts.word_at < segments)[parts.of_word]
-                code = np.sort(parts.of_word[rare] * part.num_rows + row[rare])
-                new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-                times, code = np.diff(np.append(new, len(code))), code[new]
-                word, row = code // max(part.num_rows, 1), code % max(part.num_rows, 1)
-                order = np.argsort(parts.word_at[word], kind="stable")
-                word, row, times = word[order], row[order], times[order]
-                at = [(parts.word_at[word], (row.astype("<i4"), parts.word[word], times.astype("<i4")))]
-                for own, keys in ((parts.word_at, parts.word), (parts.pair_at, parts.pair)):
-                    fine = np.flatnonzero(own < segments) if not whole else np.zeros(0, np.int64)
-                    fine = fine[np.argsort(own[fine], kind="stable")]
-                    at.append((own[fine], (keys[fine],)))
-                used = np.unique(np.concatenate([seg for seg, _ in at]))
-                columns = [pa.array(np.append(-1 - block, used)), pa.array(np.full(len(used) + 1, block))]
-                alone = [np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_valid()).astype(np.uint8), held_out(ids.to_pylist()).astype(np.uint8), t if not whole else t[:0], begin.astype("<i8"), scores, logs, known]
-                columns += [packed(x, np.append([0], np.full(len(used) + 1, len(x)))) for x in alone]
-                for seg, values in at:
-                    cut = np.concatenate([[0], np.searchsorted(seg, used), [len(seg)]])
-                    columns += [packed(x, cut) for x in values]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                block += 1
+        """For each group of texts a row of its own (negative segment), and one for each segment that has something to say of it."""
+        block = TaskContext.get().partitionId() << 32
+        for ids, held, t, begin in groups(batches, GROUP):
+            parts, at = Parts(*np.unique(t, return_inverse=True), begin, layout), []
+            for own, keys in ((parts.word_at, parts.word), (parts.pair_at, parts.pair)):
+                order = np.argsort(own, kind="stable")
+                order = order[: np.searchsorted(own[order], segments)]
+                at.append((own[order], keys[order]))
+            used = np.unique(np.concatenate([seg for seg, _ in at]))
+            columns = [pa.array(np.append(-1 - block, used)), pa.array(np.full(len(used) + 1, block))]
+            alone = [np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], np.uint8), held.astype(np.uint8), parts.word, _planes(parts.of_word), begin.astype("<i8")]
+            columns += [packed(x, np.append([0], np.full(len(used) + 1, len(x)))) for x in alone]
+            columns += [packed(keys, np.concatenate([[0], np.searchsorted(seg, used), [len(seg)]])) for seg, keys in at]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            block += 1
 
     def look(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        """Block rows pass; others become sums of logarithms and numbers of known tokens by row, and levels of what was asked."""
+        """Rows of groups pass; others become counts and levels of what was asked."""
         if not len(p):
             return pd.DataFrame({c: [] for c in out}).astype({"segment": "int64", "block": "int64"})
         if p["segment"].iloc[0] < 0:
-            return p.assign(levels=b"")[out]
+            return p.assign(answers=b"")[out]
         words = np.frombuffer(m["words"].iloc[0], np.uint64) if len(m) else np.zeros(0, np.uint64)
         counts = np.frombuffer(m["counts"].iloc[0], "<i8") if len(m) else np.zeros(0, np.int64)
-        tables = [Filter(1, {0: bytes(m[c].iloc[0]) if len(m) else bytes(8)}) for c in ("word_bits", "pair_bits")] if not whole else []
-        found = []
-        for r in p.itertuples(index=False):
-            row, t, n = (np.frombuffer(x, k) for x, k in ((r.rows, "<i4"), (r.hashes, np.uint64), (r.times, "<i4")))
-            at = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
-            c = np.where(words[at] == t, counts[at], 0) if len(words) else np.zeros(len(t), np.int64)
-            logs, known = np.bincount(row, weights=n * np.log10(c + ALPHA)), np.bincount(row, weights=n * (c > 0)).astype("<i4")
-            levels = b""
-            if not whole:
-                asked = [(tables[0], r.words, WORD), (tables[1], r.words, LEFT), (tables[1], r.pairs, PAIR)]
-                levels = b"".join(f.levels(np.zeros(len(k) // 8, np.int64), np.frombuffer(k, np.uint64), kind).astype(np.uint8).tobytes() for f, k, kind in asked)
-            found.append((r.segment, r.block, b"", b"", b"", b"", b"", b"", logs.tobytes(), known.tobytes(), levels))
-        return pd.DataFrame(found, columns=out)
-
-    out = ["segment", "block", "ids", "known_ids", "held", "tokens", "begin", "scores", "logs", "known", "levels"]
+        bits = [Filter(1, {0: bytes(m[c].iloc[0]) if len(m) else bytes(8)}) for c in ("word_bits", "pair_bits")]
+        answers = []
+        for w, pairs in zip(p["words"], p["pairs"], strict=True):
+            w, pairs = np.frombuffer(w, np.uint64), np.frombuffer(pairs, np.uint64)
+            at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
+            n = np.where(words[at] == w, counts[at], 0) if len(words) else np.zeros(len(w), np.int64)
+            levels = [f.levels(np.zeros(len(k), np.int64), k, kind) for f, k, kind in ((bits[0], w, WORD), (bits[1], w, LEFT), (bits[1], pairs, PAIR))]
+            answers.append(n.astype("<i8").tobytes() + np.concatenate(levels).astype(np.uint8).tobytes())
+        return p[["segment", "block"]].assign(**dict.fromkeys(names[2:8], b""), answers=answers)
 
     def add(p: pd.DataFrame) -> pd.DataFrame:
-        """The rows of a block with everything that segments know of them."""
+        """The rows of a group with everything that segments know of them."""
         p = p.sort_values("segment")
-        own = p.iloc[0]
+        own, model = p.iloc[0], shared.value
         begin = np.frombuffer(own["begin"], "<i8")
-        n = len(begin) - 1
-        logs, known = np.zeros(n), np.zeros(n, np.int64)
-        for x, k in zip(p["logs"], p["known"], strict=True):
-            x, k = np.frombuffer(x, float), np.frombuffer(k, "<i4")
-            logs[: len(x)] += x
-            known[: len(k)] += k
-        scores = np.frombuffer(own["scores"], float)
-        if not whole:
-            model = shared.value
-            t = np.frombuffer(own["tokens"], np.uint64)
-            parts = Parts(t, begin, layout)
-            levels = parts.probe(model.word_filter, model.pair_filter)  # of frequent words
-            for r in p.iloc[1:].itertuples(index=False):
-                got, a = np.frombuffer(r.levels, np.uint8).astype(np.int64), 0
-                for own_at, level_ in zip((parts.word_at, parts.word_at, parts.pair_at), levels, strict=True):
-                    here = np.flatnonzero(own_at == r.segment)
-                    level_[here] = got[a : a + len(here)]
-                    a += len(here)
-            scores = _row_sums(parts.logs(levels, total, types), begin)
+        parts = Parts(np.frombuffer(own["vocabulary"], np.uint64), _of_planes(own["codes"]), begin, layout)
+        exact, levels = model.exact(parts.word), parts.probe(model.word_filter, model.pair_filter)  # of frequent words
+        asked = []
+        for at in (parts.word_at, parts.pair_at):
+            order = np.argsort(at, kind="stable")
+            asked.append((order, np.searchsorted(at[order], p["segment"].to_numpy(), "left"), np.searchsorted(at[order], p["segment"].to_numpy(), "right")))
+        for i, got in enumerate(p["answers"]):
+            if i:
+                w, pairs = (order[a[i] : b[i]] for order, a, b in asked)
+                exact[w] = np.frombuffer(got, "<i8", len(w))
+                a = 8 * len(w)
+                for k, level_ in zip((w, w, pairs), levels, strict=True):
+                    level_[k] = np.frombuffer(got, np.uint8, len(k), a)
+                    a += len(k)
         ids = pd.array(np.frombuffer(own["ids"], "<i8"), dtype="Int64")
         ids[np.frombuffer(own["known_ids"], np.uint8) == 0] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(own["held"], np.uint8) > 0, "n_tokens": np.diff(begin), "log_sum": logs, "n_known": known, "score": scores})
+        return pd.DataFrame(dict(zip(scored, [ids, np.frombuffer(own["held"], np.uint8) > 0, *sums(parts, begin, exact, levels)], strict=True)))
 
     kinds = {"segment": "long", "block": "long"}
     schema = lambda columns: ", ".join(f"{c} {kinds.get(c, 'binary')}" for c in columns)
-    sent = docs.select("doc_id", "text").mapInArrow(send, schema(names))
-    own = trained.select(F.col("segment").cast("long").alias("segment"), "words", "counts", *(() if whole else ("word_bits", "pair_bits")))
-    looked = sent.groupBy("segment").cogroup(own.groupBy("segment")).applyInPandas(look, schema(out))
-    rows = looked.groupBy("block").applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, score double")
+    row = "doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, score double"
+    texts = docs.select("doc_id", "text")
+    if whole:
+        rows = texts.mapInArrow(here, row)
+    else:
+        own = trained.select(F.col("segment").cast("long").alias("segment"), "words", "counts", "word_bits", "pair_bits")
+        looked = texts.mapInArrow(send, schema(names)).groupBy("segment").cogroup(own.groupBy("segment")).applyInPandas(look, schema(out))
+        rows = looked.groupBy("block").applyInPandas(add, row)
     clean(spark)
     with small_batches(spark):
         rows = materialize(rows)
-    shared.unpersist()
+    shared.destroy()
     release(trained)
     norm = float(np.log10(total + ALPHA * (types + 1)))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
