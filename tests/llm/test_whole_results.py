@@ -148,6 +148,45 @@ def test_language_model_sends_few_rows(spark, monkeypatch):
         assert again.keys() == want.keys() and all(math.isclose(again[i][c], want[i][c], rel_tol=1e-9) for i in want for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
+def test_language_model_is_held_once_by_all_workers(spark):
+    """A worker that reads all of a broadcast model takes hardly any memory of its own; a copy stands in where no file can be read."""
+    from tidemark.llm import bloom_lm as b
+
+    rng = np.random.default_rng(14)
+    n = 4_000_000
+    frequent = np.sort(rng.integers(0, 1 << 62, 50).astype(np.uint64))
+    own = np.sort(b.fold(np.arange(n, dtype=np.uint64)))
+    size = {"words": own.tobytes(), "counts": np.arange(n).tobytes(), "word_bits": bytes(8), "pair_bits": bytes(8)}
+    often = {"often": frequent.tobytes(), "often_counts": np.arange(50).tobytes(), "often_kinds": np.ones(50, np.int64).tobytes()}
+    row = [0, *size.values(), 7, n, *often.values()]
+    names = ["segment", *size, "n_tokens", "n_types", *often]
+    trained = spark.createDataFrame([row], ", ".join(f"{c} {'binary' if isinstance(x, bytes) else 'long'}" for c, x in zip(names, row)))
+    layout = b.Layout(1, frequent, frequent[:0])
+    shared = b.Model(trained, layout, 1 << 30).send(spark.sparkContext)
+    some = np.append(own[::1000], frequent)
+    want = np.append(np.arange(n)[::1000], np.arange(50))
+
+    def memory():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if re.match(r"(Pss_Anon|Pss_Shmem):", x)) / 1024
+
+    def look(_):
+        before = memory()
+        model = b.Model.sent(shared)
+        right = bool((model.exact(some) == want).all()) and int(model.words[:].max()) == int(own[-1])
+        yield right, memory() - before
+
+    got = spark.sparkContext.parallelize(range(2), 2).mapPartitions(look).collect()
+    assert all(right for right, _ in got)
+    assert max(mb for _, mb in got) < 16 < sum(map(len, size.values())) / 2**20
+
+    class Unmapped:
+        value = b.numbers_to_send(3)[0]
+
+    numbers = b.numbers_sent(Unmapped, 3)
+    assert len(numbers) == 3 and not numbers.any() and numbers.flags.aligned
+
+
 def test_near_dedup_stage_judges_rows(spark):
     """By comparing all pairs of rows; ids repeat with equal texts and with different ones."""
     from corpus_pipeline import near_dedup

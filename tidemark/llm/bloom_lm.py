@@ -11,8 +11,9 @@ words and its end of
 with P1 the additively smoothed share of w, all counts being read from the filter. The filter and the exact word counts, for the
 base score, are broadcast to the workers if they have `most_bytes` or less together. Larger ones stay in their segments: groups of
 texts send each distinct word and pair there once, get its count and levels back and are scored where the group's tokens went, with
-the same result. There are as many segments as the texts need, so what a task sends is gathered first: a row for each segment comes
-from `GROUP` tokens, and in training from up to `PAIRS` distinct pairs, not from each block of texts.
+the same result. Workers read what is broadcast in place, in the file that Spark keeps of it, so a machine holds it once however many
+workers it has, and none of it is a worker's own memory. There are as many segments as the texts need, so what a task sends is gathered
+first: a row for each segment comes from `GROUP` tokens, and in training from up to `PAIRS` distinct pairs, not from each block of texts.
 
 Words that are frequent in a sample of the texts (a share of `FREQUENT` or more, so a hundred thousand at most) are told apart: their
 own counts are broadcast, and the pairs that the most frequent of them (`SPLIT`) begin are dealt to segments by both words. Which
@@ -25,13 +26,16 @@ gives an empty result. Extra columns, whatever their names, aren't carried.
 
 from __future__ import annotations
 
+import copy
+import mmap
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, SparkContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +49,7 @@ BITS_PER_ITEM, MARKS = 16, 5
 BLOCK, FLUSH = 1 << 20, 500_000  # bytes of text, tokens
 NEAR, GROUP, PAIRS = 200_000, 1_000_000, 2_000_000  # tokens scored at once where counts are, or by exchange; distinct pairs held before they are sent
 KEYS = 1 << 14  # put into a filter at once
+MARK, LEAST = b"tidemark numbers", 1 << 17  # ahead of broadcast numbers; bytes that pickle writes apart from its frames
 SAMPLE_BYTES, FREQUENT, SPLIT = 64 << 20, 1e-5, 1e-3
 
 
@@ -106,12 +111,12 @@ def _filled(*sets: tuple[np.ndarray, np.ndarray, np.uint64]) -> bytes:
 
 
 class Filter:
-    """The tables of some segments end to end, with room for so many bytes of others."""
+    """The tables of some segments end to end."""
 
-    def __init__(self, segments: int, tables: dict[int, bytes], room: int = 0):
+    def __init__(self, segments: int, tables: dict[int, bytes]):
         self.loaded = np.zeros(segments, bool)
         self.base, self.size, self.used = np.zeros(segments, np.int64), np.ones(segments, np.uint64), 0
-        self.words = np.zeros((sum(map(len, tables.values())) + room) // 8, "<u8")
+        self.words = np.zeros(sum(map(len, tables.values())) // 8, "<u8")
         for s, t in tables.items():
             self.put(s, t)
 
@@ -156,7 +161,8 @@ def histories(t: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (keys >> np.uint64(44)).astype(np.int64) % segments
+    """Ranges of the hash space, so that segments one after another are sorted."""
+    return (keys >> np.uint64(44)).astype(np.int64) * segments >> 20
 
 
 def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -279,11 +285,32 @@ def train(docs: DataFrame, layout: Layout) -> DataFrame:
     return shuffled.groupBy("segment").applyInPandas(build, "segment int, words binary, counts binary, word_bits binary, pair_bits binary, n_tokens long, n_types long, often binary, often_counts binary, often_kinds binary")
 
 
+def numbers_to_send(count: int) -> tuple[bytearray, np.ndarray]:
+    """Bytes to broadcast and as many numbers of 64 bits in them, aligned in the file of the broadcast."""
+    head = pickle.dumps(bytearray(MARK + bytes(LEAST)), pickle.HIGHEST_PROTOCOL).index(MARK)
+    pad = -(head + len(MARK)) % 8
+    store = bytearray(pad + len(MARK) + max(8 * count, LEAST))
+    store[pad : pad + len(MARK)] = MARK
+    return store, np.frombuffer(store, "<u8", count, pad + len(MARK))
+
+
+def numbers_sent(shared: Broadcast, count: int) -> np.ndarray:
+    """These numbers in a worker: its machine's file of the broadcast, mapped. A copy if there is none (Spark encrypts it) or it is laid out differently."""
+    if getattr(shared, "_path", None):
+        with open(shared._path, "rb") as file:
+            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        at = held.find(MARK, 0, 256) + len(MARK)
+        if at >= len(MARK) and at % 8 == 0 and at + 8 * count <= len(held):
+            return np.frombuffer(held, "<u8", count, at)
+    return np.frombuffer(shared.value, "<u8", count, shared.value.index(MARK) + len(MARK)).copy()
+
+
 class Model:
-    """What is broadcast: the layout, exact counts of frequent words and their part of the filter, and, if they fit, all of both."""
+    """What is broadcast: exact counts of frequent words and their part of the filter, and, if they fit, all of both. Its numbers go apart."""
 
     def __init__(self, model: DataFrame, layout: Layout, most_bytes: int):
-        sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), *(F.sum(F.length(c)) for c in ("words", "counts", "word_bits", "pair_bits"))).first()
+        columns, last = ("words", "counts", "word_bits", "pair_bits"), layout.segments
+        sums = model.agg(F.sum("n_tokens"), F.sum("n_types"), *(F.sum(F.length(c)) for c in columns)).first()
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
@@ -293,31 +320,56 @@ class Model:
         often = model.select("often", "often_counts", "often_kinds").mapInPandas(each, "w long, n long, kinds long").groupBy("w").agg(F.sum("n"), F.sum("kinds")).collect()
         often = np.array([tuple(r) for r in often], np.int64).reshape(-1, 3)
         often = often[np.argsort(often[:, 0].view(np.uint64))]
-        words, counts, last = often[:, 0].copy().view(np.uint64), often[:, 1].copy(), layout.segments
+        words, counts = often[:, 0].copy().view(np.uint64), often[:, 1].copy()
         self.total, self.types = sums[0] or 0, (sums[1] or 0) + len(often)
         room = [x or 0 for x in sums[2:]]
         self.whole = sum(room) <= most_bytes
         if not self.whole:
             room = [0] * 4
-        self.word_filter = Filter(last + 1, {last: _filled((words, level(counts), WORD))}, room[2])
-        self.pair_filter = Filter(last + 1, {last: _filled(_left(words, often[:, 2]))}, room[3])
-        self.words, self.counts = np.append(words, np.zeros(room[0] // 8, np.uint64)), np.append(counts, np.zeros(room[1] // 8, np.int64))
-        at = len(words)
-        for r in model.select("segment", "words", "counts", "word_bits", "pair_bits").toLocalIterator() if self.whole else ():
-            own = np.frombuffer(r["words"], np.uint64)
+        tables = _filled((words, level(counts), WORD)), _filled(_left(words, often[:, 2]))
+        self.word_filter, self.pair_filter = Filter(last + 1, {}), Filter(last + 1, {})
+        sizes = [len(often), len(often), room[0] // 8, room[1] // 8, *((len(t) + x) // 8 for t, x in zip(tables, room[2:], strict=True))]
+        self.ends = np.cumsum(sizes)
+        self.store, numbers = numbers_to_send(int(self.ends[-1]))
+        self.place(numbers)
+        self.often[:], self.often_counts[:] = words, counts
+        for f, t in zip((self.word_filter, self.pair_filter), tables, strict=True):
+            f.put(last, t)
+        if not self.whole:
+            return
+        lengths = sorted((r[0], r[1] // 8) for r in model.select("segment", F.length("words")).collect())
+        begin = dict(zip([k for k, _ in lengths], np.cumsum([0, *(n for _, n in lengths)]).tolist()))
+        for r in model.select("segment", *columns).toLocalIterator():
+            own, at = np.frombuffer(r["words"], np.uint64), begin[r["segment"]]
             self.words[at : at + len(own)], self.counts[at : at + len(own)] = own, np.frombuffer(r["counts"], "<i8")
-            at += len(own)
             self.word_filter.put(r["segment"], r["word_bits"])
             self.pair_filter.put(r["segment"], r["pair_bits"])
-        order = np.argsort(self.words)
-        self.words, self.counts = self.words[order], self.counts[order]
+
+    def place(self, numbers: np.ndarray) -> None:
+        self.often, often_counts, self.words, counts, self.word_filter.words, self.pair_filter.words = np.split(numbers, self.ends[:-1])
+        self.often_counts, self.counts = often_counts.view("<i8"), counts.view("<i8")
+
+    def send(self, context: SparkContext) -> tuple[Broadcast, Broadcast]:
+        """Broadcast; what is here is empty then."""
+        self.place(np.zeros(0, "<u8"))
+        store, self.store = self.store, None
+        return context.broadcast(self), context.broadcast(store)
+
+    @staticmethod
+    def sent(shared: tuple[Broadcast, Broadcast]) -> Model:
+        """In a worker. Nothing of it stays when it goes."""
+        out = copy.deepcopy(shared[0].value)
+        out.place(numbers_sent(shared[1], int(out.ends[-1])))
+        return out
 
     def exact(self, w: np.ndarray) -> np.ndarray:
         """Counts of the words that it has; 0 for any other."""
-        if not len(self.words):
-            return np.zeros(len(w), np.int64)
-        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        return np.where(self.words[at] == w, self.counts[at], 0)
+        out = np.zeros(len(w), np.int64)
+        for words, counts in ((self.often, self.often_counts), (self.words, self.counts)):
+            if len(words):
+                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                out = np.where(words[at] == w, counts[at], out)
+        return out
 
 
 class Parts:
@@ -395,8 +447,8 @@ def score(docs: DataFrame, segments: int | None = None, most_bytes: int = 256 <<
     with small_batches(spark):
         trained = materialize(train(docs, layout))
     model = Model(trained, layout, most_bytes)
-    shared = spark.sparkContext.broadcast(model)
     total, types, whole = model.total, model.types, model.whole
+    shared = model.send(spark.sparkContext)
     del model  # the driver needs its copy no more
     scored = ["doc_id", "held_out", "n_tokens", "log_sum", "n_known", "score"]
 
@@ -405,7 +457,7 @@ def score(docs: DataFrame, segments: int | None = None, most_bytes: int = 256 <<
         return [np.diff(begin), _row_sums(np.log10(exact + ALPHA)[parts.of_word], begin), _row_sums((exact > 0).astype(np.int64)[parts.of_word], begin), _row_sums(parts.logs(levels, total, types), begin)]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.sent(shared)
         for ids, held, t, begin in groups(batches, NEAR):
             parts = Parts(*np.unique(t, return_inverse=True), begin, layout)
             rows = sums(parts, begin, model.exact(parts.word), parts.probe(model.word_filter, model.pair_filter))
@@ -452,7 +504,7 @@ def score(docs: DataFrame, segments: int | None = None, most_bytes: int = 256 <<
     def add(p: pd.DataFrame) -> pd.DataFrame:
         """The rows of a group with everything that segments know of them."""
         p = p.sort_values("segment")
-        own, model = p.iloc[0], shared.value
+        own, model = p.iloc[0], Model.sent(shared)
         begin = np.frombuffer(own["begin"], "<i8")
         parts = Parts(np.frombuffer(own["vocabulary"], np.uint64), _of_planes(own["codes"]), begin, layout)
         exact, levels = model.exact(parts.word), parts.probe(model.word_filter, model.pair_filter)  # of frequent words
@@ -485,7 +537,8 @@ def score(docs: DataFrame, segments: int | None = None, most_bytes: int = 256 <<
     clean(spark)
     with small_batches(spark):
         rows = materialize(rows)
-    shared.destroy()
+    for x in shared:
+        x.destroy()
     release(trained)
     norm = float(np.log10(total + ALPHA * (types + 1)))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
