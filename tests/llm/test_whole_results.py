@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +189,25 @@ def test_language_model_is_held_once_by_all_workers(spark):
     assert len(numbers) == 3 and not numbers.any() and numbers.flags.aligned
 
 
+def test_language_model_training_holds_few_copies_of_its_pairs():
+    """At most, memory for the pairs that are held, their order, and one column more."""
+    from tidemark.llm import bloom_lm as b
+
+    rng = np.random.default_rng(15)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 1000))) for _ in range(2400)]
+    batches = pa.table({"doc_id": np.arange(len(texts)), "text": texts}).to_batches(max_chunksize=500)
+    layout = b.Layout(9, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    rows = 0
+    tracemalloc.start()
+    for x in b.pair_batches(iter(batches), layout):
+        rows += sum(len(c) // 4 for c in x.column(3).to_pylist())
+        del x
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > b.PAIRS
+    assert peak < 70 * b.PAIRS
+
+
 def test_near_dedup_stage_judges_rows(spark):
     """By comparing all pairs of rows; ids repeat with equal texts and with different ones."""
     from corpus_pipeline import near_dedup

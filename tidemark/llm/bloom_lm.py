@@ -210,34 +210,53 @@ def _left(word: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def pair_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """Pairs of words of the training texts and their counts, as few rows a segment as memory allows."""
+    """Pairs of words of the training texts and their counts, as few rows a segment as memory allows. A column goes when its next form is there."""
     held, count, sets, distinct = [], 0, [], 0
 
-    def summed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((w, h))
-        h, w, n = h[order], w[order], n[order]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-        return h[new], w[new], np.add.reduceat(n, new)
+    def joined(rows: list[tuple | list]) -> list[np.ndarray]:
+        columns = [list(x) for x in zip(*rows, strict=True)]
+        rows.clear()
+        for i, x in enumerate(columns):
+            columns[i] = np.concatenate(x)
+            x.clear()
+        return columns
+
+    def taken(columns: list[np.ndarray], at: np.ndarray) -> None:
+        for i in range(len(columns)):
+            columns[i] = columns[i][at]
+
+    def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+        taken(columns, np.lexsort((columns[1], columns[0])))
+        new = np.flatnonzero(np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))
+        n = np.add.reduceat(columns.pop(), new)
+        taken(columns, new)
+        return [*columns, n]
 
     def count_held() -> None:
-        h, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        sets.append(summed(h, (w >> np.uint64(32)).astype(np.uint32), np.ones(len(h), np.int64)))
+        h, w = joined(held)
+        sets.append(summed([h, (w >> np.uint64(32)).astype(np.uint32), np.ones(len(h), np.int64)]))
 
     def merge() -> None:
-        sets[:] = [summed(*(np.concatenate(x) for x in zip(*sets, strict=True)))] if len(sets) > 1 else sets
+        if len(sets) > 1:
+            sets.append(summed(joined(sets)))
 
     def flush() -> pa.RecordBatch:
-        h, w, n = sets.pop()
-        seg = layout.pair(h, pair_keys(h, w))
-        order = np.argsort(seg, kind="stable")
-        h, w, n, seg = h[order], w[order], n[order], seg[order]
+        columns = sets.pop()
+        some = ([x[i : i + KEYS] for x in columns[:2]] for i in range(0, len(columns[0]), KEYS))
+        columns.append(np.concatenate([layout.pair(h, pair_keys(h, w)).astype(np.int32) for h, w in some]))
+        taken(columns, np.argsort(columns[3], kind="stable"))
+        h, w, n, seg = columns
+        columns.clear()
         head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])))
-        fan = np.diff(np.append(head, len(h)))
+        fan = np.diff(np.append(head, len(h))).astype("<u4")
+        h = h[head]
         first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
         cut = np.append(first, len(seg))
-        big = n > 254
-        return pa.RecordBatch.from_arrays([pa.array(seg[first].astype(np.int32)), packed(h[head], np.searchsorted(head, cut)), packed(fan.astype("<u4"), np.searchsorted(head, cut)), packed(w, cut), packed(np.minimum(n, 255).astype(np.uint8), cut), packed(n[big].astype("<i8"), np.append(0, np.cumsum(big))[cut])], ["segment", "heads", "fans", "nexts", "counts", "large"])
+        heads, seg, big = np.searchsorted(head, cut), seg[first], n > 254
+        del head
+        large = packed(n[big].astype("<i8"), np.append(0, np.cumsum(big))[cut])
+        n = np.minimum(n, 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array(seg), packed(h, heads), packed(fan, heads), packed(w, cut), packed(n, cut), large], ["segment", "heads", "fans", "nexts", "counts", "large"])
 
     for batch in batches:
         for part, data, offsets in text_blocks(batch, most=BLOCK):
