@@ -248,3 +248,35 @@ def test_ngram_join_refuses_thresholds_it_would_search_in_part(threshold):
 
     with pytest.raises(ValueError, match="threshold"):
         join(None, threshold=threshold)
+
+
+class _Tasks:
+    """Stands in for a table: gives the function that its tasks would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_packing_holds_small_blocks_of_texts(spark, monkeypatch):
+    from tidemark.llm import packing as p
+
+    monkeypatch.setattr(p, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    texts = ["some words that come again " * 80] * 2000 + ["", None]
+    run = p.tokenize_pieces(_Tasks(), p.byte_bpe_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    assert sum(b.num_rows for b in run(iter([batch.slice(0, 10)]))) == 10  # the tokenizer is loaded once for all
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts)
+    assert most < 32 << 20, most
+
+    sizes, materialize = [], p.materialize
+    monkeypatch.setattr(p, "materialize", lambda df: sizes.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or materialize(df))
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert p.pack(docs, p.byte_bpe_path()).count() == 2
+    assert sizes[0] <= 1000

@@ -16,7 +16,7 @@ from tidemark.llm.kit import Spans
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 FIRST_SLOW_LEAD = 0xCA
-MOST_CACHED = 3_000_000
+MOST_CACHED = 1_000_000  # pieces; some 40 bytes each
 
 
 def _kinds() -> np.ndarray:

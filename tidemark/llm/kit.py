@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10  # array operations on a block hold a hundred times as much at once
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +55,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def let_go() -> None:
+    """Give freed memory back to the system; the allocators of Arrow and of the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run for a worker that keeps nothing of it, nor of tasks before: idle workers and the next step's share an executor's memory."""
+
+    def tidied(batches: Batches) -> Batches:
+        let_go()
+        yield from run(batches)
+        let_go()
+
+    return tidied
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write as Parquet to shared storage and read again. Survives lost executors."""
     clean(df.sparkSession)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import materialize, text_blocks
+from tidemark.llm.kit import materialize, small_batches, text_blocks, tidy
 
 POWER, RATE = 1.02, 8.0  # of the weights: start by length, fall with coverage
 PRICED, SOLVES, LITTLE = 192, 12, 0.9  # lengths priced at once; solves; go on while a solve leaves less than this
@@ -74,7 +74,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def best_pattern(weights: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
@@ -197,7 +197,8 @@ def slots(plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, end_id, with_ids))
+    with small_batches(docs.sparkSession):
+        pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, end_id, with_ids))
     counts = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     plan = solve({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     keys, first, sequence, offset = slots(plan)
@@ -214,4 +215,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], [*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(run, schema)
+    return ranked.select(*names, "rank").mapInArrow(tidy(run), schema)
