@@ -280,3 +280,29 @@ def test_packing_holds_small_blocks_of_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert p.pack(docs, p.byte_bpe_path()).count() == 2
     assert sizes[0] <= 1000
+
+
+def test_suffix_dedup_holds_few_copies_of_its_contexts():
+    from tidemark.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(4)
+    data, offsets = rng.integers(97, 123, 1 << 20).astype(np.uint8), np.arange(0, (1 << 20) + 1, 1 << 12)
+    a, _, row, _, _ = s.anchors(data, offsets, 100, 36)
+    tracemalloc.start()
+    got = s.contexts(data, offsets, a, row, 100, 36)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * got.nbytes + (16 << 20), most
+    for i in range(0, len(a), 997):
+        low, high, at = offsets[row[i]], offsets[row[i] + 1], a[i]
+        right, left = data[at : min(high, at + 100)].tobytes(), data[max(low, at - 64) : at][::-1].tobytes()
+        assert got[i].tobytes() == right.ljust(100, b"\0") + left.ljust(64, b"\0") + len(right).to_bytes(2) + len(left).to_bytes(2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 900, 1024, 1025, 5000])
+def test_samples_are_thinned_over_all_their_length(n):
+    from tidemark.llm.suffix_dedup import thinned
+
+    some = thinned(list(range(n)), 1024)
+    assert len(some) <= 1024
+    assert not n or (some[0] == 0 and some[-1] >= n - -(-n // 1024))

@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import Spans, fresh, materialize, release, text_blocks
+from tidemark.llm.kit import Spans, fresh, let_go, materialize, release, small_batches, text_blocks, tidy
 
 LOW = np.uint64(0xFFFFFFFF)
 RUN = 100_000
+CUT_AT_ONCE = 4096  # contexts; their places take nine bytes for each byte
 SPLIT = 32  # bytes of a context that ranges are cut by; equal windows share a gram, which isn't shorter
-MOST_SAMPLES = 512  # of one task
+SAMPLED, MOST_SAMPLES, MOST_OF_GROUP = 512, 1024, 4096  # one anchor of so many; samples of one task, and of a group of tasks
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -68,12 +69,14 @@ def contexts(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, row: np.ndarr
     """A row of bytes for each anchor: `length` to the right, length - gram to the left reversed, and both true lengths."""
     left = length - gram
     steps = np.concatenate([np.arange(length), -1 - np.arange(left)])
-    at = a[:, None] + steps
-    low, high = offsets[row][:, None], offsets[row + 1][:, None]
-    inside = (at >= low) & (at < high)
+    low, high = offsets[row], offsets[row + 1]
     out = np.zeros((len(a), length + left + 4), np.uint8)
-    out[:, : length + left] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
-    lens = np.stack([np.minimum(high[:, 0] - a, length), np.minimum(a - low[:, 0], left)], 1).astype(">u2")
+    for i in range(0, len(a), CUT_AT_ONCE):
+        s = slice(i, i + CUT_AT_ONCE)
+        at = a[s, None] + steps
+        inside = (at >= low[s, None]) & (at < high[s, None])
+        out[s, : length + left] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
+    lens = np.stack([np.minimum(high - a, length), np.minimum(a - low, left)], 1).astype(">u2")
     out[:, length + left :] = lens.view(np.uint8).reshape(len(a), 4)
     return out
 
@@ -99,7 +102,7 @@ def front_code(rows: np.ndarray) -> tuple[bytes, bytes]:
     return shared.astype("<u2").tobytes(), rows[np.arange(rows.shape[1])[None, :] >= shared[:, None]].tobytes()
 
 
-def front_decode(shared: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def front_decode(shared: bytes | pa.Buffer, rest: bytes | pa.Buffer, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.frombuffer(shared, "<u2").astype(np.int64)
     rows = np.zeros((len(n), width), np.uint8)
     own = np.arange(width)[None, :] >= n[:, None]
@@ -111,6 +114,20 @@ def front_decode(shared: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np
     return rows, n
 
 
+class Strings:
+    """Rows of bytes as strings, each made when it is asked for."""
+
+    def __init__(self, rows: np.ndarray):
+        self.n, self.width = rows.shape
+        self.bytes = memoryview(np.ascontiguousarray(rows).ravel())
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.bytes[i * self.width : (i + 1) * self.width].tobytes()
+
+
 class LoserTree:
     """Merges sorted runs of equally long strings; runs: (strings, common prefix with the string before in the run).
 
@@ -118,12 +135,12 @@ class LoserTree:
     measured against the last winner, the one that shares more with it is smaller; only on a tie are bytes compared, from there on.
     """
 
-    def __init__(self, runs: list[tuple[list[bytes], list[int]]]):
+    def __init__(self, runs: list[tuple[list[bytes] | Strings, list[int]]]):
         self.runs, self.at = runs, [0] * len(runs)
         self.k = 1 << max(1, (len(runs) - 1).bit_length())
         self.loser = [-1] * self.k
         self.shared = [0] * self.k
-        self.head: list[bytes | None] = [r[0][0] if r[0] else None for r in runs] + [None] * (self.k - len(runs))
+        self.head: list[bytes | None] = [r[0][0] if len(r[0]) else None for r in runs] + [None] * (self.k - len(runs))
         self.with_last = [0] * self.k
         self.winner = self._build(1)
 
@@ -214,6 +231,51 @@ def _merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
+def thinned(ordered, most: int):
+    """At most so many of a sorted list, from all of its length."""
+    return ordered[:: max(1, -(-len(ordered) // most))]
+
+
+def doc_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start and end of the maximal spans of each document."""
+    if not len(doc):
+        return doc, start, end
+    docs, of = np.unique(doc, return_inverse=True)
+    room = int(end.max()) + 2  # documents end to end, a gap between them
+    first, last = _merge_spans(of * room + start, of * room + end)
+    return docs[first // room], first % room, last % room
+
+
+def merge_runs(p: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start and end of what the front-coded runs of one range repeat."""
+    width = 2 * length - gram + 4
+
+    keys = [*zip(p["doc"].to_pylist(), p["pos"].to_pylist(), strict=True)]
+    runs = sorted(range(len(keys)), key=keys.__getitem__)  # any fixed order
+
+    def buffers(name: str) -> list[pa.Buffer]:
+        found = [x.as_buffer() for x in p[name]]
+        return [found[i] for i in runs]
+
+    doc, pos, least, most = (np.concatenate([np.frombuffer(x, t) for x in buffers(c)]).astype(np.int64) for c, t in (("doc", "<i8"), ("pos", "<i8"), ("least", "<u2"), ("most", "<u2")))
+    if p["segment"][0].as_py() < 0:  # settled before: all windows are repeats
+        return doc_spans(doc, pos - most, pos - least + length)
+    base = np.cumsum([0, *(len(keys[i][0]) // 8 for i in runs)])
+    whole, prefixes = np.empty((base[-1], width), np.uint8), []
+    for i, j, s, r in zip(base[:-1], base[1:], buffers("shared"), buffers("rest"), strict=True):
+        whole[i:j], n = front_decode(s, r, width)
+        prefixes.append(n.tolist())
+    tree = LoserTree([(Strings(whole[i:j]), n) for i, j, n in zip(base[:-1], base[1:], prefixes, strict=True)])
+    order, shared = np.empty(base[-1], np.int64), np.empty(base[-1], np.int64)
+    for k, (run, i, common) in enumerate(tree):
+        order[k], shared[k] = base[run] + i, common
+    del tree, prefixes
+    whole, doc, pos, least, most = (x[order] for x in (whole, doc, pos, least, most))
+    low, high = settle(whole, shared, doc, pos, least, most, length, gram)
+    hit = low >= 0
+    return doc_spans(doc[hit], pos[hit] - high[hit], pos[hit] - low[hit] + length)
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filter_bytes: int = 256 << 20) -> DataFrame:
     """doc_id, start, end: byte spans whose union is to be removed."""
     spark = docs.sparkSession
@@ -222,10 +284,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
     about = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(8, min(1 << 14, about // (8 << 20)))
     split = min(SPLIT, gram)
-    prefix = f"S{split}"
+    prefix, sample = f"S{split}", f"S{split + 8}"  # of a context, and with its anchor's hash
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, samples = [], 0, []
+        held, count, samples, seen = [], 0, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(held), return_counts=True)
@@ -244,14 +306,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
                 a, h, *_ = anchors(data, offsets, length, gram)
                 held.append(h)
                 count += len(h)
-                picked = a[h % np.uint64(1024) == 0]
-                samples += [data[i : i + split].tobytes() for i in picked.tolist()]
+                picked = np.arange(-seen % SAMPLED, len(a), SAMPLED)  # by place: by content, a common string is in with all its copies or not at all
+                seen += len(a)
+                samples += [data[i : i + split].tobytes() + x.tobytes() for i, x in zip(a[picked].tolist(), h[picked].astype("<u8"), strict=True)]
                 if count > 2_000_000:
                     yield from flush()
                     count = 0
         if held:
             yield from flush()
-        chosen = b"".join(sorted(samples)[:: max(1, len(samples) // MOST_SAMPLES)][:MOST_SAMPLES])
+        chosen = b"".join(thinned(sorted(samples), MOST_SAMPLES))
         yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId() % 64], pa.int32()), pa.array([chosen], pa.binary()), pa.array([b""])], ["segment", "keys", "twice"])
 
     # The filter has a part for each segment of the hash space, and twelve bits or more for each repeated hash. The counts travel
@@ -259,8 +322,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
     def repeats(p: pd.DataFrame) -> pd.DataFrame:
         segment = int(p["segment"].iloc[0])
         if segment < 0:  # samples of one group of tasks
-            some = np.sort(np.frombuffer(b"".join(p["keys"]), prefix))
-            return pd.DataFrame({"segment": [segment], "n": [0], "keys": [some[:: max(1, len(some) // 4096)].tobytes()]})
+            some = np.sort(np.frombuffer(b"".join(p["keys"]), sample))
+            return pd.DataFrame({"segment": [segment], "n": [0], "keys": [thinned(some, MOST_OF_GROUP).tobytes()]})
         keys = np.concatenate([np.frombuffer(x, "<u4") for x in p["keys"]])
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(k) // 4) for k, t in zip(p["keys"], p["twice"], strict=True)]).astype(bool)
         order = np.argsort(keys, kind="stable")
@@ -268,9 +331,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
         again = np.unique(np.concatenate([keys[twice], keys[1:][keys[1:] == keys[:-1]]]))
         return pd.DataFrame({"segment": [segment], "n": [len(again)], "keys": [again.tobytes()]})
 
-    repeated = materialize(texts.mapInArrow(hashes, "segment int, keys binary, twice binary").groupBy("segment").applyInPandas(repeats, "segment int, n long, keys binary"))
-    sampled = np.sort(np.concatenate([np.zeros(0, prefix), *(np.frombuffer(r[0], prefix) for r in repeated.filter("segment < 0").select("keys").collect())]))
-    splitters = np.unique(sampled[np.arange(1, segments) * len(sampled) // segments]) if len(sampled) else np.zeros(0, prefix)
+    with small_batches(spark):
+        repeated = materialize(texts.mapInArrow(tidy(hashes), "segment int, keys binary, twice binary").groupBy("segment").applyInPandas(repeats, "segment int, n long, keys binary"))
+    sampled = np.concatenate([np.zeros(0, sample), *(np.frombuffer(r[0], sample) for r in repeated.filter("segment < 0").select("keys").collect())])
     largest = repeated.agg(F.max("n")).first()[0] or 0
     bits = 1 << max(10, int(np.ceil(np.log2(12 * max(largest, 1)))))
     use = segments * bits // 8 <= most_filter_bytes
@@ -283,12 +346,23 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
                     table[x] = True
                 yield pd.DataFrame({"segment": [segment], "bits": [np.packbits(table).tobytes()]})
 
+    def passes(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Which hashes the filter has."""
+        seg, fine = (h >> np.uint64(33)).astype(np.int64) % segments, np.ones(len(h), bool)
+        for x in _probes(h & LOW, bits):
+            fine &= (whole[seg, x >> np.uint64(3)] >> (np.uint8(7) - (x & np.uint64(7)).astype(np.uint8))) & 1 == 1
+        return fine
+
+    parts = sampled.view(np.uint8).reshape(-1, split + 8)
     filter_ = None
     if use:
         whole = np.zeros((segments, bits // 8), np.uint8)
         for r in repeated.filter("segment >= 0").select("segment", "keys").mapInPandas(fill, "segment int, bits binary").toLocalIterator():
             whole[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+        parts = parts[passes(np.ascontiguousarray(parts[:, split:]).view("<u8").ravel(), whole)]  # contexts that travel are cut evenly, not all
         filter_ = sc.broadcast(whole)
+    starts = np.sort(np.ascontiguousarray(parts[:, :split]).view(prefix).ravel())
+    splitters = np.unique(starts[np.arange(1, segments) * len(starts) // segments]) if len(starts) else np.zeros(0, prefix)
     release(repeated)
     width = 2 * length - gram + 4
 
@@ -322,10 +396,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
             for part, data, offsets in text_blocks(batch):
                 a, h, of, least, most = anchors(data, offsets, length, gram)
                 if filter_ is not None and len(a):
-                    seg = (h >> np.uint64(33)).astype(np.int64) % segments
-                    fine = np.ones(len(a), bool)
-                    for x in _probes(h & LOW, bits):
-                        fine &= (filter_.value[seg, x >> np.uint64(3)] >> (np.uint8(7) - (x & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                    fine = passes(h, filter_.value)
                     a, of, least, most = (x[fine] for x in (a, of, least, most))
                 ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
                 for i in range(0, len(a), RUN):
@@ -338,36 +409,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, most_filt
         if count:
             yield from flush()
 
-    def read(p: pd.DataFrame, name: str, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in p[name]]).astype(np.int64)
-
-    def spans(doc, pos, low, high) -> pd.DataFrame:
-        """One row per maximal span of a document among these."""
-        start, end = pos - high, pos - low + length
-        order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], end[order]
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-        found = [(doc[i], *_merge_spans(start[i:j], end[i:j])) for i, j in zip(cut, [*cut[1:], len(doc)], strict=True)] if len(doc) else []
-        return pd.DataFrame({"doc_id": np.concatenate([np.zeros(0, np.int64), *(np.full(len(s), d) for d, s, _ in found)]), "start": np.concatenate([np.zeros(0, np.int64), *(s for _, s, _ in found)]), "end": np.concatenate([np.zeros(0, np.int64), *(e for _, _, e in found)])})
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        if p["segment"].iloc[0] < 0:  # settled before: all windows are repeats
-            return spans(read(p, "doc", "<i8"), read(p, "pos", "<i8"), read(p, "least", "<u2"), read(p, "most", "<u2"))
-        p = p.sort_values(["doc", "pos"], key=lambda c: c.map(bytes))  # any fixed order of runs
-        decoded = [front_decode(s, r, width) for s, r in zip(p["shared"], p["rest"], strict=True)]
-        base = np.cumsum([0, *(len(d[0]) for d in decoded)])
-        tree = LoserTree([([x.tobytes() for x in rows], shared.tolist()) for rows, shared in decoded])
-        order, shared = np.empty(base[-1], np.int64), np.empty(base[-1], np.int64)
-        for k, (run, i, common) in enumerate(tree):
-            order[k], shared[k] = base[run] + i, common
-        rows = np.concatenate([d[0] for d in decoded])[order]
-        doc, pos, least, most = (read(p, c, t)[order] for c, t in (("doc", "<i8"), ("pos", "<i8"), ("least", "<u2"), ("most", "<u2")))
-        low, high = settle(rows, shared, doc, pos, least, most, length, gram)
-        hit = low >= 0
-        return spans(doc[hit], pos[hit], low[hit], high[hit])
+    def merge(p: pa.Table) -> pa.Table:
+        let_go()
+        found = merge_runs(p, length, gram)
+        let_go()
+        return pa.table(dict(zip(("doc_id", "start", "end"), found, strict=True)))
 
     schema = "segment int, doc binary, pos binary, least binary, most binary, shared binary, rest binary"
-    return texts.mapInArrow(runs, schema).groupBy("segment").applyInPandas(merge, "doc_id long, start long, end long")
+    return texts.mapInArrow(tidy(runs), schema).groupBy("segment").applyInArrow(merge, "doc_id long, start long, end long")
 
 
 def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -377,7 +426,9 @@ def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def with_spans(docs: DataFrame, name: str, **options) -> DataFrame:
     """docs with a column of this name: the sorted maximal spans (start, end) of bytes to remove; null if there are none."""
-    found = materialize(repeated_spans(docs, **options))
+    found = repeated_spans(docs, **options)
+    with small_batches(docs.sparkSession):
+        found = materialize(found)
     id_ = fresh(docs, "_sd_doc")[0]
     lists = found.groupBy(F.col("doc_id").alias(id_)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
     return docs.join(lists, docs["doc_id"] == F.col(id_), "left").drop(id_)
@@ -407,7 +458,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
             a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
